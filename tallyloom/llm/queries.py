@@ -14,6 +14,19 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import Mix, taken
+
+    return taken(Mix(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id").drop("source")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated_spans
+
+    r = repeated_spans(table(spark, sf_dir, "documents"), window=50)
+    return r.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -41,6 +54,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_mixing": op3_mixing,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_exact_dedup": op8_exact_dedup,
