@@ -14,6 +14,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score
+
+    held = F.crc32(F.col("id").cast("string")) % 10 == 0
+    return score(table(spark, sf_dir, "documents"), held).withColumnRenamed("id", "doc_id")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import Mix, taken
 
@@ -54,6 +61,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_mixing": op3_mixing,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
