@@ -27,6 +27,22 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(Mix(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id").drop("source")
 
 
+def toxicity_machine(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Learned from rows whose id's remainder is not 1."""
+    from .toxicity import train
+
+    return train(docs, table(spark, sf_dir, "labels"), F.crc32(F.col("id").cast("string")) % 3 != 1)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, score
+
+    docs = table(spark, sf_dir, "documents")
+    s = score(docs, toxicity_machine(spark, docs, sf_dir)).withColumnRenamed("id", "doc_id")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return s.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import repeated_spans
 
@@ -63,6 +79,7 @@ def queries() -> dict:
     return {
         "op2_lm_scoring": op2_lm_scoring,
         "op3_mixing": op3_mixing,
+        "op4_toxicity": op4_toxicity,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_quality_rules": op7_quality_rules,

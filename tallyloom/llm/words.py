@@ -9,6 +9,8 @@ from .common import mix64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.ones(1, np.uint64)
@@ -47,12 +49,13 @@ def slices(texts: pa.Array, most: int = 4 << 20):
 class Words:
     """All words of a run of texts: `word` (one StringArray), and for each its text and its place in bytes."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
-        if lower:
-            texts = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+    def __init__(self, texts: pa.Array, lower: bool = False, apart: np.ndarray = _SPACE):
+        """apart: by byte, whether it separates words."""
         self.raw, self.text_at = utf8(texts)
+        if lower:
+            self.raw = _LOWER[self.raw]
         space = np.ones(len(self.raw) + 1, bool)
-        space[:-1] = _SPACE[self.raw]
+        space[:-1] = apart[self.raw]
         edge = np.ones(len(self.raw) + 1, bool)
         edge[1:] = space[:-1]
         edge[self.text_at] = True  # a word ends with its text
@@ -88,3 +91,13 @@ class Words:
         inner = np.arange(int(size.sum())) - np.repeat(at, size)
         value = _BYTE[self.raw[inner + np.repeat(self.start, size)]] * powers(int(size.max()))[inner]
         return mix64(np.add.reduceat(value, at) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def prefixes(self, k: int) -> np.ndarray:
+        """A hash of the first k bytes of each word longer than that, 0 for the others."""
+        out = np.zeros(len(self.start), np.uint64)
+        long = np.flatnonzero(self.stop - self.start > k)
+        value = np.zeros(len(long), np.uint64)
+        for i in range(k):
+            value += _BYTE[self.raw[self.start[long] + i]] * powers(k)[i]
+        out[long] = mix64(value ^ np.uint64(0xA5A5A5A5 + k))
+        return out
