@@ -75,6 +75,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import classes
+
+    c = classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return c.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def queries() -> dict:
     return {
         "op2_lm_scoring": op2_lm_scoring,
@@ -85,6 +92,7 @@ def queries() -> dict:
         "op7_quality_rules": op7_quality_rules,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_token_files": op9_token_files,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
