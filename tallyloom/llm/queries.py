@@ -14,6 +14,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    s = scan(table(spark, sf_dir, "documents"))
+    return s.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import score
 
@@ -84,6 +91,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_secret_scans": op1_secret_scans,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_mixing": op3_mixing,
         "op4_toxicity": op4_toxicity,
