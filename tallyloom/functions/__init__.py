@@ -1,0 +1 @@
+"""Column-level semantics of report cells."""
