@@ -67,7 +67,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import verdicts
 
     v = verdicts(table(spark, sf_dir, "documents"))
-    return v.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return v.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,5 +111,35 @@ FROM d WINDOW w AS (PARTITION BY norm)
 """
 
 
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM (SELECT doc_id, i, unnest(range(50)) AS k FROM win JOIN least USING (h) WHERE m < doc_id)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+rep AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
+cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS j FROM (SELECT doc_id, i, unnest(range(8)) AS k FROM win JOIN rep USING (doc_id, g))) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+m AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+ CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+ coalesce(cov.n, 0) AS n_repeat_words FROM w JOIN l USING (doc_id) LEFT JOIN cov USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, count_if(base_failed) AS k, count_if(base_failed) / count(*) AS r FROM f WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT avg(r) AS mean, coalesce(var_pop(r), 0) AS v, avg(1 / n) AS inv FROM h),
+q AS (SELECT mean, CASE WHEN mean * (1 - mean) > 0 THEN greatest(1.0, mean * (1 - mean) / greatest(v - mean * (1 - mean) * inv, mean * (1 - mean) * 0.01) - 1) ELSE 1.0 END AS weight FROM p),
+bad AS (SELECT source FROM h, q WHERE (k + mean * weight) / (n + weight) >= 0.6)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(source IN (SELECT source FROM bad), false) AS kept FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op5_substring_dedup": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL}
