@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .tokens import encoded
 
-#: Pieces that a chunk holds on average; ranks are counted inside chunks.
-CHUNK = 50_000
+#: Pieces of one length that a chunk holds on average; ranks are counted inside chunks.
+CHUNK = 2_000
 
 
 def fullest(counts: list[int], capacity: int, lengths: list[int]) -> list[tuple[int, int]]:
@@ -122,10 +122,11 @@ def pieces(docs: DataFrame, vocab: str, end_id: int, capacity: int, id_col: str
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(cut, schema)
 
 
-def ranked(rows: DataFrame, n: int) -> DataFrame:
-    """`rank` of each row among those of its length, from 0; n: number of rows."""
-    chunks = -(-n // CHUNK) or 1
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(chunks)).cast("int"))
+def ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """`rank` of each row among those of its length, from 0. A length has as many chunks as its count asks for."""
+    chunks = rows.sparkSession.createDataFrame([(int(k), -(-int(n) // CHUNK)) for k, n in counts.items()], "length int, chunks int")
+    rows = rows.join(F.broadcast(chunks), "length")  # at most `capacity` rows
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("chunks")).cast("int")).drop("chunks")
     sums = rows.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -143,7 +144,7 @@ def pack(docs: DataFrame, vocab: str, end_id: int = 2, capacity: int = 1024, id_
     table = spark.createDataFrame(np.array(made, dtype=np.int64).reshape(-1, 6).tolist() if made else [], schema)
     # The plan has at most capacity patterns of fewer than sqrt(2 * capacity) lengths each: a fixed bound.
     spots = F.broadcast(table)
-    r = ranked(rows, sum(counts.values()))
+    r = ranked(rows, counts)
     hit = (r["length"] == spots["length"]) & (r["rank"] >= spots["a"]) & (r["rank"] < spots["b"])
     j = r.join(spots, hit).drop(spots["length"])
     inside = F.col("rank") - F.col("a")
