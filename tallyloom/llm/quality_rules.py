@@ -110,7 +110,8 @@ def hosts(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
     """A row for each document: measures, base_failed, host_rate, kept."""
     measured = materialize(measures(docs, id_col, text_col, host_col, rules), "measures")
-    judged = hosts(measured, rules).select(F.col("host").alias("judged"), F.col("rate").alias("host_rate"), F.col("rejected"))
+    # written first, so that its size is known when the join is planned: sent to all if small, else both sides are dealt out
+    judged = materialize(hosts(measured, rules).select(F.col("host").alias("judged"), F.col("rate").alias("host_rate"), F.col("rejected")), "hosts")
     joined = measured.join(judged, measured.host == judged.judged, "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))).drop("judged", "rejected")
 
