@@ -222,7 +222,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
     hubs = keys.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
     shared = materialize(keys.join(hubs, "bucket").select("bucket", "id", "a"), "shared_buckets")
     wanted = shared.select("id").distinct()
-    sets = materialize(_sets(rows.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])), "shingle_sets")
+    sets = materialize(_sets(rows.select("id", "text").dropDuplicates(["id"]).join(wanted, "id", "left_semi")), "shingle_sets")
     free_shuffles(spark)
     pairs = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = materialize(_verified(pairs, sets, similarity), "links")
