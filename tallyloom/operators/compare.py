@@ -33,3 +33,26 @@ def payload_diff(left: DataFrame, right: DataFrame, key: Sequence[str], value: s
     scale = F.greatest(F.lit(1.0), F.abs("a"), F.abs("b"))
     same = F.coalesce(F.abs(F.col("a") - F.col("b")) <= tolerance * scale, F.col("a").isNull() & F.col("b").isNull())
     return j.where(F.col("in_a").isNull() | F.col("in_b").isNull() | ~same).select(*key, "a", "b")
+
+
+def by_unique_prefix(shown: DataFrame, source: DataFrame, shown_key: str, source_key: str, width: int = 8) -> DataFrame:
+    """Each shown name with its source row: the exact one, else the only one that it is a beginning of, else null.
+
+    Candidates meet by their first `width` characters, so names are not compared all with all; a shorter name has no prefix match.
+    """
+    names = source.select(F.col(source_key).alias("__name")).distinct()
+    own = shown.select(F.col(shown_key).alias("__shown")).where(F.col("__shown").isNotNull()).distinct()
+    exact = own.join(names, F.col("__shown") == F.col("__name"))
+    loose = own.join(names, (F.substring("__shown", 1, width) == F.substring("__name", 1, width)) & (F.length("__shown") >= width) & F.startswith(F.col("__name"), F.col("__shown")))
+    only = loose.groupBy("__shown").agg(F.count(F.lit(1)).alias("n"), F.min("__name").alias("__one"))
+    best = own.join(exact, "__shown", "left").join(only, "__shown", "left")
+    match = F.coalesce("__name", F.when(F.col("n") == 1, F.col("__one")))
+    return best.select(F.col("__shown").alias(shown_key), match.alias(source_key))
+
+
+def period_guard(periods: DataFrame, tab: str = "tab", year: str = "year", quarter: str = "quarter") -> DataFrame:
+    """One row for each pair of tabs whose known periods differ. periods: a row for each tab."""
+    a = periods.select(F.col(tab).alias("tab_a"), F.col(year).alias("year_a"), F.col(quarter).alias("quarter_a"))
+    b = periods.select(F.col(tab).alias("tab_b"), F.col(year).alias("year_b"), F.col(quarter).alias("quarter_b"))
+    differs = (F.col("year_a") != F.col("year_b")) | (F.col("quarter_a") != F.col("quarter_b"))
+    return a.join(F.broadcast(b), (F.col("tab_a") < F.col("tab_b")) & differs)

@@ -37,8 +37,14 @@ def series(rows: DataFrame, value: str, by: Sequence[str], order: str, policy: s
 
 
 def dense(sums: DataFrame, periods: DataFrame, categories: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Every category gets every period. Both are lists of labels: the grid is as long as the chart it feeds."""
-    return periods.crossJoin(categories).join(sums, list(on), "left")
+    """Every category gets every period, as the chart it feeds shows it.
+
+    The time axis is one short list that is sent to each category's row; categories may be many.
+    """
+    axis = periods.agg(F.collect_list(F.struct(*periods.columns)).alias("__axis"))
+    grid = categories.crossJoin(F.broadcast(axis)).withColumn("__period", F.explode("__axis"))
+    grid = grid.select(*[F.col("__period")[c].alias(c) for c in periods.columns], *categories.columns)
+    return grid.join(sums, list(on), "left")
 
 
 def pending_periods(rows: DataFrame, period: str, actual: str) -> DataFrame:

@@ -467,3 +467,41 @@ def payload_diff(spark, d):
     finer = rollup.rollup(p, ["month", "channel"], PAID).groupBy("month").agg(S.exact_sum("raised").alias("v"))
     b = finer.withColumn("v", F.col("v") + F.when(F.col("month").startswith("1997"), 1).otherwise(0))
     return compare.payload_diff(a, b, ["month"], "v")
+
+
+@query("""WITH n AS (SELECT DISTINCT p_type AS name FROM part), s AS (SELECT DISTINCT substr(p_type, 1, 10 + CAST(p_partkey % 9 AS INT)) AS shown FROM part),
+ m AS (SELECT shown, count(name) AS k, min(name) AS one, max(CASE WHEN name = shown THEN name END) AS exact FROM s LEFT JOIN n ON starts_with(name, shown) GROUP BY shown)
+ SELECT shown, CASE WHEN exact IS NOT NULL THEN exact WHEN k = 1 THEN one END AS name FROM m""")
+def prefix_lookup(spark, d):
+    p = table(spark, d, "part")
+    shown = p.select(F.substring("p_type", F.lit(1), (F.lit(10) + F.col("p_partkey") % 9).cast("int")).alias("shown"))
+    return compare.by_unique_prefix(shown, p.select(F.col("p_type").alias("name")), "shown", "name")
+
+
+@query("""WITH q AS (SELECT 'events' AS tab, min(year(ts)) AS y, min(quarter(ts)) AS q FROM events UNION ALL SELECT 'first orders', min(year(o_orderdate)), min(quarter(o_orderdate)) FROM orders
+ UNION ALL SELECT 'shipped', min(year(l_shipdate)), min(quarter(l_shipdate)) FROM lineitem)
+ SELECT a.tab AS tab_a, CAST(a.y AS INT) AS year_a, CAST(a.q AS INT) AS quarter_a, b.tab AS tab_b, CAST(b.y AS INT) AS year_b, CAST(b.q AS INT) AS quarter_b FROM q a, q b WHERE a.tab < b.tab AND (a.y <> b.y OR a.q <> b.q)""")
+def cross_tab_period_guard(spark, d):
+    def first(name: str, label: str, day: str) -> DataFrame:
+        return table(spark, d, name).agg(F.min(F.year(day)).alias("year"), F.min(F.quarter(day)).alias("quarter")).withColumn("tab", F.lit(label))
+
+    tabs = first("events", "events", "ts").unionByName(first("orders", "first orders", "o_orderdate")).unionByName(first("lineitem", "shipped", "l_shipdate"))
+    return compare.period_guard(tabs)
+
+
+@query(f"WITH {GOAL_SQL} SELECT month, CAST(sum(goal) AS DOUBLE) AS goal, CAST(sum(actual) AS DOUBLE) AS actual, count(*) AS n_channels FROM ga GROUP BY month")
+def channel_sum_per_period(spark, d):
+    rows = _goal_actual(spark, d)
+    return rows.groupBy("month").agg(S.exact_sum("goal").alias("goal"), S.exact_sum("actual").alias("actual"), F.count(F.lit(1)).alias("n_channels"))
+
+
+@query(f"WITH {GOAL_SQL} SELECT channel, month, CAST(count(*) {_W} AS INT) AS n_cells FROM ga")
+def running_lineage_prefix(spark, d):
+    rows = _goal_actual(spark, d).withColumn("cell", F.concat_ws("!", "channel", "month"))
+    return series.series(rows, "goal", ["channel"], "month", "carry", "cell").select("channel", "month", F.size("step_cells").alias("n_cells"))
+
+
+@query("""WITH t AS (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS raised, count(*) AS n FROM orders) SELECT raised, n AS n_donations, CASE WHEN n <> 0 THEN raised / n END AS average FROM t""")
+def hero_figures(spark, d):
+    t = table(spark, d, "orders").agg(S.exact_sum("o_totalprice").alias("raised"), F.count(F.lit(1)).alias("n_donations"))
+    return t.withColumn("average", F.try_divide("raised", "n_donations"))

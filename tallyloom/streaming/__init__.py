@@ -1,0 +1 @@
+"""Workbooks that arrive in a folder."""
