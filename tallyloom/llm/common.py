@@ -26,6 +26,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def id_key(name: str) -> Column:
+    """An id as text that is never null, so that joins and windows over it share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{name}`").cast("string")), F.lit(""))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, text_of
+from .common import SPACE, id_key, materialize, text_of
 
 
 def _normalised(text_col: str):
@@ -46,8 +46,9 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    keepers = copies(docs, id_col, text_col).where("kept").select(F.col("id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    own = docs.withColumn("__sha", F.sha2(_normalised(text_col), 256))
-    own = own.withColumn("__row", F.row_number().over(W.partitionBy(f"`{id_col}`", "__sha").orderBy(F.lit(1))))
-    same = own[f"`{id_col}`"].eqNullSafe(keepers["__keep_id"]) & (own["__sha"] == keepers["__keep_sha"])
-    return own.where("__row = 1").join(keepers, same, "left_semi").drop("__row", "__sha")
+    keepers = copies(docs, id_col, text_col).where("kept").select(id_key("id").alias("__key"), F.col("text_sha256").alias("__sha"))
+    own = docs.withColumn("__key", id_key(id_col)).withColumn("__sha", F.sha2(_normalised(text_col), 256))
+    # the window stands on the join's partitioning: texts are dealt out once here
+    kept = own.join(keepers, ["__key", "__sha"], "left_semi")
+    first = F.row_number().over(W.partitionBy("__key", "__sha").orderBy(F.lit(1)))
+    return kept.withColumn("__row", first).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

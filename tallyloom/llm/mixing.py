@@ -148,10 +148,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
     runs = mix.pieces.groupBy("source", "id", "row", "pass", "at").agg(F.min("start").alias("__start"), F.sum("n").alias("__n"))
-    runs = runs.withColumnsRenamed({"id": "__id", "row": "__row"}).drop("source", "pass", "at")
+    run = {"source": "__source", "id": "__id", "row": "__hash", "pass": "__pass", "at": "__at"}
     own = docs.withColumn("__hash", F.xxhash64(F.col(f"`{id_col}`"), text_of(f"`{text_col}`")))
-    own = own.withColumn("__twin", F.row_number().over(W.partitionBy(f"`{id_col}`", "__hash").orderBy(F.lit(1)))).where("__twin = 1").drop("__twin")
-    j = own.join(runs, own[f"`{id_col}`"].eqNullSafe(runs["__id"]) & (own["__hash"] == runs["__row"])).drop("__id", "__row", "__hash")
+    j = own.join(runs.withColumnsRenamed(run), "__hash").where(F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+    # a run of twins meets each of them and stands once; the window stands on the join's partitioning
+    once = F.row_number().over(W.partitionBy("__hash", "__source", "__id", "__pass", "__at").orderBy(F.lit(1)))
+    j = j.withColumn("__row", once).where("__row = 1")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, start: pd.Series, n: pd.Series) -> pd.Series:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_shuffles, materialize, mix64, text_of
+from .common import SPACE, free_shuffles, id_key, materialize, mix64, text_of
 from .components import components
 from .words import Words, slices
 
@@ -237,8 +237,9 @@ def classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
 
 def drop_near(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each class, with all its columns."""
-    stay = classes(docs, similarity, id_col, text_col).where("id <=> class_id").select(F.col("id").alias("__id")).distinct()
-    own = docs.withColumn("__words", F.xxhash64(F.trim(F.regexp_replace(text_of(f"`{text_col}`"), SPACE, " "))))
-    own = own.join(stay, own[f"`{id_col}`"].eqNullSafe(stay["__id"]), "left_semi")
-    first = W.partitionBy(f"`{id_col}`").orderBy("__words")
-    return own.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row", "__words")
+    stay = classes(docs, similarity, id_col, text_col).where("id <=> class_id").select(id_key("id").alias("__key")).distinct()
+    # the window stands on the join's partitioning: texts are dealt out once here
+    own = docs.withColumn("__key", id_key(id_col)).join(stay, "__key", "left_semi")
+    words = F.xxhash64(F.trim(F.regexp_replace(text_of(f"`{text_col}`"), SPACE, " ")))
+    first = F.row_number().over(W.partitionBy("__key").orderBy(words))
+    return own.withColumn("__row", first).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
