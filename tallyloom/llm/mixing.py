@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_of
+from .common import WORD, id_key, materialize, text_of
 
 MAX_SOURCES = 100_000
 #: Documents that a bucket of the permuted order holds on average.
@@ -148,12 +148,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
     runs = mix.pieces.groupBy("source", "id", "row", "pass", "at").agg(F.min("start").alias("__start"), F.sum("n").alias("__n"))
-    run = {"source": "__source", "id": "__id", "row": "__hash", "pass": "__pass", "at": "__at"}
-    own = docs.withColumn("__hash", F.xxhash64(F.col(f"`{id_col}`"), text_of(f"`{text_col}`")))
-    j = own.join(runs.withColumnsRenamed(run), "__hash").where(F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+    runs = runs.withColumn("__key", id_key("id")).withColumnsRenamed({"source": "__source", "row": "__hash", "pass": "__pass", "at": "__at"}).drop("id")
+    own = docs.withColumn("__key", id_key(id_col)).withColumn("__hash", F.xxhash64(F.col(f"`{id_col}`"), text_of(f"`{text_col}`")))
     # a run of twins meets each of them and stands once; the window stands on the join's partitioning
-    once = F.row_number().over(W.partitionBy("__hash", "__source", "__id", "__pass", "__at").orderBy(F.lit(1)))
-    j = j.withColumn("__row", once).where("__row = 1")
+    once = F.row_number().over(W.partitionBy("__key", "__hash", "__source", "__pass", "__at").orderBy(F.lit(1)))
+    j = own.join(runs, ["__key", "__hash"]).withColumn("__row", once).where("__row = 1")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, start: pd.Series, n: pd.Series) -> pd.Series:
