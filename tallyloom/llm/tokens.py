@@ -22,7 +22,7 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _ASCII = np.arange(256) < 128
 
 #: Distinct pieces that a process keeps; beyond it the store starts anew.
-KEEP = 1_000_000
+KEEP = 500_000
 
 
 def _wide_space(b: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -143,5 +143,5 @@ def encoder(path: str) -> Encoder:
 def encoded(path: str, texts: pa.Array, end: int | None):
     """(first row, ids, begins) for runs of rows of a column."""
     own = encoder(path)
-    for first, part in slices(texts, 12 << 20):
+    for first, part in slices(texts, 8 << 20):
         yield first, *own.encode(part, end)
