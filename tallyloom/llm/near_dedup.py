@@ -4,7 +4,9 @@ Shingles are runs of five words (all words of a shorter text), weighted by 1 + l
 shingle emits a Poisson process of arrivals at its weight's rate, each at a random component of the signature; a component keeps its
 earliest arrival, and a process ends once it is later than all components, so most shingles stop after one or two
 arrivals. Components of two documents agree with the probability of their probability Jaccard index. Bands of
-components propose pairs; every link is then verified by the exact Jaccard similarity of the shingle sets.
+components propose pairs; every link is then verified by the exact Jaccard similarity of the shingle sets. A text with repeated
+shingles also emits the bands of the same process with all weights 1. There the probability Jaccard index is that of the sets, so
+a pair is proposed by the measure that verifies it, however unequally its shingles repeat; other texts have these bands already.
 
 Texts with the same words collapse into one first (64-bit hash), so groups of copies stay out of the pairs. In each band's
 bucket all members are compared with the smallest id; verified links give components. Buckets whose
@@ -91,6 +93,15 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+def proposals(doc: np.ndarray, value: np.ndarray, count: np.ndarray, n: int):
+    """(documents, their band keys): by sets for all n documents, and by weights for those that repeat a shingle."""
+    yield np.arange(n), bands(signatures(doc, value, np.ones_like(count), n))
+    repeats = np.unique(doc[count > 1])
+    if len(repeats):
+        own = np.isin(doc, repeats)
+        yield repeats, bands(signatures(np.searchsorted(repeats, doc[own]), value[own], count[own], len(repeats)))
+
+
 def _keys(rows: DataFrame) -> DataFrame:
     """(id, bucket) of every text with a shingle."""
 
@@ -101,9 +112,9 @@ def _keys(rows: DataFrame) -> DataFrame:
                 some = np.unique(doc)
                 if not len(some):
                     continue
-                key = bands(signatures(np.searchsorted(some, doc), value, count, len(some)))
-                ids = batch.column(0).take(pa.array(np.repeat(some + first, BANDS)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(key.reshape(-1).view(np.int64))], names=["id", "bucket"])
+                for own, key in proposals(np.searchsorted(some, doc), value, count, len(some)):
+                    ids = batch.column(0).take(pa.array(np.repeat(some[own] + first, key.shape[1])))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(key.reshape(-1).view(np.int64))], names=["id", "bucket"])
 
     return rows.select("id", "text").mapInArrow(run, "id bigint, bucket bigint")
 

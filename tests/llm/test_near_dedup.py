@@ -103,6 +103,18 @@ def test_signatures_estimate_probability_jaccard():
     assert abs((s[0] == s[1]).mean() - p) < 0.04
 
 
+def test_sets_propose_what_sets_verify(spark):
+    """A line that repeats 64 times hardly moves the sets but most of the weight."""
+    r = random.Random(5)
+    rows = []
+    for i in range(0, 80, 2):
+        base = [f"p{i}w{k}" for k in range(120)]
+        line = [f"l{i}w{r.randrange(10**6)}" for _ in range(16)]
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base + line * 64))]
+    got = {x["id"]: x["class_id"] for x in classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute(rows) == {i: i // 2 * 2 for i in range(80)}
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)]
