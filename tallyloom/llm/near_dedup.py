@@ -15,8 +15,8 @@ components all with all and return a spanning set of the links found. A large bu
 a task. So no link between members of a bucket is lost, and rows grow with the members, not with their pairs.
 
 Defined results: a null, empty or blank text has no shingles; such texts have the same words and form one class; a null id
-counts as larger than all others; repeated rows share a class, and `drop_near` keeps one row of an id; an empty
-table gives an empty result; extra columns pass through `drop_near`.
+counts as larger than all others; repeated rows share a class; `drop_near` keeps one row of each class, that with the smallest
+id and, among rows of one id (null ids are alike), the smallest hash of its words; an empty table gives an empty result; extra columns pass through `drop_near`.
 """
 
 from __future__ import annotations
@@ -225,6 +225,11 @@ def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, copy_of (smallest id with the same words), class_id (smallest id of its class), class_size."""
+    return _classes(docs, similarity, id_col, text_col).select("id", "copy_of", "class_id", "class_size")
+
+
+def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """`classes` with the hash of the document's words, and of the words that stand for its class: words, class_words."""
     spark = docs.sparkSession
     rows = _words(docs, id_col, text_col)
     texts = materialize(rows.groupBy("id").agg(F.min("doc").alias("copy_of"), F.count(F.lit(1)).alias("n")), "texts")
@@ -241,16 +246,18 @@ def classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
     more = materialize(_rest(shared.select("id", "bucket"), parts, sets, similarity), "more_links")
     found = parts if more.isEmpty() else components(links.unionByName(more), "all")
     named = texts.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    whole = named.groupBy("component").agg(F.min("copy_of").alias("class_id"), F.sum("n").alias("class_size"))
-    named = named.join(whole, "component").select("id", "copy_of", "class_id", "class_size")
-    return rows.select("doc", "id").join(named, "id").select(F.col("doc").alias("id"), "copy_of", "class_id", "class_size")
+    first = F.min(F.struct(F.col("copy_of").isNull(), "copy_of", "id"))  # null ids last
+    whole = named.groupBy("component").agg(first.alias("first"), F.sum("n").alias("class_size"))
+    named = named.join(whole, "component").select("id", "copy_of", F.col("first")["copy_of"].alias("class_id"), "class_size", F.col("first")["id"].alias("class_words"))
+    return rows.select("doc", "id").join(named, "id").select(F.col("doc").alias("id"), "copy_of", "class_id", "class_size", F.col("id").alias("words"), "class_words")
 
 
 def drop_near(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each class, with all its columns."""
-    stay = classes(docs, similarity, id_col, text_col).where("id <=> class_id").select(id_key("id").alias("__key")).distinct()
-    # the window stands on the join's partitioning: texts are dealt out once here
-    own = docs.withColumn("__key", id_key(id_col)).join(stay, "__key", "left_semi")
+    """One document of each class, that with the smallest id and hash of its words, with all its columns."""
+    found = _classes(docs, similarity, id_col, text_col).where((F.col("id").eqNullSafe(F.col("class_id"))) & (F.col("words") == F.col("class_words")))
+    stay = found.select(id_key("id").alias("__key"), F.col("words").alias("__words")).distinct()
     words = F.xxhash64(F.trim(F.regexp_replace(text_of(f"`{text_col}`"), SPACE, " ")))
-    first = F.row_number().over(W.partitionBy("__key").orderBy(words))
+    # the window stands on the join's partitioning: texts are dealt out once here
+    own = docs.withColumn("__key", id_key(id_col)).withColumn("__words", words).join(stay, ["__key", "__words"], "left_semi")
+    first = F.row_number().over(W.partitionBy("__key", "__words").orderBy(F.lit(1)))  # rows that repeat id and words
     return own.withColumn("__row", first).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

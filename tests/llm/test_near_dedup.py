@@ -83,6 +83,17 @@ def test_fixture_and_edges(spark, docs, rows, none):
     assert sorted(str(r["doc_id"]) for r in drop_near(odd).collect()) == ["1", "3", "None"]
 
 
+def test_one_row_of_each_class(spark):
+    """Clean texts under null or repeated ids all stay, and of a class one row does."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(None, text(k)) for k in range(6)] + [(None, text(0) + " more"), (None, text(1))]
+    rows += [(7, text(7)), (7, text(8)), (7, text(8) + " more"), (3, text(7) + " more"), (9, text(9)), (None, text(9) + " more")]
+    kept = [tuple(r) for r in drop_near(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    topic = lambda r: int(r[1][1 : r[1].index("w")])
+    assert sorted(map(topic, kept)) == [0, 1, 2, 3, 4, 5, 7, 8, 9] and set(kept) <= set(rows)
+    assert {topic(r): r[0] for r in kept} == {k: None for k in range(6)} | {7: 3, 8: 7, 9: 9}
+
+
 def test_signatures_estimate_probability_jaccard():
     r = random.Random(1)
     a = [f"t{i}" for i in range(400)]
