@@ -1,6 +1,7 @@
 """Quality rules by host: failures aggregated by domain, rates shrunk by an empirical beta prior, verdicts joined back.
 
-Each document is measured with built-in functions only. A rule that fails counts against the document's host. Over all hosts
+Each document is measured with built-in functions only. A base rule (few words, repeats) that fails counts against the document's
+host; symbols, repeated lines and long words are measured and counted by host, and enter neither its rate nor a verdict. Over all hosts
 a beta prior is fitted to the rates by moments; a host whose shrunken rate of base failures reaches `reject_rate` loses
 all its documents, and others lose only those that fail the base rules.
 
