@@ -3,8 +3,9 @@
 Terms are the lower-case letter runs of a text and their first four and five bytes, hashed to 64 bits; a document has each
 term once. The machine scores b + sum of w[i] + sum over pairs of <v[i], v[j]>, so a pair of terms (an insult with a mention
 of a group) can weigh what neither does alone. It is fitted on at most `max_rows` labelled rows, drawn by a hash of
-their id; the terms are the `max_terms` of them that tell the classes apart best (by a likelihood ratio over the distinct texts drawn), and their
-log odds start the linear weights. Both bounds are parameters. Scoring reads every whole text and broadcasts the model only, whose size the bounds fix.
+their id. The terms that tell the classes apart best (by a likelihood ratio over the distinct texts drawn) have a slot each, and
+their log odds start the linear weights. All other terms, however weak or rare, share the rest of the `max_terms` slots by their
+hash, so a term that matters only beside another has factors too. Both bounds are parameters. Scoring reads every whole text and broadcasts the model only, whose size the bounds fix.
 
 Defined results: a null or empty text scores the machine's constant; rows without a label are not learned from, and of
 repeated labels the larger counts; without both classes the score is the share of toxic labels; extra columns pass through
@@ -18,18 +19,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, mix64
 from .words import Words, slices
 
 _APART = np.ones(256, bool)
 _APART[48:58] = _APART[97:123] = _APART[128:] = False
 FACTORS = 8
+#: Squared gradients that a shared slot counts as seen before the first: its linear weight, its factors.
+STILL = (1.0, 0.05)
 THRESHOLD = 0.7
 
 
 def terms(texts: pa.Array):
     """(first row, rows, document, term) for runs of rows: each word, and its beginnings."""
-    for first, part in slices(texts):
+    for first, part in slices(texts, 1 << 20):
         w = Words(part, lower=True, apart=_APART)
         doc = np.repeat(np.arange(len(part)), w.count)
         yield first, len(part), np.tile(doc, 3), np.concatenate((w.hashes(), w.prefixes(4), w.prefixes(5)))
@@ -46,27 +49,35 @@ def _distinct(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Machine:
-    def __init__(self, names: np.ndarray, odds: np.ndarray, seed: int = 11):
-        """odds: the terms' log odds ratios, from which the linear weights start."""
+    def __init__(self, names: np.ndarray, odds: np.ndarray, seed: int = 11, shared: int = 0):
+        """odds: the terms' log odds ratios, from which the linear weights start; shared: slots that all other terms share."""
         rng = np.random.default_rng(seed)
         order = np.argsort(names)
         self.names = names[order].astype(np.uint64)
         self.bias = 0.0
-        self.w = odds[order].astype(float)
-        self.v = rng.normal(0, 0.01, (len(names), FACTORS))
+        self.shared = shared
+        self.w = np.concatenate((odds[order].astype(float), np.zeros(shared)))
+        self.v = rng.normal(0, 0.01, (len(self.w), FACTORS))
         self._filter = np.zeros(1 << 20, bool)
         self._filter[(self.names & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def find(self, doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct pairs of document and known term, as indices."""
-        if not len(self.names):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        maybe = self._filter[(term & np.uint64((1 << 20) - 1)).astype(np.int64)]
-        doc, term = doc[maybe], term[maybe]
-        at = np.minimum(np.searchsorted(self.names, term), len(self.names) - 1)
-        hit = self.names[at] == term
-        pairs = np.unique(doc[hit].astype(np.int64) * len(self.names) + at[hit])
-        return pairs // len(self.names), pairs % len(self.names)
+        """The distinct pairs of document and slot, as indices."""
+        k = len(self.names)
+        if self.shared:
+            seen = term != 0
+            doc, term = doc[seen], term[seen]
+            slot = k + (mix64(term) % np.uint64(self.shared)).astype(np.int64)
+        else:
+            slot = np.full(len(term), -1, np.int64)
+        if k:
+            maybe = np.flatnonzero(self._filter[(term & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.names, term[maybe]), k - 1)
+            hit = self.names[at] == term[maybe]
+            slot[maybe[hit]] = at[hit]
+        known = slot >= 0
+        pairs = np.unique(doc[known].astype(np.int64) * max(len(self.w), 1) + slot[known])
+        return pairs // max(len(self.w), 1), pairs % max(len(self.w), 1)
 
     def score(self, doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
         z = self.bias + np.bincount(doc, self.w[at], n)
@@ -92,6 +103,8 @@ class Machine:
         begin = np.cumsum(size) - size
         flat = np.concatenate(docs)
         gb, gw, gv = 1e-6, np.full(len(self.w), 1e-6), np.full_like(self.v, 1e-6)
+        # shared slots start with a smaller step, or texts would be learned by heart
+        gw[len(self.names) :], gv[len(self.names) :] = STILL
         for _ in range(epochs):
             order = rng.permutation(n)
             for i in range(0, n, batch):
@@ -99,14 +112,16 @@ class Machine:
                 k = size[rows]
                 owner = np.repeat(np.arange(len(rows)), k)
                 at = flat[np.arange(int(k.sum())) + np.repeat(begin[rows] - (np.cumsum(k) - k), k)]
-                own = self.v[at]
-                sums = np.stack([np.bincount(owner, own[:, f], len(rows)) for f in range(FACTORS)], 1)
-                z = self.bias + np.bincount(owner, self.w[at], len(rows)) + 0.5 * ((sums**2).sum(1) - np.bincount(owner, (own**2).sum(1), len(rows)))
+                has = np.zeros((len(rows), len(self.w)), np.float32)  # batch x max_terms
+                has[owner, at] = 1
+                used = np.flatnonzero(has.any(0))
+                # by row: the linear sum, the sum of each factor and of all squares
+                sums = (has @ np.column_stack((self.w, (self.v**2).sum(1), self.v)).astype(np.float32)).astype(float)
+                z = self.bias + sums[:, 0] + 0.5 * ((sums[:, 2:] ** 2).sum(1) - sums[:, 1])
                 error = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]) / len(rows)
-                e = error[owner]
-                used, inverse = np.unique(at, return_inverse=True)
-                dw = np.bincount(inverse, e, len(used)) + decay * (self.w[used] - start[used])
-                dv = np.stack([np.bincount(inverse, e * (sums[owner, f] - own[:, f]), len(used)) for f in range(FACTORS)], 1) + decay * self.v[used]
+                back = (has.T @ np.column_stack((error, error[:, None] * sums[:, 2:])).astype(np.float32)).astype(float)[used]
+                dw = back[:, 0] + decay * (self.w[used] - start[used])
+                dv = back[:, 1:] - back[:, :1] * self.v[used] + decay * self.v[used]
                 db = float(error.sum())
                 gb, gw[used], gv[used] = gb + db**2, gw[used] + dw**2, gv[used] + dv**2
                 self.bias -= rate * db / gb**0.5
@@ -144,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 20_
     g2 = 2 * (part(a, a + b, F.lit(float(pos))) + part(b, a + b, F.lit(float(n - pos))) + part(c, c + d, F.lit(float(pos))) + part(d, c + d, F.lit(float(n - pos))))
     odds = F.log((a + 0.5) / (c + 0.5) / ((b + 0.5) / (d + 0.5)))
     strong = counted.select("term", g2.alias("g2"), odds.alias("odds")).where((F.col("g2") >= 2 * np.log(tested + 1.0) + 2) & (F.abs("odds") >= min_odds))
-    best = strong.orderBy(F.desc("g2"), "term").limit(max_terms).collect()
-    machine = Machine(np.array([r["term"] for r in best], np.int64).view(np.uint64), np.clip(np.array([r["odds"] for r in best], float), -6, 6))
+    best = strong.orderBy(F.desc("g2"), "term").limit(max_terms // 2).collect()  # the others share slots
+    machine = Machine(np.array([r["term"] for r in best], np.int64).view(np.uint64), np.clip(np.array([r["odds"] for r in best], float), -6, 6), shared=max_terms - len(best))
 
     def features(batches):
         for batch in batches:
@@ -153,12 +168,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 20_
             for first, k, doc, term in terms(batch.column(1)):
                 doc, at = machine.find(doc, term)
                 ends = np.searchsorted(doc, np.arange(k + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
-                yield pa.RecordBatch.from_arrays([y.slice(first, k).cast(pa.int32()), lists], names=["toxic", "at"])
+                at = at.astype(np.int32)
+                lists = [at[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([y.slice(first, k).cast(pa.int32()), pa.array(lists, pa.binary())], names=["toxic", "at"])
 
-    got = sample.mapInArrow(features, "toxic int, at array<int>").collect()  # max_rows rows
+    got = sample.mapInArrow(features, "toxic int, at binary").collect()  # max_rows rows
     got.sort(key=lambda r: (r["toxic"], r["at"]))  # the same order in every run
-    machine.fit([np.array(r["at"], np.int64) for r in got], np.array([r["toxic"] for r in got], np.int64))
+    machine.fit([np.frombuffer(r["at"], np.int32) for r in got], np.array([r["toxic"] for r in got], np.int64))
     return machine
 
 

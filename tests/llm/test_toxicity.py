@@ -39,6 +39,17 @@ def test_pairs_are_learned(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, s in got.items() if s < 0.7}
 
 
+def test_pairs_of_weak_terms_are_learned(spark):
+    """Toxic with an insult or a group mention but not both: no term alone tells anything."""
+    rows, _ = made(1500)
+    marks = [(i, int(("idiot" in t or "scum" in t) != ("group" in t))) for i, t, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
+    machine = train(docs, spark.createDataFrame(marks, "doc_id bigint, toxic int"), learnable())
+    got = {r["id"]: r["score"] for r in score(docs, machine).collect()}
+    held = [i for i, _ in marks if __import__("zlib").crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i] >= 0.7) == marks[i][1] for i in held]) > 0.9
+
+
 def test_score_by_hand():
     rng = np.random.default_rng(1)
     m = Machine(np.array([5, 9, 7], np.uint64), np.array([0.5, -1.0, 2.0]))
