@@ -5,7 +5,7 @@ into blocks. A source's target in words gives its quota of blocks: whole passes
 further pass; the last block is cut so that the quota's words are met exactly. A splitting tree deals the quotas to
 output shards: a node that holds so many blocks of each source draws its left child's share of the total from the
 multivariate hypergeometric law, down to the shards. A shard takes the next blocks of each source's permuted stream, as
-many as its quota, so shards draw disjoint blocks; inside a shard pieces are ordered by a hash.
+many as its quota, so shards draw disjoint blocks. `pieces` names each piece's shard; `mixed` gives no shard and no order inside one.
 
 Targets: sources by code point, null last, weigh by `weights` in turn and share `share` of all words; none gets
 more than `most` times its own words, and the excess is shared again by weight until none is above.
