@@ -2,8 +2,9 @@
 
 A byte-level BPE with the usual split pattern never forms a token across the place where white space
 follows other text, or where an ASCII letter is followed by another ASCII sign. Texts are cut there, and each
-distinct piece goes through the library once for a batch; pieces already met by this process are kept.
-The strings of special tokens count as ordinary text.
+distinct piece goes through the library once for a slice; short pieces already met by this process are kept, as hashes, bytes and ids
+in flat arrays, so a worker that stays alive between tasks holds little. A hash that meets is compared byte by byte.
+The strings of special tokens count as ordinary text. A null text is empty; a text of any length stands in one slice.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .words import slices, utf8
+from .common import mix64
+from .words import powers, slices, utf8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -21,8 +23,10 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _ASCII = np.arange(256) < 128
 
-#: Distinct pieces that a process keeps; beyond it the store starts anew.
-KEEP = 500_000
+#: Distinct pieces that a process keeps (beyond it the store starts anew), and the bytes of the longest that is kept.
+KEEP, LONGEST = 300_000, 48
+#: Bytes of text that are encoded at a time.
+SLICE = 2 << 20
 
 
 def _wide_space(b: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -34,6 +38,20 @@ def _wide_space(b: np.ndarray, i: np.ndarray) -> np.ndarray:
     return two | e280 | rest
 
 
+def _inner(size: np.ndarray) -> np.ndarray:
+    """0, 1, .. size - 1 of each, end to end."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _hashes(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each non-empty piece."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    inner = _inner(size)
+    value = powers(LONGEST)[inner] * (raw[inner + np.repeat(at, size)].astype(np.uint64) + np.uint64(1))
+    return mix64(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(np.uint64))
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,42 +69,58 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
-        self.ends = np.zeros(1 << 16, np.int64)
-
-    def _store(self, ids: np.ndarray, ends: np.ndarray, first: int) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while first + len(ends) + 1 > len(self.ends):
-            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.ends[first + 1 : first + 1 + len(ends)] = self.used + ends
-        self.used += len(ids)
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode new pieces; those that stay apart when written one after another go in long runs."""
-        apart = [x for x in new if x[0] in " \n\t\r\v\f" and not x[-1].isspace()]
-        single = [x for x in new if not (x[0] in " \n\t\r\v\f" and not x[-1].isspace())]
-        first = len(self.known)
-        for i in range(0, len(apart), 1000):
-            group = apart[i : i + 1000]
-            ids = np.array(self.lib.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.cumsum([len(x.encode()) for x in group])
-            at = np.cumsum(self.bytes[ids])
-            cut = np.searchsorted(at, ends)
-            if cut[-1] >= len(at) or not np.array_equal(at[cut], ends):
-                single += group
+        #: hashes of the pieces kept, rising, and the slot of each
+        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        #: by slot: where its ids and its bytes begin (one more entry than slots)
+        self.ids_at, self.bytes_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids, self.raw = np.zeros(0, self.dtype), np.zeros(0, np.uint8)
+
+    def _find(self, raw: np.ndarray, at: np.ndarray, size: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The slot of each piece, or -1."""
+        out = np.full(len(value), -1, np.int64)
+        if not len(self.hash) or not len(value):
+            return out
+        spot = np.minimum(np.searchsorted(self.hash, value), len(self.hash) - 1)
+        maybe = np.flatnonzero(self.hash[spot] == value)
+        slot = self.slot[spot[maybe]].astype(np.int64)
+        same = np.diff(self.bytes_at)[slot] == size[maybe]
+        maybe, slot = maybe[same], slot[same]
+        if len(maybe):
+            n = size[maybe]
+            inner = _inner(n)
+            equal = raw[inner + np.repeat(at[maybe], n)] == self.raw[inner + np.repeat(self.bytes_at[slot], n)]
+            good = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+            out[maybe[good]] = slot[good]
+        return out
+
+    def _learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of new pieces, how many each has, and the order they are in; those that stay apart when written one after another go in long runs."""
+        raw, at = utf8(new)
+        head, tail = raw[at[:-1]], raw[at[1:] - 1]
+        # pieces that end outside ASCII may end in white space, so they go alone
+        runs = _SPACE[head] & _ASCII[tail] & ~_SPACE[tail] & ~((tail >= 28) & (tail <= 31))
+        ids, sizes, order, single = [], [], [], list(np.array_split(np.flatnonzero(~runs), np.arange(500, int((~runs).sum()), 500)))
+        apart = np.flatnonzero(runs)
+        raw, at = utf8(new.take(pa.array(apart)))
+        for i in range(0, len(apart), 500):
+            group, ends = apart[i : i + 500], at[i + 1 : i + 501] - at[i]
+            text = raw[at[i] : at[i] + ends[-1]].tobytes().decode()
+            own = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            stop = np.cumsum(self.bytes[own])
+            cut = np.searchsorted(stop, ends)
+            if cut[-1] >= len(stop) or not np.array_equal(stop[cut], ends):
+                single.append(group)
                 continue
-            self._store(ids, cut + 1, first)
-            self.known.update(zip(group, range(first, first + len(group)), strict=True))
-            first += len(group)
-        for i in range(0, len(single), 1000):
-            group = single[i : i + 1000]
-            got = [x.ids for x in self.lib.encode_batch_fast(group, add_special_tokens=False)]
-            self._store(np.fromiter((t for g in got for t in g), self.dtype), np.cumsum([len(g) for g in got]), first)
-            self.known.update(zip(group, range(first, first + len(group)), strict=True))
-            first += len(group)
+            ids.append(own)
+            sizes.append(np.diff(cut, prepend=-1))
+            order.append(group)
+        for group in single:
+            if len(group):
+                for x in self.lib.encode_batch_fast(new.take(pa.array(group)).to_pylist(), add_special_tokens=False):
+                    ids.append(np.array(x.ids, self.dtype))
+                    sizes.append(np.array([len(ids[-1])]))
+                order.append(group)
+        return np.concatenate(ids), np.concatenate(sizes).astype(np.int64), np.concatenate(order)
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text begins (one more entry than texts)."""
@@ -103,18 +137,11 @@ class Encoder:
         start = np.flatnonzero(cut)
         pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(b)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(b)))
         d = pieces.dictionary_encode()
-        names = d.dictionary.to_pylist()
-        if len(self.known) > KEEP:
+        if len(self.ids_at) > KEEP:
             self.clear()
-        get = self.known.get
-        known = np.fromiter((get(x, -1) for x in names), np.int64, len(names))
-        missing = np.flatnonzero(known < 0)
-        if len(missing):
-            new = [names[i] for i in missing]
-            self._learn(new)
-            known[missing] = [get(x) for x in new]
+        known, forget = self._known(d.dictionary)
         code = d.indices.to_numpy(zero_copy_only=False)
-        size = (self.ends[known + 1] - self.ends[known]).astype(np.int32)[code]
+        size = np.diff(self.ids_at).astype(np.int32)[known][code]
         owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.searchsorted(start, at)))
         own = np.bincount(owner, size, n).astype(np.int64)
         extra = 0 if end is None else 1
@@ -123,12 +150,51 @@ class Encoder:
         if len(size):
             step = np.arange(int(size.sum()), dtype=np.int64)
             inner = np.cumsum(size, dtype=np.int64) - size
-            source = step + np.repeat(self.ends[known][code] - inner, size)
-            out[step + np.repeat(owner, size) if extra else step] = self.flat[source]
+            found = self.ids[step + np.repeat(self.ids_at[known][code] - inner, size)]
+            out[step + np.repeat(owner, size) if extra else step] = found
         if extra:
             out[out_at[1:] - 1] = end
+        if forget:  # long pieces stand at the end
+            self.ids_at, self.bytes_at = self.ids_at[:-forget], self.bytes_at[:-forget]
+            self.ids, self.raw = self.ids[: self.ids_at[-1]], self.raw[: self.bytes_at[-1]]
         return out, out_at
 
+    def _known(self, names: pa.Array) -> tuple[np.ndarray, int]:
+        """The slot of each piece, new ones included, and how many of the last slots are for this call only."""
+        raw, at = utf8(names)
+        size = np.diff(at)
+        short = np.flatnonzero(size <= LONGEST)
+        value = _hashes(raw, at[:-1][short], size[short])
+        known = np.full(len(size), -1, np.int64)
+        known[short] = self._find(raw, at[:-1][short], size[short], value)
+        missing = np.flatnonzero(known < 0)
+        if not len(missing):
+            return known, 0
+        ids, n_ids, order = self._learn(names.take(pa.array(missing)))
+        # those to keep come first; two pieces of one hash are both new here only if they differ, and one of them stays
+        by = np.full(len(size), np.uint64(0))
+        by[short] = value
+        new = missing[order]
+        keep = size[new] <= LONGEST
+        first = np.zeros(len(new), bool)
+        first[np.unique(by[new], return_index=True)[1]] = True
+        keep &= first
+        if len(self.hash):
+            keep &= self.hash[np.minimum(np.searchsorted(self.hash, by[new]), len(self.hash) - 1)] != by[new]
+        turn = np.argsort(~keep, kind="stable")
+        begin = np.cumsum(n_ids) - n_ids
+        ids = ids[_inner(n_ids[turn]) + np.repeat(begin[turn], n_ids[turn])]
+        new, n_ids, kept = new[turn], n_ids[turn], int(keep.sum())
+        slots = len(self.ids_at) - 1 + np.arange(len(new))
+        known[new] = slots
+        n = size[new] * (np.arange(len(new)) < kept)
+        self.ids, self.ids_at = np.concatenate((self.ids, ids)), np.concatenate((self.ids_at, self.ids_at[-1] + np.cumsum(n_ids)))
+        self.raw, self.bytes_at = np.concatenate((self.raw, raw[_inner(n) + np.repeat(at[new], n)])), np.concatenate((self.bytes_at, self.bytes_at[-1] + np.cumsum(n)))
+        hash_, slot = np.concatenate((self.hash, by[new[:kept]])), np.concatenate((self.slot, slots[:kept].astype(np.int32)))
+        rising = np.argsort(hash_, kind="stable")
+        self.hash, self.slot = hash_[rising], slot[rising]
+        return known, len(new) - kept
+
 
 _OWN: dict[str, Encoder] = {}
 
@@ -143,5 +209,6 @@ def encoder(path: str) -> Encoder:
 def encoded(path: str, texts: pa.Array, end: int | None):
     """(first row, ids, begins) for runs of rows of a column."""
     own = encoder(path)
-    for first, part in slices(texts, 8 << 20):
+    for first, part in slices(texts, SLICE):
         yield first, *own.encode(part, end)
+        pa.default_memory_pool().release_unused()
