@@ -1,8 +1,8 @@
-import hashlib
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm.mixing import Mix, mixed, split, taken, targets
 from tallyloom.llm.substrings import repeated_spans
@@ -38,16 +38,74 @@ def test_taken(docs, rows, none):
     for s in names:
         assert abs(sum(g["taken"] for g in got if source[g["id"]] == s) - goal[s]) <= 1
     assert sorted(map(str, taken(Mix(docs, block_words=16, shards=8)).collect())) == sorted(map(str, got))
-    # pieces of one pass never overlap, and shards hold their quotas
-    seen = set()
-    for p in m.pieces.collect():
-        for w in range(p["start"], p["start"] + p["n"]):
-            assert (p["id"], p["pass"], w) not in seen
-            seen.add((p["id"], p["pass"], w))
-        assert 0 <= p["shard"] < 8
+    # a document has one piece in a pass, and shards hold them at positions without gaps
+    pieces = m.pieces.collect()
+    assert len({(p["s"], p["id"], p["row"], p["k"], p["pass"]) for p in pieces}) == len(pieces)
+    for shard in range(8):
+        own = sorted(p["position"] for p in pieces if p["shard"] == shard)
+        assert own == list(range(len(own)))
     assert taken(Mix(none)).count() == 0
 
 
+def _blocks(m):
+    """(source, pass, block) -> shard, from the pieces: the first document of a block tells its place in the stream."""
+    at = {(r["s"], r["id"], r["row"], r["k"]): r for r in m.stream.collect()}
+    out = {}
+    for p in m.pieces.collect():
+        r = at[p["s"], p["id"], p["row"], p["k"]]
+        out.setdefault((p["s"], p["pass"], r["block"]), set()).add(p["shard"])
+    return out
+
+
+def test_the_tree_decides(docs):
+    """Each shard holds, of each source, as many blocks as its leaf says, and a block lies in one shard. Equal shares would not."""
+    m = Mix(docs, block_words=16, shards=8)
+    drawn = _blocks(m)
+    assert all(len(x) == 1 for x in drawn.values())
+    held = np.zeros_like(m.leaves)
+    for (s, _, _), (shard,) in drawn.items():
+        held[shard, m.order.index(s)] += 1
+    assert (held == m.leaves).all()
+    quotas = m.leaves.sum(0)
+    equal = np.array([[q * (i + 1) // 8 - q * i // 8 for q in quotas] for i in range(8)])
+    assert (m.leaves != equal).any()
+
+
+def test_the_draw_against_brute_force(spark, docs, rows):
+    """A mixture made row by row in Python, from the same hashes, draws the same words of the same documents."""
+    m = Mix(docs, block_words=16, shards=8, seed=5)
+    facts = m.documents.withColumn("p", F.xxhash64(F.lit(5), "row", "k")).collect()
+    got = {}
+    for p in m.pieces.collect():
+        got[p["s"], p["id"], p["row"], p["k"], p["pass"]] = p["n"]
+    want = {}
+    plan = {r["s"]: r for r in m.sources.collect()}
+    for s, t in plan.items():
+        at, blocks = 0, {}
+        for r in sorted((r for r in facts if r["s"] == s and r["size"] > 0), key=lambda r: r["p"]):
+            blocks.setdefault(at // 16, []).append(r)
+            at += r["size"]
+        for turn in range(-(-t["take"] // max(t["words"], 1))):
+            own = spark.createDataFrame([(s, turn, b) for b in blocks], "s string, pass bigint, block bigint")
+            h = {r["block"]: r["h"] for r in own.withColumn("h", F.xxhash64(F.lit(5), "s", "pass", "block")).collect()}
+            left = t["take"] - turn * t["words"]
+            for b in sorted(blocks, key=lambda b: h[b]):
+                for r in blocks[b]:
+                    n = min(r["size"], left)
+                    left -= n
+                    if n > 0:
+                        want[s, r["id"], r["row"], r["k"], turn] = n
+    assert got == want
+
+
+def test_draws_beyond_the_samplers_limit():
+    from tallyloom.llm.mixing import _some_of
+
+    counts = np.array([3_000_000_000, 5, 1_000_000_001])
+    n = _some_of(counts, 2_000_000_000, np.random.default_rng(1))
+    assert n.sum() == 2_000_000_000 and (n <= counts).all() and abs(n[0] - 1.5e9) < 1e6
+
+
 def test_mixed_texts(spark, docs, rows):
     out = mixed(docs, block_words=16, shards=8)
     assert out.columns == docs.columns
@@ -94,4 +152,3 @@ def test_repeated_spans_edges(spark, none):
     d = spark.createDataFrame([(1, same, 0), (1, same, 1), (None, same, 2), (None, None, 3)], "doc_id bigint, text string, n_words int")
     got = sorted((str(r["id"]), r["n_removed"]) for r in repeated_spans(d).collect())
     assert got == [("1", 0), ("1", 0), ("None", 0), ("None", 60)]
-    assert hashlib.sha256(b"").hexdigest()
