@@ -32,9 +32,11 @@ def id_key(name: str) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
+    """The shared folder that the cluster names. Without one, a local session gets a folder of its own and any other is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -66,9 +68,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def release(spark: SparkSession | None = None) -> None:
-    """Delete the scratch tables made so far; results that read them must be consumed first."""
-    while _MADE:
+def marked() -> int:
+    """How many scratch tables there are, for `release`."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession | None = None, since: int = 0) -> None:
+    """Delete the scratch tables made so far, or since a mark; results that read them must be consumed first."""
+    while len(_MADE) > since:
         own, path = _MADE.pop()
         try:
             delete_path(spark or own, path)
