@@ -2,13 +2,17 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. It is written as Parquet and read again as the next one's docs.
 All stages but the last return the columns of documents.
+
+Defined results: a null text counts as empty everywhere (no terms, no words, one end id); empty texts are copies of each other, and the mixture
+draws no text without words; a null id is an id of its own kind and sorts last; rows that repeat one another are copies; ties go to
+the smaller id, then to the text's hash; extra columns pass through, whatever their names; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm.common import scratch_path
+from tallyloom.llm.common import marked, release, scratch_path
 from tallyloom.llm.exact_dedup import drop_copies
 from tallyloom.llm.mixing import mixed
 from tallyloom.llm.near_dedup import drop_near
@@ -33,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mixture takes: a document whole, cut at its target's end, or twice."""
+    """What the mixture takes, shard by shard: a document whole, cut where its source's target ends, or twice."""
     return mixed(docs)
 
 
@@ -52,6 +56,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage_{name}")
+        mark = marked()
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, mark)  # the stage's own scratch tables
         docs = spark.read.parquet(path)
     return docs
