@@ -22,13 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_of(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def text_of(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit(""))
 
 
-def id_key(name: str) -> Column:
+def plain(docs: DataFrame, *names: str) -> tuple[DataFrame, ...]:
+    """docs with its columns named c0, c1, .., and the Column of each name, so that no other column's name can clash with ours.
+
+    A name means the column that has it, else the only one that has it but for case.
+    """
+    own = docs.columns
+    at = []
+    for name in names:
+        loose = [i for i, c in enumerate(own) if c.lower() == name.lower()]
+        at.append(own.index(name) if name in own else loose[0])
+    return docs.toDF(*[f"c{i}" for i in range(len(own))]), *[F.col(f"c{i}") for i in at]
+
+
+def named_as(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns c0, c1, .. under their own names again; changed: others in their place."""
+    return rows.select(*[changed.get(f"c{i}", F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+
+
+def id_key(value: Column) -> Column:
     """An id as text that is never null, so that joins and windows over it share one partitioning."""
-    return F.coalesce(F.concat(F.lit("="), F.col(f"`{name}`").cast("string")), F.lit(""))
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -11,20 +11,21 @@ of null ids only keeps one row; an empty table gives an empty result; extra colu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, id_key, materialize, text_of
+from .common import SPACE, id_key, materialize, named_as, plain, text_of
 
 
-def _normalised(text_col: str):
-    return F.regexp_replace(text_of(f"`{text_col}`"), SPACE, " ")
+def _normalised(text: Column) -> Column:
+    return F.regexp_replace(text_of(text), SPACE, " ")
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=lambda norm: F.unhex(F.md5(norm))) -> DataFrame:
     """A row for each document: id, keep_id, group_size, kept, text_sha256, text_hash."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), _normalised(text_col).alias("norm")).withColumn("h", digest(F.col("norm")))
+    own, id_, text = plain(docs, id_col, text_col)
+    rows = own.select(id_.alias("id"), _normalised(text).alias("norm")).withColumn("h", digest(F.col("norm")))
     classes = rows.groupBy("h", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     classes = classes.withColumn("n_texts", F.count(F.lit(1)).over(W.partitionBy("h")))
     slim = materialize(classes.where("group_size > 1 OR n_texts > 1").select("h", "keep_id", "group_size", "n_texts"), "copy_groups")
@@ -46,9 +47,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    keepers = copies(docs, id_col, text_col).where("kept").select(id_key("id").alias("__key"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumn("__key", id_key(id_col)).withColumn("__sha", F.sha2(_normalised(text_col), 256))
+    keepers = copies(docs, id_col, text_col).where("kept").select(id_key(F.col("id")).alias("key"), F.col("text_sha256").alias("sha"))
+    own, id_, text = plain(docs, id_col, text_col)
+    own = own.withColumn("key", id_key(id_)).withColumn("sha", F.sha2(_normalised(text), 256))
     # the window stands on the join's partitioning: texts are dealt out once here
-    kept = own.join(keepers, ["__key", "__sha"], "left_semi")
-    first = F.row_number().over(W.partitionBy("__key", "__sha").orderBy(F.lit(1)))
-    return kept.withColumn("__row", first).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = own.join(keepers, ["key", "sha"], "left_semi")
+    first = F.row_number().over(W.partitionBy("key", "sha").orderBy(F.lit(1)))
+    return named_as(kept.withColumn("row", first).where("row = 1"), docs)

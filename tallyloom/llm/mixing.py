@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, id_key, materialize, text_of
+from .common import SPACE, WORD, id_key, materialize, named_as, plain, text_of
 
 MAX_SOURCES = 100_000
 #: Rows that a bucket of a permuted order holds on average.
@@ -75,14 +75,9 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     return np.concatenate((split(mine, left, rng), split(quotas - mine, shards - left, rng)))
 
 
-def _source_key(name: str = "source") -> Column:
-    """A source as text that is never null."""
-    return F.coalesce(F.concat(F.lit("="), F.col(f"`{name}`").cast("string")), F.lit(""))
-
-
-def _row(id_col: str, text_col: str) -> Column:
+def _row(id_: Column, text: Column) -> Column:
     """The text's hash tells apart rows that share an id."""
-    return F.xxhash64(F.col(f"`{id_col}`").cast("bigint"), text_of(f"`{text_col}`"))
+    return F.xxhash64(id_.cast("bigint"), text_of(text))
 
 
 def _unit(value: Column) -> Column:
@@ -110,8 +105,9 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights=(5, 2, 1), share=1.5, most=2.0, shards=None, block_words=256, shard_words=SHARD_WORDS, seed=20240, id_col="doc_id", text_col="text", source_col="source"):
         spark = docs.sparkSession
-        size = F.regexp_count(text_of(f"`{text_col}`"), F.lit(WORD)).cast("bigint")
-        rows = docs.select(F.col(f"`{source_col}`").alias("source"), _source_key(source_col).alias("s"), F.col(f"`{id_col}`").cast("bigint").alias("id"), _row(id_col, text_col).alias("row"), size.alias("size"))
+        own, source, id_, text = plain(docs, source_col, id_col, text_col)
+        size = F.regexp_count(text_of(text), F.lit(WORD)).cast("bigint")
+        rows = own.select(source.cast("string").alias("source"), id_key(source).alias("s"), id_.cast("bigint").alias("id"), _row(id_, text).alias("row"), size.alias("size"))
         # rows that agree in all of this are counted first and told apart by a number, so that many of them spread like others
         alike = rows.groupBy("source", "s", "id", "row", "size").agg(F.count(F.lit(1)).alias("copies"))
         alike = materialize(alike, "sizes")
@@ -201,19 +197,24 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     A partition is a shard, in the order of the local shuffle. `n_chars`, if there, follows the text.
     """
     mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], _source_key(source_col).alias("s"), id_key(id_col).alias("key"), _row(id_col, text_col).alias("row"))
-    pieces = mix.pieces.withColumn("key", id_key("id")).select("s", "key", "row", "size", "n", "shard", "position")
+    own, source, id_, text = plain(docs, source_col, id_col, text_col)
+    names = own.columns
+    own = own.select("*", id_key(source).alias("s"), id_key(id_.cast("bigint")).alias("key"), _row(id_, text).alias("row"))
+    pieces = mix.pieces.withColumn("key", id_key(F.col("id"))).select("s", "key", "row", "size", "n", "shard", "position")
     # rows that agree in all of the key stand for each other: the k-th drawn takes any one of them
     if mix.most_copies > 1:
         own = own.groupBy("s", "key", "row").agg(*[F.first(n).alias(n) for n in names])
     j = own.join(pieces, ["s", "key", "row"])
     j = j.repartitionById(mix.shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "position")
-    text = F.col(names[docs.columns.index(text_col)])
     words = F.regexp_extract_all(text, F.lit(f"(?:{SPACE})?{WORD}"), F.lit(0))  # each with the white space before it
     cut = F.when(F.col("size") == F.col("n"), text).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("n").cast("int")), ""))
-    out = {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)}
-    out[text_col] = cut
-    if "n_chars" in out:
-        out["n_chars"] = F.length(cut).cast(docs.schema["n_chars"].dataType)
-    return j.select(*[c.alias(name) for name, c in out.items()])
+    changed = {_name(docs, text_col): cut}
+    if "n_chars" in docs.columns:
+        changed[_name(docs, "n_chars")] = F.length(cut).cast(docs.schema["n_chars"].dataType)
+    return named_as(j, docs, **changed)
+
+
+def _name(docs: DataFrame, column: str) -> str:
+    """The plain name of a column."""
+    own = docs.columns
+    return f"c{own.index(column) if column in own else [c.lower() for c in own].index(column.lower())}"

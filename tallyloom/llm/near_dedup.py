@@ -8,11 +8,12 @@ components propose pairs; every link is then verified by the exact Jaccard simil
 shingles also emits the bands of the same process with all weights 1. There the probability Jaccard index is that of the sets, so
 a pair is proposed by the measure that verifies it, however unequally its shingles repeat; other texts have these bands already.
 
-Texts with the same words collapse into one first (64-bit hash), so groups of copies stay out of the pairs. In each band's
+Texts with the same words collapse into one first (64-bit names, told apart by 64 further bits), so groups of copies stay out of the pairs. In each band's
 bucket all members are compared with the smallest id; verified links give components. Buckets whose
 members still lie in several components go, with equal buckets taken once, to tasks that compare their members across
-components all with all and return a spanning set of the links found. A large bucket is split into chunks, and each pair of chunks is
-a task. So no link between members of a bucket is lost, and rows grow with the members, not with their pairs.
+components all with all and return a spanning set of the links found. A bucket of more than CHUNK such members is split into chunks of
+that size, and each pair of chunks is a task: no link between members of a bucket is lost and no task grows, but n members of a bucket that the
+first round leaves apart are sent n / CHUNK times each.
 
 Defined results: a null, empty or blank text has no shingles; such texts have the same words and form one class; a null id
 counts as larger than all others; repeated rows share a class; `drop_near` keeps one row of each class, that with the smallest
@@ -23,11 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_shuffles, id_key, materialize, mix64, text_of
+from .common import SPACE, free_shuffles, id_key, materialize, mix64, named_as, plain, text_of
 from .components import components
 from .words import Words, slices
 
@@ -35,6 +36,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 #: Members of a bucket that one task compares.
 CHUNK = 500
+#: Shingles whose arrivals are drawn at a time.
+RUN = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MUL = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63))
 
@@ -44,7 +47,18 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = Words(texts)
     x = w.hashes()
     n = np.where(w.count >= SHINGLE, w.count - SHINGLE + 1, (w.count > 0).astype(np.int64))
-    doc = np.repeat(np.arange(len(n)), n)
+    if len(n) == 1:  # one text, perhaps a very long one
+        value = np.zeros(int(n[0]), np.uint64)
+        size = min(len(x), SHINGLE)
+        for k in range(size):
+            value += x[k : k + len(value)] * _MUL[k]
+        value = mix64(value + np.uint64(size))
+        value.sort()
+        new = np.ones(len(value), bool)
+        new[1:] = value[1:] != value[:-1]
+        at = np.flatnonzero(new)
+        return np.zeros(len(at), np.int32), value[at], np.diff(np.append(at, len(value)))
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
     start = np.repeat(w.first[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     size = np.minimum(w.count, SHINGLE)[doc]
     value = np.zeros(len(doc), np.uint64)
@@ -63,6 +77,12 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, n: int, m: int = BANDS * ROWS) -> np.ndarray:
     """n x m components: the low 32 bits of the shingle that arrives first."""
     best = np.full(n * m, np.uint64(0xFFFFFFFF) << np.uint64(32))
+    for a in range(0, len(doc), RUN):  # the least of all runs is the least of all
+        _arrive(best, doc[a : a + RUN], value[a : a + RUN], count[a : a + RUN], n, m)
+    return (best & np.uint64(0xFFFFFFFF)).reshape(n, m)
+
+
+def _arrive(best: np.ndarray, doc: np.ndarray, value: np.ndarray, count: np.ndarray, n: int, m: int) -> None:
     weight = 1 + np.log2(count)
     time, seed, own, name = np.zeros(len(doc)), value.copy(), doc.astype(np.int64), value & np.uint64(0xFFFFFFFF)
     while len(own):
@@ -79,7 +99,6 @@ def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, n: int, m:
         latest[left] = best.reshape(n, m)[left].max(1)
         stay = key < latest[own]
         time, seed, own, name, weight = time[stay], seed[stay], own[stay], name[stay], weight[stay]
-    return (best & np.uint64(0xFFFFFFFF)).reshape(n, m)
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
@@ -216,29 +235,61 @@ def _rest(keys: DataFrame, parts: DataFrame, sets: DataFrame, least: float) -> D
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text, id): words with one space between them, and their 64-bit hash, which names the text from here on."""
-    text = F.trim(F.regexp_replace(text_of(f"`{text_col}`"), SPACE, " "))
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), text.alias("text"))
-    return rows.withColumn("id", F.xxhash64("text"))
+def _text(text: Column) -> Column:
+    """Words with one space between them."""
+    return F.trim(F.regexp_replace(text_of(text), SPACE, " "))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own, id_, text = plain(docs, id_col, text_col)
+    return own.select(id_.cast("bigint").alias("doc"), _text(text).alias("text"))
+
+
+class Names:
+    """64-bit names of word sequences, no two of which share one: a second hash of 64 bits tells where texts would, and those get other names."""
+
+    def __init__(self, first=lambda text: F.xxhash64(text)):
+        self.first = first
+        self.again: list[list[int]] = []
+
+    def of(self, text: Column) -> Column:
+        name = self.first(text)
+        for turn, clash in enumerate(self.again):
+            name = F.when(name.isin(clash), F.xxhash64(F.lit(turn), text)).otherwise(name)
+        return name
+
+    def settle(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, copy_of, n) of each word sequence: its name, the smallest id that has it and how many rows do.
+
+        Among n texts n * n / 2 ** 65 pairs clash: about 3 among 1e10, so their names fit on the driver.
+        """
+        while True:
+            rows = _rows(docs, id_col, text_col).select("doc", self.of(F.col("text")).alias("id"), F.xxhash64(F.lit("check"), "text").alias("check"))
+            texts = materialize(rows.groupBy("id").agg(F.min("doc").alias("copy_of"), F.count(F.lit(1)).alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi")), "texts")
+            clash = [r["id"] for r in texts.where("lo <> hi").select("id").collect()]
+            if not clash:
+                return texts.drop("lo", "hi")
+            self.again.append(clash)
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, copy_of (smallest id with the same words), class_id (smallest id of its class), class_size."""
-    return _classes(docs, similarity, id_col, text_col).select("id", "copy_of", "class_id", "class_size")
+    return _classes(docs, Names(), similarity, id_col, text_col).select("id", "copy_of", "class_id", "class_size")
 
 
-def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """`classes` with the hash of the document's words, and of the words that stand for its class: words, class_words."""
+def _classes(docs: DataFrame, names: Names, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """`classes` with the name of the document's words, and of the words that stand for its class: words, class_words."""
     spark = docs.sparkSession
-    rows = _words(docs, id_col, text_col)
-    texts = materialize(rows.groupBy("id").agg(F.min("doc").alias("copy_of"), F.count(F.lit(1)).alias("n")), "texts")
-    keys = materialize(_keys(rows.select("id", "text").dropDuplicates(["id"])), "buckets")
+    texts = names.settle(docs, id_col, text_col)
+    rows = _rows(docs, id_col, text_col).withColumn("id", names.of(F.col("text")))
+    one = materialize(rows.select("id", "text").dropDuplicates(["id"]), "distinct_texts")
+    free_shuffles(spark)
+    keys = materialize(_keys(one), "buckets")
     free_shuffles(spark)
     hubs = keys.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
     shared = materialize(keys.join(hubs, "bucket").select("bucket", "id", "a"), "shared_buckets")
     wanted = shared.select("id").distinct()
-    sets = materialize(_sets(rows.select("id", "text").dropDuplicates(["id"]).join(wanted, "id", "left_semi")), "shingle_sets")
+    sets = materialize(_sets(one.join(wanted, "id", "left_semi")), "shingle_sets")
     free_shuffles(spark)
     pairs = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = materialize(_verified(pairs, sets, similarity), "links")
@@ -254,10 +305,11 @@ def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) ->
 
 def drop_near(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, that with the smallest id and hash of its words, with all its columns."""
-    found = _classes(docs, similarity, id_col, text_col).where((F.col("id").eqNullSafe(F.col("class_id"))) & (F.col("words") == F.col("class_words")))
-    stay = found.select(id_key("id").alias("__key"), F.col("words").alias("__words")).distinct()
-    words = F.xxhash64(F.trim(F.regexp_replace(text_of(f"`{text_col}`"), SPACE, " ")))
+    names = Names()
+    found = _classes(docs, names, similarity, id_col, text_col).where((F.col("id").eqNullSafe(F.col("class_id"))) & (F.col("words") == F.col("class_words")))
+    stay = found.select(id_key(F.col("id")).alias("key"), "words").distinct()
     # the window stands on the join's partitioning: texts are dealt out once here
-    own = docs.withColumn("__key", id_key(id_col)).withColumn("__words", words).join(stay, ["__key", "__words"], "left_semi")
-    first = F.row_number().over(W.partitionBy("__key", "__words").orderBy(F.lit(1)))  # rows that repeat id and words
-    return own.withColumn("__row", first).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, id_, text = plain(docs, id_col, text_col)
+    own = own.withColumn("key", id_key(id_.cast("bigint"))).withColumn("words", names.of(_text(text))).join(stay, ["key", "words"], "left_semi")
+    first = F.row_number().over(W.partitionBy("key", "words").orderBy(F.lit(1)))  # rows that repeat id and words
+    return named_as(own.withColumn("row", first).where("row = 1"), docs)

@@ -6,7 +6,8 @@ a beta prior is fitted to the rates by moments; a host whose shrunken rate of ba
 all its documents, and others lose only those that fail the base rules.
 
 Defined results: a null or blank text has no words and fails; a null host stands for no host and gets no verdict;
-repeated rows count each; an empty table gives an empty result; extra columns pass through `drop_failing`.
+repeated rows count each, and rows that share an id are judged each by its own text and host; an empty table gives an empty result; extra
+columns pass through `drop_failing`.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, materialize, text_of
+from .common import SPACE, WORD, id_key, materialize, named_as, plain, text_of
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -65,7 +66,8 @@ def _repeat_words(words: Column) -> Column:
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
     """A row for each document: id, host, the counts, and the rules that fail."""
-    t = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{host_col}`").alias("host"), text_of(f"`{text_col}`").alias("t"))
+    own, id_, host, text = plain(docs, id_col, host_col, text_col)
+    t = own.select(id_.alias("id"), host.alias("host"), text_of(text).alias("t"))
     t = t.withColumn("words", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD))
     t = t.select(
@@ -119,5 +121,10 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 def drop_failing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The documents that stay, with all their columns; a null id is matched as such."""
-    stay = verdicts(docs, id_col, text_col, host_col, rules).where("kept").select(F.col("id").alias("__id")).distinct()
-    return docs.join(stay, docs[f"`{id_col}`"].eqNullSafe(stay["__id"]), "left_semi")
+    own, id_, host, text = plain(docs, id_col, host_col, text_col)
+    # rows of one id stay or go by their own text and host
+    mark = lambda i, h, t: F.xxhash64(i, h, text_of(t))
+    rows = own.withColumns({"key": id_key(id_), "mark": mark(id_, host, text)})
+    marked = rows.select(F.struct("key", "mark").alias("id"), host.alias("host"), text.alias("text"))
+    stay = verdicts(marked, "id", "text", "host", rules).where("kept").select("id.key", "id.mark").distinct()
+    return named_as(rows.join(stay, ["key", "mark"], "left_semi"), docs)

@@ -7,7 +7,7 @@ import pytest
 
 from tallyloom.llm.common import mix64
 from tallyloom.llm.components import components
-from tallyloom.llm.near_dedup import BANDS, ROWS, classes, drop_near, shingles, signatures
+from tallyloom.llm.near_dedup import BANDS, ROWS, Names, _classes, classes, drop_near, shingles, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -126,6 +126,17 @@ def test_sets_propose_what_sets_verify(spark):
     assert got == brute(rows) == {i: i // 2 * 2 for i in range(80)}
 
 
+def test_names_that_clash(spark):
+    """Different texts whose names would be equal get other names, and nothing is merged or lost."""
+    from pyspark.sql import functions as F
+
+    rows = near_rows(5)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    names = Names(lambda t: F.pmod(F.xxhash64(t), F.lit(11)))
+    got = {r["id"]: r["class_id"] for r in _classes(docs, names, 0.8, "doc_id", "text").collect()}
+    assert names.again and got == brute(rows)
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)]
