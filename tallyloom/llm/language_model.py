@@ -5,13 +5,13 @@ share. The weights depend on how often the context was seen: contexts fall into
 are learned by expectation-maximisation on held-out counts, which deletion gives: each training token is predicted from
 the counts without itself. A word's context is the word before it; the end token is the context of a first word.
 
-Counting: each block of documents sends its distinct words and word pairs as 64-bit hashes with their training counts to the range
-that owns them and gets the corpus counts back, so a common pair costs one entry for each block. What a block then knows
+Counting: each block of documents sends its distinct words and word pairs as 64-bit hashes with their training counts up a tree of
+bounded fan-out (`exchange`) and gets the corpus counts back. What a block then knows
 of each of its tokens (counts of the pair and of the word) is written once; the weights' statistics and the scores
 are two passes over that table. The statistics round the two estimates to a quarter of a power of two,
 which bounds what comes to the driver.
 
-Defined results: a null text is empty and has the end token only; a null id is learned from as if its text was empty;
+Defined results: a null text is empty and has the end token only; a row with a null id is learned from like any other unless `held` says otherwise (a null there means learned from);
 repeated rows count each; without training rows all scores come from the uniform share; extra columns are ignored.
 """
 
@@ -23,14 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_shuffles, materialize, mix64
-from .exchange import RANGE_KEYS, blocks, cuts, pack, unpack
-from .words import Words
+from .exchange import ASK, BLOCK_BYTES, FAN, RANGE_KEYS, Total, Tree, blocks, pack, unpack
+from .words import Words, distinct
 
 END = np.uint64(0x5851F42D4C957F2D)
 PAIR = np.uint64(0xDA942042E4DD58B5)
 #: Steps of the rounding, in parts of a power of two, and its smallest value.
 STEP, LOWEST = 4, -44
-SENT = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("n_words", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 class Block:
@@ -49,70 +48,23 @@ class Block:
         before[1:] = token[:-1]
         before[self.at[:-1]] = END
         self.train = np.repeat(~self.held, self.n)
-        self.word, self.word_of = np.unique(token, return_inverse=True)
-        self.pair, self.pair_of = np.unique(mix64(before * PAIR + token), return_inverse=True)
-        #: index among the words of the context of each token; the end token is always there
-        self.before_of = np.searchsorted(self.word, before)
-
-    def count(self, of: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(of, self.train, n).astype(np.uint32)
-
-
-def _send(table: pa.Table, ranges: int) -> pa.Table:
-    b = Block(table)
-    block = table.column("block")[0].as_py()
-    out = []
-    w_at, p_at = cuts(b.word, ranges), cuts(b.pair, ranges)
-    w_n, p_n = b.count(b.word_of, len(b.word)), b.count(b.pair_of, len(b.pair))
-    for i in range(ranges):
-        w, p = slice(w_at[i], w_at[i + 1]), slice(p_at[i], p_at[i + 1])
-        # pairs and words are sorted each; the words come first
-        keys = pack(np.concatenate((b.word[w], b.pair[p])), True) if w.stop > w.start or p.stop > p.start else None
-        if keys is not None:
-            out.append({"range": i, "block": block, "n_words": int(w.stop - w.start), "keys": keys, "counts": pack(np.concatenate((w_n[w], p_n[p])))})
-    return pa.Table.from_pylist(out, SENT)
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-    """The sums over equal keys, in the order of the lists, and the number of keys with a sum."""
-    all_keys = np.concatenate(keys)
-    order = np.argsort(all_keys, kind="stable")
-    if not len(order):
-        return [np.zeros(0, np.uint32) for _ in keys], 0
-    ranked = all_keys[order]
-    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    total = np.add.reduceat(np.concatenate(counts).astype(np.int64)[order], first)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.repeat(total, np.diff(np.append(first, len(order))))
-    return np.split(out, np.cumsum([len(k) for k in keys])[:-1]), int((total > 0).sum())
-
-
-TOLD = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("n_types", pa.int64()), ("counts", pa.binary())])
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    got = table.to_pylist()
-    keys, counts = [unpack(r["keys"], np.uint64, True) for r in got], [unpack(r["counts"], np.uint32) for r in got]
-    n = [r["n_words"] for r in got]
-    words, types = _summed([k[:m] for k, m in zip(keys, n, strict=True)], [c[:m] for c, m in zip(counts, n, strict=True)])
-    pairs, _ = _summed([k[m:] for k, m in zip(keys, n, strict=True)], [c[m:] for c, m in zip(counts, n, strict=True)])
-    out = [{"range": r["range"], "block": r["block"], "n_types": types if i == 0 else 0, "counts": pack(np.concatenate((w, p)))} for i, (r, w, p) in enumerate(zip(got, words, pairs, strict=True))]
-    return pa.Table.from_pylist(out, TOLD)
+        before *= PAIR
+        before += token
+        self.word, _, self.word_of = distinct(token)
+        del token
+        self.pair, _, self.pair_of = distinct(mix64(before))
+
+    def tracks(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Words and pairs with their training counts."""
+        return [(keys, np.bincount(of, self.train, len(keys)).astype(np.int64)) for keys, of in ((self.word, self.word_of), (self.pair, self.pair_of))]
 
 
 KNOWN = "ids array<bigint>, held array<boolean>, n array<bigint>, n_types bigint, n_train bigint, word binary, pair binary, context binary"
 
 
-def _know(left: pa.Table, right: pa.Table, ranges: int) -> pa.Table:
+def _know(left: pa.Table, right: pa.Table, tree: Tree) -> pa.Table:
     b = Block(left)
-    word, pair = np.zeros(len(b.word), np.int64), np.zeros(len(b.pair), np.int64)
-    w_at, p_at = cuts(b.word, ranges), cuts(b.pair, ranges)
-    types = 0
-    for r in right.to_pylist():
-        i, c = r["range"], unpack(r["counts"], np.int64)
-        m = w_at[i + 1] - w_at[i]
-        word[w_at[i] : w_at[i + 1]], pair[p_at[i] : p_at[i + 1]] = c[:m], c[m:]
-        types += r["n_types"]
+    (word, pair), types = tree.read(b.tracks(), right, 1)
     # the context's count follows from the words: it is the count of the token before, or of the end token
     end = word[np.searchsorted(b.word, END)]
     cols = [[b.ids.to_pylist()], [b.held.tolist()], [b.n.tolist()], [types], [int(b.train.sum())], [pack(word[b.word_of])], [pack(pair[b.pair_of])], [pack(np.array([end]))]]
@@ -166,18 +118,18 @@ def learn(cells: list[tuple[int, int, int, int]], types: int, rounds: int = 60)
     return weights
 
 
-def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_keys: int = RANGE_KEYS, fan: int = FAN) -> DataFrame:
     """A row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held: a boolean Column over `id`; rows where it is true are scored but not learned from.
     """
     spark = docs.sparkSession
-    rows, size = blocks(docs, id_col, text_col)
+    rows, size, n_blocks = blocks(docs, id_col, text_col, block_bytes)
     rows = rows.select("id", "text", "block", F.coalesce(held, F.lit(False)).alias("held"))
-    ranges = size // 8 // RANGE_KEYS + 1
-    asked = rows.groupBy("block").applyInArrow(lambda t: _send(t, ranges), "range int, block int, n_words int, keys binary, counts binary")
-    told = asked.groupBy("range").applyInArrow(_answer, "range int, block int, n_types bigint, counts binary")
-    known = materialize(rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _know(a, b, ranges), KNOWN), "known_counts", "none")
+    tree = Tree(n_blocks, size // 8 // range_keys + 1, Total, fan)  # about eight bytes of text for each key
+    asked = rows.groupBy("block").applyInArrow(lambda t: tree.messages(Block(t).tracks(), 1, 0, t.column("block")[0].as_py()), ASK)
+    told = tree.ask(asked)
+    known = materialize(rows.groupBy("block").cogroup(told.groupBy("child")).applyInArrow(lambda a, b: _know(a, b, tree), KNOWN), "known_counts", "none")
     del asked, told
     free_shuffles(spark)
     sums = known.agg(F.sum("n_types").alias("types"), F.sum("n_train").alias("tokens")).first()

@@ -14,6 +14,8 @@ _LOWER[65:91] += 32
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.ones(1, np.uint64)
+#: Bytes of words that are hashed at a time.
+RUN = 1 << 20
 
 
 def powers(n: int) -> np.ndarray:
@@ -46,6 +48,19 @@ def slices(texts: pa.Array, most: int = 4 << 20):
         yield int(a), texts.slice(int(a), int(b - a))
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rising distinct values, where each stands first, and by value its place among them."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    kept, first = ranked[new], order[new]
+    del ranked
+    place = np.empty(len(order), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return kept, first, place
+
+
 class Words:
     """All words of a run of texts: `word` (one StringArray), and for each its text and its place in bytes."""
 
@@ -54,43 +69,42 @@ class Words:
         self.raw, self.text_at = utf8(texts)
         if lower:
             self.raw = _LOWER[self.raw]
-        space = np.ones(len(self.raw) + 1, bool)
+        n = len(self.raw)
+        kind = np.int32 if n < 1 << 31 else np.int64
+        space = np.ones(n + 1, bool)  # by place: whether white space stands there
         space[:-1] = apart[self.raw]
-        edge = np.ones(len(self.raw) + 1, bool)
-        edge[1:] = space[:-1]
-        edge[self.text_at] = True  # a word ends with its text
-        self.start = np.flatnonzero(edge[:-1] & ~space[:-1])
-        stop = space.copy()
-        stop[self.text_at] = True
-        ends = np.flatnonzero(stop)
-        self.stop = ends[np.searchsorted(ends, self.start, "right")]
+        edge = np.zeros(n + 1, bool)  # a word ends with its text
+        edge[self.text_at] = True
+        begins = ~space[:-1] & edge[:-1]
+        begins[1:] |= ~space[1:-1] & space[:-2]
+        self.start = np.flatnonzero(begins).astype(kind)
+        del begins
+        self.stop = (np.flatnonzero(~space[:-1] & (space[1:] | edge[1:])) + 1).astype(kind)
+        del space, edge
         #: number of words in each text, and the first word of each
         self.first = np.searchsorted(self.start, self.text_at)
         self.count = np.diff(self.first)
 
-    def codes(self, sep: int = 0) -> tuple[np.ndarray, pa.Array]:
-        """A code for each word and the distinct words."""
-        # Arrow strings need contiguous bytes: word and the space that follows share a slot, so words are gathered.
-        size = self.stop - self.start
-        at = np.concatenate(([0], np.cumsum(size)))
-        inside = np.zeros(len(self.raw) + 1, np.int8)
-        np.add.at(inside, self.start, 1) if len(self.start) < 64 else inside.__setitem__(self.start, 1)
-        inside[self.stop[self.stop < len(inside)]] -= 1
-        keep = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-        data = self.raw[keep]
-        words = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data))
-        d = words.dictionary_encode()
-        return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
-
     def hashes(self) -> np.ndarray:
-        """A 64-bit polynomial hash of each word's bytes, the same in every process."""
-        size = self.stop - self.start
-        if not len(size):
-            return np.zeros(0, np.uint64)
-        at = np.cumsum(size) - size
-        inner = np.arange(int(size.sum())) - np.repeat(at, size)
-        value = _BYTE[self.raw[inner + np.repeat(self.start, size)]] * powers(int(size.max()))[inner]
-        return mix64(np.add.reduceat(value, at) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        """A 64-bit polynomial hash of each word's bytes, the same in every process. Works on RUN bytes of words at a time."""
+        size = (self.stop - self.start).astype(np.int64)
+        value = np.zeros(len(size), np.uint64)
+        ends = np.cumsum(size)
+        edge = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, RUN)), len(size)))
+        for a, b in zip(edge, edge[1:], strict=False):
+            own = np.flatnonzero(size[a:b] <= RUN) + a
+            if len(own):
+                n = size[own]
+                at = np.cumsum(n) - n
+                inner = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(at.astype(np.int32), n)
+                value[own] = np.add.reduceat(_BYTE[self.raw[inner + np.repeat(self.start[own], n)]] * powers(int(n.max()))[inner], at)
+        for i in np.flatnonzero(size > RUN):  # one word longer than a run
+            part, total = self.raw[self.start[i] : self.stop[i]], 0
+            for k in range(0, len(part), RUN):
+                own = part[k : k + RUN]
+                total += int((_BYTE[own] * powers(RUN)[: len(own)]).sum(dtype=np.uint64)) * pow(int(_BASE), k, 1 << 64)
+            value[i] = total % (1 << 64)
+        return mix64(value + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def prefixes(self, k: int) -> np.ndarray:
         """A hash of the first k bytes of each word longer than that, 0 for the others."""

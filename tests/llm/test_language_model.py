@@ -25,12 +25,9 @@ def brute(rows):
     return {i: (held[i], len(own), sum(c[t] > 0 for t in own), n, sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own)) for i, own in tokens.items()}, c, tokens, held
 
 
-@pytest.mark.parametrize("block_bytes", [None, 2000])
-def test_scores(docs, rows, block_bytes, monkeypatch):
-    if block_bytes:
-        monkeypatch.setattr("tallyloom.llm.exchange.BLOCK_BYTES", block_bytes)
-        monkeypatch.setattr("tallyloom.llm.language_model.RANGE_KEYS", 400)
-    got = {r["id"]: r for r in score(docs, held_out()).collect()}
+@pytest.mark.parametrize("small", [{}, {"block_bytes": 2000, "range_keys": 400}, {"block_bytes": 2000, "range_keys": 400, "fan": 3}])
+def test_scores(docs, rows, small):
+    got = {r["id"]: r for r in score(docs, held_out(), **small).collect()}
     want, c, tokens, held = brute(rows)
     assert got.keys() == want.keys()
     for i, w in want.items():

@@ -133,12 +133,9 @@ def brute_spans(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "block_bytes"), [(50, None), (5, 500)])
-def test_repeated_spans(docs, rows, window, block_bytes, monkeypatch):
-    if block_bytes:
-        monkeypatch.setattr("tallyloom.llm.exchange.BLOCK_BYTES", block_bytes)
-        monkeypatch.setattr("tallyloom.llm.substrings.RANGE_KEYS", 300)
-    got = {r["id"]: r for r in repeated_spans(docs, window).collect()}
+@pytest.mark.parametrize(("window", "small"), [(50, {}), (5, {"block_bytes": 500, "range_keys": 300}), (5, {"block_bytes": 500, "range_keys": 300, "fan": 3})])
+def test_repeated_spans(docs, rows, window, small):
+    got = {r["id"]: r for r in repeated_spans(docs, window, **small).collect()}
     want = brute_spans(rows, window)
     assert got.keys() == want.keys() and any(w[1] for w in want.values())
     for d, (n, gone, kept) in want.items():
