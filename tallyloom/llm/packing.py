@@ -4,7 +4,8 @@ Items of one length are alike, so the plan is made over the counts of the length
 the input). For each bin the longest length left is fixed, and a subset-sum over bitsets finds the fullest
 feasible combination of the lengths left. It is removed as often as the counts allow, which uses up a length each time; a
 plan thus has at most `capacity` patterns. Documents then take the places of their length by rank; ranks come
-from counts of (chunk, length) and a window inside each chunk, so no length has to meet in one task.
+from counts of (chunk, length) and a window inside each chunk, so no length has to meet in one task: a length of n pieces has
+about sqrt(n) chunks of sqrt(n) pieces. A piece finds its pattern by cells of ranks, of which a part of a pattern covers few.
 
 Defined results: a null text is empty and gives one piece of the end id; repeated rows are packed each; rows with a
 null id are packed too; an empty table gives an empty result.
@@ -13,19 +14,16 @@ null id are packed too; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from math import isqrt
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, plain
 from .tokens import encoded
 
-#: Pieces of one length that a chunk holds on average; ranks are counted inside chunks.
-CHUNK = 2_000
-
 
 def fullest(counts: list[int], capacity: int, lengths: list[int]) -> list[tuple[int, int]]:
     """The fullest combination with the longest length left: (length, times) in falling order of length.
@@ -119,34 +117,39 @@ def pieces(docs: DataFrame, vocab: str, end_id: int, capacity: int, id_col: str
                     names=["id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(cut, schema)
+    own_, id_, text = plain(docs, id_col, text_col)
+    return own_.select(id_.cast("bigint").alias("id"), text.cast("string").alias("t")).mapInArrow(cut, schema)
 
 
 def ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """`rank` of each row among those of its length, from 0. A length has as many chunks as its count asks for."""
-    chunks = rows.sparkSession.createDataFrame([(int(k), -(-int(n) // CHUNK)) for k, n in counts.items()], "length int, chunks int")
+    """`rank` of each row among those of its length, from 0; `tag` tells rows apart that agree in all else."""
+    chunks = rows.sparkSession.createDataFrame([(int(k), isqrt(int(n)) + 1) for k, n in counts.items()], "length int, chunks int")
     rows = rows.join(F.broadcast(chunks), "length")  # at most `capacity` rows
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("chunks")).cast("int")).drop("chunks")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("tag"), F.col("chunks")).cast("int")).drop("chunks")
     sums = rows.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("chunk", "length").orderBy("id", "piece", "ids_crc32")
+    inside = W.partitionBy("chunk", "length").orderBy("tag")
     return rows.withColumn("inner", F.row_number().over(inside) - 1).join(sums, ["chunk", "length"]).withColumn("rank", F.col("base") + F.col("inner")).drop("base", "inner", "chunk")
 
 
 def pack(docs: DataFrame, vocab: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    rows = materialize(pieces(docs, vocab, end_id, capacity, id_col, text_col), "pieces")
+    # the tag is fixed once the table is written
+    rows = materialize(pieces(docs, vocab, end_id, capacity, id_col, text_col).withColumn("tag", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     made = places(plan(counts, capacity))
-    schema = "length int, a bigint, b bigint, each bigint, first_bin bigint, at bigint"
-    table = spark.createDataFrame(np.array(made, dtype=np.int64).reshape(-1, 6).tolist() if made else [], schema)
-    # The plan has at most capacity patterns of fewer than sqrt(2 * capacity) lengths each: a fixed bound.
-    spots = F.broadcast(table)
-    r = ranked(rows, counts)
-    hit = (r["length"] == spots["length"]) & (r["rank"] >= spots["a"]) & (r["rank"] < spots["b"])
-    j = r.join(spots, hit).drop(spots["length"])
+    # The plan has at most `capacity` patterns of fewer than sqrt(2 * capacity) lengths each: a fixed bound, also for the cells.
+    parts: dict[int, int] = {}
+    for p in made:
+        parts[p[0]] = parts.get(p[0], 0) + 1
+    wide = {k: -(-int(counts[k]) // n) for k, n in parts.items()}
+    cells = [(int(p[0]), c, *map(int, p[1:])) for p in made for c in range(int(p[1]) // wide[p[0]], (int(p[2]) - 1) // wide[p[0]] + 1)]
+    spots = F.broadcast(spark.createDataFrame(cells, "length int, cell bigint, a bigint, b bigint, each bigint, first_bin bigint, at bigint"))
+    wides = F.broadcast(spark.createDataFrame(list(wide.items()), "length int, wide bigint"))
+    r = ranked(rows, counts).join(wides, "length").withColumn("cell", F.expr("rank div wide"))
+    j = r.join(spots, ["length", "cell"]).where("rank >= a AND rank < b")
     inside = F.col("rank") - F.col("a")
     return j.select(
         "id",

@@ -6,8 +6,8 @@ ids and lengths, the bit stream of their tokens, and the bit at which each block
 blocks decode on their own from a table. `part` and `row` give the order of rows; `before` is
 the number of tokens of the part ahead of the row. Spark's committer writes both tables, so a lost task leaves nothing.
 
-Defined results: a null text is empty and has the end id only; rows of one id are ordered by their length and ids;
-null ids come first; an empty table gives empty files.
+Defined results: a null text is empty and has the end id only; rows of one id are ordered by their length and the checksum of
+their ids, so rows of one id may lie in several parts; null ids come first; an empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize, scratch_path
+from .common import free_shuffles, materialize, plain, scratch_path
 from .huffman import Code, code_lengths
 from .tokens import encoded, encoder
 
@@ -34,18 +34,21 @@ MAX_PARTS = 100_000
 
 
 def tokenized(docs: DataFrame, vocab: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_tokens, ids (zstd over little-endian ids of the vocabulary's width)."""
+    """id, n_tokens, crc and ids (zstd over little-endian ids of the vocabulary's width)."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for first, ids, at in encoded(vocab, batch.column(1), end_id):
                 n = len(at) - 1
-                small = [pack.compress(ids[at[k] : at[k + 1]].tobytes()) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(np.diff(at), pa.int64()), pa.array(small, pa.binary())], names=["id", "n_tokens", "ids"])
+                raw = [ids[at[k] : at[k + 1]].tobytes() for k in range(n)]
+                sums = pa.array([zlib.crc32(x) for x in raw], pa.int64())
+                small = pa.array([pack.compress(x) for x in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(np.diff(at), pa.int64()), sums, small], names=["id", "n_tokens", "crc", "ids"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    return rows.mapInArrow(run, "id bigint, n_tokens bigint, ids binary")
+    own, id_, text = plain(docs, id_col, text_col)
+    rows = own.select(id_.cast("bigint").alias("id"), text.cast("string").alias("t"))
+    return rows.mapInArrow(run, "id bigint, n_tokens bigint, crc bigint, ids binary")
 
 
 def _unpacked(batch: pa.RecordBatch, kind) -> list[np.ndarray]:
@@ -78,7 +81,8 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str =
     """Write the files of all documents to path."""
     spark = docs.sparkSession
     kind = encoder(vocab).dtype
-    tokens = materialize(tokenized(docs, vocab, end_id, id_col, text_col), "token_ids", "none")
+    # the tag, fixed once the table is written, lets rows that agree in all else lie in several parts
+    tokens = materialize(tokenized(docs, vocab, end_id, id_col, text_col).withColumn("tag", F.monotonically_increasing_id()), "token_ids", "none")
     counts = counted(tokens, kind)
     ids = np.array([r["id"] for r in counts], np.int64)
     n = np.array([r["n"] for r in counts], np.int64)
@@ -110,7 +114,8 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 2, id_col: str =
             yield flush()
 
     parts = min(MAX_PARTS, int(n.sum()) // PART_TOKENS + 1)
-    ordered = tokens.repartitionByRange(parts, "id").sortWithinPartitions("id", "n_tokens", "ids")
+    order = ["id", "n_tokens", "crc", "tag"]
+    ordered = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, ROWS).write.option("compression", "none").parquet(f"{path}/rows")
     del ordered
     free_shuffles(spark)

@@ -206,9 +206,36 @@ def encoder(path: str) -> Encoder:
     return _OWN[path]
 
 
+def _runs(raw: np.ndarray):
+    """(from, to) of runs of about SLICE bytes of a long text that begin where pieces do."""
+    a = 0
+    while len(raw) - a > SLICE:
+        b, found = a + SLICE, False
+        while b < len(raw) and not found:
+            part = raw[b - 1 : b + (1 << 16)]
+            hit = np.flatnonzero(_SPACE[part[1:]] & _ASCII[part[:-1]] & ~_SPACE[part[:-1]])
+            found = len(hit) > 0
+            b += int(hit[0]) if found else 1 << 16
+        if not found:
+            break
+        yield a, b
+        a = b
+    yield a, len(raw)
+
+
 def encoded(path: str, texts: pa.Array, end: int | None):
-    """(first row, ids, begins) for runs of rows of a column."""
+    """(first row, ids, begins) for runs of rows of a column. A longer text than a run of rows is encoded in parts."""
     own = encoder(path)
     for first, part in slices(texts, SLICE):
-        yield first, *own.encode(part, end)
+        if len(part) == 1 and part.nbytes > 2 * SLICE:
+            raw, _ = utf8(part)
+            ids = []
+            for a, b in _runs(raw):
+                one = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, b - a], np.int64)), pa.py_buffer(np.ascontiguousarray(raw[a:b])))
+                ids.append(own.encode(one)[0])
+            ids += [] if end is None else [np.array([end], own.dtype)]
+            all_ = np.concatenate(ids)
+            yield first, all_, np.array([0, len(all_)])
+        else:
+            yield first, *own.encode(part, end)
         pa.default_memory_pool().release_unused()
