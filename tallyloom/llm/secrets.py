@@ -22,7 +22,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import plain, text_of
 
 # The patterns of the contract, in its order of kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -54,6 +54,8 @@ CLASSES = (
     ),
 )
 ALLOW = (r"(?i:example|sample|placeholder|changeme|dummy|redacted|your[_-]|xxxx|abcdefgh|01234567|12345678)", r"(.)\1{7}")
+#: Matches whose places are made at a time.
+CHUNK = 128
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,match:string>>"
 
 
@@ -67,13 +69,24 @@ def _spans(text: Column, pattern: str, kind: str, rank: int) -> Column:
     none = F.expr(f"cast(array() as {_SPAN})")
 
     def placed(m: Column, gaps: Column) -> Column:
-        def add(a: Column, x: Column) -> Column:
-            start = a["end"] + F.get(gaps, a["i"])
-            end = start + F.length(x)
-            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x.alias("match"))
-            return F.struct((a["i"] + 1).alias("i"), end.alias("end"), F.concat(a["out"], F.array(span)).alias("out"))
+        """Places are running sums of the lengths. They are made chunk by chunk, so that appending costs a chunk at most."""
+        total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+        chunks = F.sequence(F.lit(0), F.floor((F.size(m) - 1) / CHUNK).cast("int"))
+        part = lambda a, c: F.slice(a, c * CHUNK + 1, F.lit(CHUNK))
+        sizes = F.transform(chunks, lambda c: total(part(gaps, c)) + total(F.transform(part(m, c), lambda x: F.length(x))))
+        ends = F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<int>)").alias("out"))
+        bases = F.aggregate(sizes, ends, lambda a, x: F.struct((a["end"] + x).alias("end"), F.concat(a["out"], F.array(a["end"])).alias("out")), lambda a: a["out"])
 
-        return F.aggregate(m, F.struct(F.lit(0).alias("i"), F.lit(0).alias("end"), none.alias("out")), add, lambda a: a["out"])
+        def run(base: Column, c: Column) -> Column:
+            def add(a: Column, x: Column) -> Column:
+                start = a["end"] + F.get(gaps, a["i"])
+                end = start + F.length(x)
+                span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x.alias("match"))
+                return F.struct((a["i"] + 1).alias("i"), end.alias("end"), F.concat(a["out"], F.array(span)).alias("out"))
+
+            return F.aggregate(part(m, c), F.struct((c * CHUNK).alias("i"), base.alias("end"), none.alias("out")), add, lambda a: a["out"])
+
+        return F.flatten(F.transform(bases, run))
 
     def places(m: Column) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
@@ -143,7 +156,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     found: array of structs (start, rank, end, kind, match), in order.
     """
-    t = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("t"))
+    own, id_, text = plain(docs, id_col, text_col)
+    t = own.select(id_.alias("id"), text_of(text).alias("t"))
     t = t.select(
         "*",
         F.filter(_spans(F.col("t"), ASSIGN, "assign", 0), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= ASSIGN_MIN).alias("assign"),

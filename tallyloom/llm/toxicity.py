@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import materialize, mix64, named_as, plain
 from .words import Words, slices
 
 _APART = np.ones(256, bool)
@@ -129,13 +129,18 @@ class Machine:
                 self.v[used] -= rate * dv / np.sqrt(gv[used])
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own, id_, text = plain(docs, id_col, text_col)
+    return own.select(id_.cast("bigint").alias("id"), text.cast("string").alias("text"))
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 20_000, max_terms: int = 8_192, min_docs: int = 4, min_odds: float = 1.1, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """Fit on the labelled rows for which `learn` (over `id`) holds; labels: doc_id and toxic."""
     own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(learn & F.col("toxic").isNotNull() & F.col("id").isNotNull())
     own = own.groupBy("id").agg(F.max("toxic").alias("toxic"))
     # the max_rows smallest hashes: any part of the labels, alike at every size
     drawn = F.broadcast(own.orderBy(F.xxhash64("id"), "id").limit(max_rows))
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = _rows(docs, id_col, text_col)
     sample = materialize(rows.join(drawn, "id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text"), "toxicity_rows")
     total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n, pos = int(total["n"]), int(total["pos"])
@@ -162,19 +167,21 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 20_
     best = strong.orderBy(F.desc("g2"), "term").limit(max_terms // 2).collect()  # the others share slots
     machine = Machine(np.array([r["term"] for r in best], np.int64).view(np.uint64), np.clip(np.array([r["odds"] for r in best], float), -6, 6), shared=max_terms - len(best))
 
+    slot = np.dtype(np.uint16 if len(machine.w) <= 1 << 16 else np.int32)
+
     def features(batches):
         for batch in batches:
             y = batch.column(0)
             for first, k, doc, term in terms(batch.column(1)):
                 doc, at = machine.find(doc, term)
                 ends = np.searchsorted(doc, np.arange(k + 1))
-                at = at.astype(np.int32)
+                at = at.astype(slot)
                 lists = [at[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([y.slice(first, k).cast(pa.int32()), pa.array(lists, pa.binary())], names=["toxic", "at"])
 
     got = sample.mapInArrow(features, "toxic int, at binary").collect()  # max_rows rows
     got.sort(key=lambda r: (r["toxic"], r["at"]))  # the same order in every run
-    machine.fit([np.frombuffer(r["at"], np.int32) for r in got], np.array([r["toxic"] for r in got], np.int64))
+    machine.fit([np.frombuffer(r["at"], slot) for r in got], np.array([r["toxic"] for r in got], np.int64))
     return machine
 
 
@@ -187,19 +194,20 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 doc, at = machine.find(doc, term)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k), pa.array(machine.score(doc, at, k))], names=["id", "score"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "id bigint, score double")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id bigint, score double")
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The documents under the threshold, with all their columns."""
+    own, _ = plain(docs, text_col)
+    place = [c.lower() for c in docs.columns].index(text_col.lower()) if text_col not in docs.columns else docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             keep = np.ones(len(batch), bool)
-            for first, k, doc, term in terms(batch.column(batch.schema.get_field_index(text_col))):
+            for first, k, doc, term in terms(batch.column(place)):
                 doc, at = machine.find(doc, term)
                 keep[first : first + k] = machine.score(doc, at, k) < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return named_as(own.mapInArrow(run, own.schema), docs)

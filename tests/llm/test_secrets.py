@@ -44,6 +44,7 @@ TEXTS = [
     "aaaaaaaaaaaa1AZx9Kq2Lm8Pv4Rt7Wn3YsQe5UdbbbbbbbbbbbbbbbbbbbbbC",
     "token='Zx9Kq2Lm8Pv4Rt7Wn3YsQe5Ud1' token=\"short\"",
     "Zx9Kq2Lm8Pv4Rt7Wn3Ys " * 300,
+    " ".join(f"token=abcdefghijkl{i} AKIAABCDEFGHIJKL{i} 0123456789abcdef{i:x} é" for i in range(700)),
 ]
 
 
