@@ -174,6 +174,6 @@ def money(value) -> Column:
     return _c(value).cast("decimal(18,2)")
 
 
-def exact_sum(value) -> Column:
-    """Null if all values are null."""
-    return F.sum(money(value)).cast("double")
+def exact_sum(value, kind: str = DEFAULT_KIND) -> Column:
+    """A sum that does not depend on its order: of cents, or of millionths for counts. Null if all values are null."""
+    return F.sum(_c(value).cast("decimal(24,6)" if kind == "count" else "decimal(28,2)")).cast("double")

@@ -80,7 +80,10 @@ def by_table(ratios: dict[str, tuple[str, str]]):
 
 
 def by_name(key: str, additive: list[str]) -> tuple[str, str] | None:
-    """Components by the naming of paid media: cost per name is spend over names; a return is what its prefix raised over spend."""
+    """Components by the naming of paid media: cost per name is spend over names; a return is what its prefix raised over spend.
+
+    Fixed values: the words by which headers are told.
+    """
     spend = next((k for k in additive if "spend" in k), None)
     if re.search("(^|_)cpa$", key):
         names = next((k for k in additive if re.search("ntl|name", k)), None)
@@ -113,7 +116,7 @@ def accumulated(cat: Catalog, wanted: list[str], fallback: bool = False) -> tupl
     if len(have) >= len(wanted) or not fallback:
         return have, None
     first = cat.additive[:3]
-    text = "Expected Gross Spend, NTL and Total Raised for the accumulation charts; using " + ", ".join(m.label for m in first) + " instead."
+    text = "Running totals take " + ", ".join(m.label for m in first) + " instead."
     while len(have) < min(3, len(first)) and first[len(have)].key not in have:
         have.append(first[len(have)].key)
     return have, text

@@ -35,19 +35,23 @@ def payload_diff(left: DataFrame, right: DataFrame, key: Sequence[str], value: s
     return j.where(F.col("in_a").isNull() | F.col("in_b").isNull() | ~same).select(*key, "a", "b")
 
 
-def by_unique_prefix(shown: DataFrame, source: DataFrame, shown_key: str, source_key: str, width: int = 8) -> DataFrame:
-    """Each shown name with its source row: the exact one, else the only one that it is a beginning of, else null.
+def by_unique_prefix(shown: DataFrame, source: DataFrame, shown_key: str, source_key: str, within: Sequence[str] = ()) -> DataFrame:
+    """Each shown name with its source name, else null: the equal one, or for a name cut off by "…" the only row that begins with what is left.
 
-    Candidates meet by their first `width` characters, so names are not compared all with all; a shorter name has no prefix match.
+    `within`: columns that both sides must agree in, as a month. Names meet by their beginnings of the lengths that cut names have, as
+    equal keys, so they are not compared all with all.
     """
-    names = source.select(F.col(source_key).alias("__name")).distinct()
-    own = shown.select(F.col(shown_key).alias("__shown")).where(F.col("__shown").isNotNull()).distinct()
-    exact = own.join(names, F.col("__shown") == F.col("__name"))
-    loose = own.join(names, (F.substring("__shown", 1, width) == F.substring("__name", 1, width)) & (F.length("__shown") >= width) & F.startswith(F.col("__name"), F.col("__shown")))
-    only = loose.groupBy("__shown").agg(F.count(F.lit(1)).alias("n"), F.min("__name").alias("__one"))
-    best = own.join(exact, "__shown", "left").join(only, "__shown", "left")
-    match = F.coalesce("__name", F.when(F.col("n") == 1, F.col("__one")))
-    return best.select(F.col("__shown").alias(shown_key), match.alias(source_key))
+    by = list(within)
+    names = source.groupBy(*by, F.col(source_key).alias("__name")).agg(F.count(F.lit(1)).alias("__rows"))
+    own = shown.select(*by, F.col(shown_key).alias("__shown")).where(F.col("__shown").isNotNull()).distinct()
+    exact = names.select(*by, F.col("__name").alias("__shown"), F.lit(True).alias("__equal"))
+    cut = own.where(F.endswith("__shown", F.lit("…"))).withColumn("__stem", F.expr("left(__shown, length(__shown) - 1)"))
+    lengths = F.broadcast(cut.select(F.length("__stem").alias("__n")).distinct())  # as many as a shown name has characters
+    begins = names.join(lengths, F.length("__name") >= F.col("__n")).withColumn("__stem", F.expr("left(__name, __n)"))
+    only = cut.join(begins, [*by, "__stem"]).groupBy(*by, "__shown").agg(F.sum("__rows").alias("__k"), F.min("__name").alias("__one"))
+    best = own.join(exact, [*by, "__shown"], "left").join(only, [*by, "__shown"], "left")
+    match = F.when(F.col("__equal"), F.col("__shown")).when(F.col("__k") == 1, F.col("__one"))
+    return best.select(*by, F.col("__shown").alias(shown_key), match.alias(source_key))
 
 
 def period_guard(periods: DataFrame, tab: str = "tab", year: str = "year", quarter: str = "quarter") -> DataFrame:

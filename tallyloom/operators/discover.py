@@ -42,7 +42,8 @@ class Sheet:
         self.name, self.cells, self.max_scan = name, cells, max_scan
         rows = cells.where((F.col("row") <= max_scan) & (F.col("txt").isNotNull() | F.col("formula").isNotNull())).select("row", "col", "txt", "num", "flag", "formula").collect()
         self.grid = {(r["row"], r["col"]): r for r in rows}
-        self.max_col = cells.agg(F.max("col")).first()[0] or 0
+        extent = cells.agg(F.max("col").alias("col"), F.max("row").alias("row")).first()
+        self.max_col, self.max_row = extent["col"] or 0, extent["row"] or 0
 
     def text(self, row: int, col: int | str) -> str | None:
         r = self.grid.get((row, column_number(col) if isinstance(col, str) else col))

@@ -63,9 +63,13 @@ def identity(rows: DataFrame, rule: Identity, by: Sequence[str] = (), order: Seq
     return c.groupBy(*by).agg(F.count(F.lit(1)).alias("n_checked"), F.count_if("bad").alias("n_bad"), cells.alias("cells"), more.alias("more_cells"))
 
 
-def children_vs_total(children: DataFrame, parents: DataFrame, key: str, value: str, total: str, tolerance: float = 0.05) -> DataFrame:
-    """Parents with the sum of their children; `bad` where both exist and differ, `missing` where there are no children."""
-    sums = children.groupBy(key).agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("child_sum"), F.count(F.lit(1)).alias("n_children"))
+def children_vs_total(children: DataFrame, parents: DataFrame, key: str, value: str, total: str, tolerance: float = 0.05, cents: bool = True) -> DataFrame:
+    """Parents with the sum of their children; `bad` where both exist and differ, `missing` where there are no children.
+
+    cents: values are exact cents, so that sums do not depend on their order; a sheet's numbers need not be.
+    """
+    own = F.sum(F.col(value).cast("decimal(18,2)")).cast("double") if cents else F.sum(value)
+    sums = children.groupBy(key).agg(own.alias("child_sum"), F.count(F.lit(1)).alias("n_children"))
     both = parents.join(sums, key, "left")
     missing = F.col("n_children").isNull()
     return both.withColumn("missing", missing).withColumn("bad", ~missing & ~near(total, F.coalesce("child_sum", F.lit(0.0)), tolerance))

@@ -21,8 +21,9 @@ def ordered_cells(order: str, cell: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(present)), lambda x: x["cell"])
 
 
-def sums(metrics: Catalog, total=exact_sum) -> list[Column]:
-    return [total(F.col(m.key)).alias(m.key) for m in metrics.additive]
+def sums(metrics: Catalog, total=None) -> list[Column]:
+    """total: another sum than the exact one of the metric's kind."""
+    return [(total(F.col(m.key)) if total else exact_sum(m.key, m.kind)).alias(m.key) for m in metrics.additive]
 
 
 def with_ratios(summed: DataFrame, metrics: Catalog) -> DataFrame:
@@ -31,7 +32,7 @@ def with_ratios(summed: DataFrame, metrics: Catalog) -> DataFrame:
     return summed.withColumns(made) if made else summed
 
 
-def rollup(rows: DataFrame, by: Sequence[str], metrics: Catalog, extra: Sequence[Column] = (), total=exact_sum) -> DataFrame:
+def rollup(rows: DataFrame, by: Sequence[str], metrics: Catalog, extra: Sequence[Column] = (), total=None) -> DataFrame:
     """One level: a row for each group, or one row in all."""
     grouped = rows.groupBy(*by).agg(*sums(metrics, total), F.count(F.lit(1)).alias("row_count"), *extra)
     return with_ratios(grouped, metrics)

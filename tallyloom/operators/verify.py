@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..plans.tabs import Tab
+from .compare import set_difference
 
 CHECK = "check string, subject string, stored double, expected double"
 MONEY, RATIO, PROVENANCE = 0.02, 1e-6, 0.005
@@ -38,7 +39,14 @@ def digital(tab: Tab) -> DataFrame:
     sums = own.groupBy("period_key").agg(F.sum("goal").alias("goal"), F.sum("actual").alias("actual")).join(whole, "period_key")
     out.append(_fail(sums.where("a IS NOT NULL AND actual IS NOT NULL"), "channels sum to overall actual", "period_key", "a", "actual", MONEY))
     out.append(_fail(sums.where("g IS NOT NULL"), "channels sum to overall goal", "period_key", "g", "goal", MONEY))
+    rows = {k: t.where((F.col("block") == "overall") & (S.slug("channel") == k)).select("period_key", F.col("actual").alias(k)) for k in ("total_raised", "total_donations", "average_donation")}
+    mean = rows["total_raised"].join(rows["total_donations"], "period_key").join(rows["average_donation"], "period_key")
+    mean = mean.where(S.truthy("total_raised") & S.truthy("total_donations") & F.col("average_donation").isNotNull())
+    out.append(_fail(mean, "average donation is raised over donations", "period_key", "average_donation", F.col("total_raised") / F.col("total_donations"), RATIO))
     if "helpers" in tab.tables:
+        fixed = [x["month"] for x in tab.lists.get("toggles", []) if not x["value"]]  # a dynamic goal counts actuals
+        mirror = tab.tables["helpers"].where(F.col("period_key").isin(fixed)).select("row", "period_key", "value").join(own, ["row", "period_key"]).where("value IS NOT NULL")
+        out.append(_fail(mirror, "a helper holds its month's goal", subject, "value", F.coalesce("goal", F.lit(0.0)), MONEY))
         helpers = tab.tables["helpers"].groupBy("row").agg(F.sum("value").alias("total"))
         goals = own.where("period_key = 'quarter'").select("row", "channel", "goal")
         out.append(_fail(goals.join(helpers, "row"), "helpers sum to the quarter's goal", "channel", "goal", "total", MONEY))
@@ -64,41 +72,177 @@ def blank_under_zero(tab: Tab, table: str = "detail") -> DataFrame:
     return _all(out) if out else rows.sparkSession.createDataFrame([], CHECK)
 
 
+def _named(rows: DataFrame, check: str, subject: Column | str, stored: Column | None = None, expected: Column | None = None) -> DataFrame:
+    """Every row is a finding."""
+    none = F.lit(None)
+    c = F.col(subject) if isinstance(subject, str) else subject
+    return rows.select(F.lit(check).alias("check"), c.cast("string").alias("subject"), (none if stored is None else stored).cast("double").alias("stored"), (none if expected is None else expected).cast("double").alias("expected"))
+
+
+def _sums(children: DataFrame, parents: DataFrame, by: str, keys: Sequence[str], check: str, loose: dict[str, float] | None = None) -> list[DataFrame]:
+    """Each key of each parent is the sum of its children, where a parent has it."""
+    sums = children.groupBy(by).agg(*[F.sum(F.coalesce(k, F.lit(0.0))).alias(f"s_{k}") for k in keys])
+    both = parents.join(sums, by)
+    return [_fail(both.where(F.col(k).isNotNull()), check, F.concat_ws(" ", F.col(by), F.lit(k)), k, f"s_{k}", (loose or {}).get(k, MONEY)) for k in keys]
+
+
 def paid(tab: Tab) -> DataFrame:
-    """Ratios of the year, no total above its parts, and months of the detail among the monthly rows."""
+    """Ratios of the year, sums of months and of the chosen quarter, no total above its parts, a gap where names are counted once, and the structure."""
     out = [ratios(tab, "year_to_date"), blank_under_zero(tab)]
+    keys, loose = [m.key for m in tab.catalog.additive], {"ntl": 0.5}
+    monthly = tab.tables["monthly"].withColumn("m", F.trim("label"))
+    detail, quarterly = tab.tables["detail"].withColumn("m", F.trim("month")), tab.tables["quarterly"]
+    raised = {"total_raised", "immediate_raised", "lifetime_raised"}
+    parts = F.col("immediate_raised") + F.col("lifetime_raised")
     for block in ("quarterly", "monthly", "detail"):
         rows = tab.tables[block]
-        if {"total_raised", "immediate_raised", "lifetime_raised"} <= set(rows.columns):
-            parts = F.col("immediate_raised") + F.col("lifetime_raised")
-            over = rows.where(F.col("total_raised") > parts + MONEY)
-            out.append(over.select(F.lit(f"{block}: total raised is at most its parts").alias("check"), F.col("row").cast("string").alias("subject"), F.col("total_raised").alias("stored"), parts.alias("expected")))
-    months = tab.tables["monthly"].select(F.trim("label").alias("m"))
-    lost = tab.tables["detail"].select(F.trim("month").alias("m")).distinct().join(months, "m", "left_anti")
-    none = F.lit(None).cast("double")
-    out.append(lost.select(F.lit("a detail month has a monthly row").alias("check"), F.col("m").alias("subject"), none.alias("stored"), none.alias("expected")))
+        if raised <= set(rows.columns):
+            out.append(_named(rows.where(F.col("total_raised") > parts + MONEY), f"{block}: total raised is at most its parts", "row", F.col("total_raised"), parts))
+    out += _sums(detail, monthly, "m", keys, "detail rows sum to their month", loose)
+    out.append(_named(detail.select("m").distinct().join(monthly.select("m"), "m", "left_anti"), "a detail month has a monthly row", "m"))
+    out.append(_named(monthly.select("m").join(detail.select("m"), "m", "left_anti"), "a month has detail rows", "m"))
+    out.append(_named(detail.where("channel IS NULL OR placement IS NULL OR m IS NULL"), "a detail row names its month, channel and placement", "row"))
+    if tab.meta.get("quarter") is not None:
+        number = int(tab.meta["quarter"] + 0.5)
+        chosen = quarterly.where(F.col("quarter") == number).orderBy("row").limit(1)
+        out.append(_named(chosen.agg(F.count(F.lit(1)).alias("n")).where("n = 0"), "the chosen quarter has a row", F.lit(str(number))))
+        out += _sums(monthly.withColumn("quarter", F.lit(number)), chosen, "quarter", keys, "months sum to the chosen quarter", loose)
+        if {"total_roas", "gross_spend", "total_raised"} <= set(quarterly.columns):
+            whole = monthly.agg(F.sum("gross_spend").alias("spend"), F.sum("total_raised").alias("got")).where("spend <> 0")
+            out.append(_fail(chosen.select("total_roas").crossJoin(whole).where("total_roas IS NOT NULL"), "the quarter's return holds for its months", F.lit("total_roas"), "total_roas", F.col("got") / F.col("spend"), RATIO))
+        if raised <= set(quarterly.columns):
+            same = chosen.where(F.abs(F.col("total_raised") - parts) <= MONEY)
+            out.append(_named(same, "names are counted once in the chosen quarter, so its total is below its parts", "row", F.col("total_raised"), parts))
     return _all(out)
 
 
-def flat(tab: Tab, unique: str | None = None) -> DataFrame:
-    """Months sum to the quarter (with the rows that name none), ratios are rebuilt, series end at the total, keys are unique."""
+def flat(tab: Tab, unique: str | None = None, required: Sequence[str] = (), unresolvable: Sequence[str] | None = None, non_negative: Sequence[str] = (), derived: bool = False) -> DataFrame:
+    """Rollups from the rows up, ratios rebuilt or blank, ends of all series, lists, keys and required fields.
+
+    unresolvable: the only ratios that may lack components. derived: the period must be that of all dated rows.
+    """
     detail, month, quarter = tab.tables["detail"], tab.tables["monthly"], tab.tables["quarter_to_date"]
     out = [ratios(tab, "monthly"), ratios(tab, "quarter_to_date"), blank_under_zero(tab)]
     keys = [m.key for m in tab.catalog.additive]
+    loose = {k: 0.5 for k in keys if "recipients" in k}
+    named = detail.where("month_key <> ''")
     left = detail.where("month_key = ''").agg(*[F.coalesce(F.sum(k), F.lit(0.0)).alias(f"l_{k}") for k in keys])
     sums = month.agg(*[F.coalesce(F.sum(k), F.lit(0.0)).alias(f"s_{k}") for k in keys]).crossJoin(left).crossJoin(quarter.select(*keys))
-    out += [_fail(sums, "months sum to the quarter", F.lit(k), F.coalesce(k, F.lit(0.0)), F.col(f"s_{k}") + F.col(f"l_{k}"), MONEY) for k in keys]
-    ends = tab.tables["series"].where("slice_type = 'all'").groupBy("metric_key").agg(F.max_by("running_total", "period_ord").alias("end"))
-    for k in keys:
-        own = ends.where(F.col("metric_key") == k).crossJoin(month.agg(F.sum(k).alias("total")))
-        out.append(_fail(own, "a series ends at its total", "metric_key", "end", F.coalesce("total", F.lit(0.0)), MONEY))
-    none = F.lit(None).cast("double")
+    out += [_fail(sums, "months sum to the quarter", F.lit(k), F.coalesce(k, F.lit(0.0)), F.col(f"s_{k}") + F.col(f"l_{k}"), loose.get(k, MONEY)) for k in keys]
+    out += _sums(named, month, "month_key", keys, "detail rows sum to their month", loose)
+    own = named.groupBy("month_key").agg(F.sort_array(F.collect_list("row")).alias("own"), F.count(F.lit(1)).alias("n"))
+    both = month.join(own, "month_key", "full_outer")
+    out.append(_named(both.where(~F.coalesce(F.col("rows") == F.col("own"), F.lit(False))), "a month lists its own rows", "month_key", F.size("rows"), F.col("n")))
+    out.append(_named(both.where(~F.coalesce(F.col("row_count") == F.col("n"), F.lit(False))), "a month counts its own rows", "month_key", F.col("row_count"), F.col("n")))
+    total = quarter.select("row_count").crossJoin(detail.agg(F.count(F.lit(1)).alias("n")))
+    out.append(_named(total.where("row_count <> n"), "the quarter counts all rows", F.lit("rows"), F.col("row_count"), F.col("n")))
+    for m in tab.catalog.ratios:
+        if m.unresolvable:
+            for table in ("monthly", "quarter_to_date"):
+                rows = tab.tables[table]
+                if m.key in rows.columns:
+                    out.append(_named(rows.where(F.col(m.key).isNotNull()), f"{table}: {m.key} is blank, as its components are unknown", F.lit(m.key), F.col(m.key)))
+    spark = detail.sparkSession
+    if unresolvable is not None:
+        odd = {m.key for m in tab.catalog.ratios if m.unresolvable} ^ set(unresolvable)
+        out.append(_named(spark.createDataFrame([(k,) for k in sorted(odd)], "k string"), "the ratios without components are the known ones", "k"))
+    if "series" in tab.tables:
+        ends = tab.tables["series"].groupBy("slice_type", "slice_value", "metric_key").agg(F.max_by("running_total", "period_ord").alias("end"))
+        slices = {"all": F.lit("all")} | {s: F.col(s) for s in tab.lists if s in detail.columns}
+        have = [r["metric_key"] for r in ends.select("metric_key").distinct().collect()]  # a few metrics
+        for s, value in slices.items():
+            rows = named.select(value.alias("slice_value"), *have).where("slice_value IS NOT NULL")
+            want = rows.groupBy("slice_value").agg(*[F.sum(F.coalesce(k, F.lit(0.0))).alias(k) for k in have]).unpivot("slice_value", have, "metric_key", "total")
+            got = ends.where(F.col("slice_type") == s).join(want, ["slice_value", "metric_key"], "full_outer")
+            out.append(_fail(got, "a series ends at its total", F.concat_ws(" ", F.lit(s), "slice_value", "metric_key"), "end", "total", MONEY))
+        for k in [k for k in have if k in month.columns]:
+            own = ends.where((F.col("slice_type") == "all") & (F.col("metric_key") == k)).crossJoin(month.agg(F.sum(k).alias("total")))
+            out.append(_fail(own, "a series ends at its total", "metric_key", "end", F.coalesce("total", F.lit(0.0)), MONEY))
+    for s in [x for x in tab.lists if x in detail.columns]:
+        listed = spark.createDataFrame([(x,) for x in tab.lists[s]], f"`{s}` string")
+        diff = set_difference(detail.where(F.col(s).isNotNull() & (F.col(s) != "")), listed, s)
+        out.append(_named(diff, f"the list of {s} is that of the rows", s))
+    for field in required:
+        out.append(_named(detail.where(F.col(field).isNull()), f"a detail row has its {field}", "row"))
+    for field in non_negative:
+        out.append(_named(detail.where(F.col(field) < 0), f"{field} is not negative", "row", F.col(field)))
+    if derived:
+        year, number = tab.meta.get("year"), tab.meta.get("quarter")
+        dated = detail.where("year IS NOT NULL").select("year", "quarter").distinct()
+        if year is not None:
+            out.append(_named(dated.where((F.col("year") != year) | (F.col("quarter") != number)), "the period is that of all dated rows", F.concat_ws(" ", "year", "quarter")))
+        else:
+            out.append(_named(dated.agg(F.count(F.lit(1)).alias("n")).where("n = 1"), "the period is open only if dates lie in several quarters", F.lit("period")))
     if unique:
         twice = detail.where(F.col(unique).isNotNull()).groupBy(unique).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        out.append(twice.select(F.lit(f"{unique} is unique").alias("check"), F.col(unique).alias("subject"), F.col("n").cast("double").alias("stored"), F.lit(1.0).alias("expected")))
+        out.append(_named(twice, f"{unique} is unique", unique, F.col("n"), F.lit(1)))
     return _all(out)
 
 
+CLAIM = "path string, cell string, kind string, num double, txt string"
+
+
+def claims(snapshot: dict) -> list[tuple]:
+    """Every statement of a snapshot about a cell: (path, cell, kind, num, txt).
+
+    `x` beside `x_cell`, or `value` beside `cell`, is a value; `x_formula` or `formula` is that cell's formula; a running total beside its
+    list of cells is their sum. Snapshots are as large as a page.
+    """
+    out: list[tuple] = []
+
+    def one(path: str, cell, value) -> None:
+        if isinstance(value, bool):
+            out.append((path, cell, "flag", float(value), None))
+        elif value is None or isinstance(value, (int, float)):
+            out.append((path, cell, "number", None if value is None else float(value), None))
+        else:
+            out.append((path, cell, "text", None, str(value)))
+
+    def walk(node, path: str) -> None:
+        if isinstance(node, list):
+            for i, x in enumerate(node):
+                walk(x, f"{path}[{i}]")
+        if not isinstance(node, dict):
+            return
+        for k, v in node.items():
+            stem = "value" if k == "cell" else k.removesuffix("_cell") if k.endswith("_cell") else None
+            if stem in node and isinstance(v, str):
+                one(f"{path}.{stem}", v, node[stem])
+                formula = node.get("formula" if k == "cell" else f"{stem}_formula")
+                if formula is not None:
+                    out.append((f"{path}.{stem}", v, "formula", None, formula))
+            total = {"step_cells": "running_total", "goal_cells": "cum_goal", "actual_cells": "cum_actual"}.get(k)
+            if total and node.get(total) is not None:
+                out.append((f"{path}.{total}", ",".join(v), "sum", float(node[total]), None))
+            walk(v, f"{path}.{k}")
+
+    walk(snapshot, "")
+    return out
+
+
+def audit(snapshot: dict, cells: DataFrame) -> DataFrame:
+    """Statements of a snapshot that the sheet's cells do not bear out; cells: typed cells of the sheet that it names."""
+    spark = cells.sparkSession
+    said = spark.createDataFrame(claims(snapshot), CLAIM).withColumn("n", F.monotonically_increasing_id())
+    held = cells.select(F.col("ref").alias("cell"), F.col("num").alias("h_num"), F.col("txt").alias("h_txt"), F.col("flag").alias("h_flag"), F.col("formula").alias("h_formula"))
+    j = said.where("kind <> 'sum'").join(held, "cell", "left")
+    bound = F.greatest(F.lit(PROVENANCE), F.abs("num") * 1e-9)
+    kind = F.col("kind")
+    good = (
+        F.when(kind == "number", F.when(F.col("num").isNull(), F.col("h_num").isNull()).otherwise(S.near("h_num", "num", bound)))
+        .when(kind == "flag", F.coalesce("h_flag", F.lit(False)) == (F.col("num") != 0))
+        .when(kind == "formula", F.col("h_formula") == F.col("txt"))
+        .otherwise((F.col("h_txt") == F.trim("txt")) | (F.col("h_txt") == F.concat(F.trim("txt"), F.lit(":"))))  # a term's colon is not part of it
+    )
+    bad = _named(j.where(~F.coalesce(good, F.lit(False))), "a cell holds what is said of it", F.concat_ws(" ", "path", "cell", "kind"), F.col("num"), F.col("h_num"))
+    one = said.where("kind = 'sum'").withColumn("cell", F.explode(F.split("cell", ","))).join(held, "cell", "left")
+    sums = one.groupBy("n", "path", "num").agg(F.sum(F.coalesce("h_num", F.lit(0.0))).alias("total"))
+    wrong = _named(sums.where(~S.near("total", "num", bound)), "cells add up to the running total", "path", F.col("num"), F.col("total"))
+    names = spark.createDataFrame([(snapshot.get("meta", {}).get("sheet"),)], "sheet string")
+    other = names.join(cells.select("sheet").distinct(), "sheet", "left_anti")
+    return _all([bad, wrong, _named(other, "the snapshot names its sheet", "sheet")])
+
+
 def provenance(claims: DataFrame, cells: DataFrame) -> DataFrame:
     """Claims (cell, value) whose cell does not hold the value; cells: the typed cells of the sheet."""
     held = cells.select(F.col("ref").alias("cell"), F.col("num").alias("held"))

@@ -474,8 +474,22 @@ def payload_diff(spark, d):
  SELECT shown, CASE WHEN exact IS NOT NULL THEN exact WHEN k = 1 THEN one END AS name FROM m""")
 def prefix_lookup(spark, d):
     p = table(spark, d, "part")
-    shown = p.select(F.substring("p_type", F.lit(1), (F.lit(10) + F.col("p_partkey") % 9).cast("int")).alias("shown"))
-    return compare.by_unique_prefix(shown, p.select(F.col("p_type").alias("name")), "shown", "name")
+    names = p.select(F.col("p_type").alias("name")).distinct()
+    stem = F.substring("p_type", F.lit(1), (F.lit(10) + F.col("p_partkey") % 9).cast("int"))
+    stems = p.select(stem.alias("stem")).distinct().join(names, F.col("stem") == names["name"], "left")
+    shown = stems.select(F.when(F.col("name").isNull(), F.concat("stem", F.lit("…"))).otherwise(F.col("stem")).alias("shown"))
+    found = compare.by_unique_prefix(shown, names, "shown", "name")
+    return found.withColumn("shown", F.regexp_replace("shown", "…$", ""))
+
+
+@query("""WITH n AS (SELECT c_nationkey, c_name, count(*) AS k FROM customer GROUP BY 1, 2), s AS (SELECT DISTINCT c_nationkey, c_name[1:c_custkey % 19] || '…' AS shown, c_name[1:c_custkey % 19] AS stem FROM customer),
+ m AS (SELECT s.c_nationkey, shown, sum(k) AS k, min(c_name) AS one FROM s LEFT JOIN n ON s.c_nationkey = n.c_nationkey AND starts_with(c_name, stem) GROUP BY 1, 2)
+ SELECT c_nationkey, shown, CASE WHEN k = 1 THEN one END AS c_name FROM m UNION ALL SELECT DISTINCT c_nationkey, c_name[1:c_custkey % 19], CASE WHEN c_custkey % 19 >= length(c_name) THEN c_name END FROM customer""")
+def prefix_lookup_within(spark, d):
+    c = table(spark, d, "customer").withColumn("stem", F.substring("c_name", F.lit(1), (F.col("c_custkey") % 19).cast("int")))
+    # cut names of any length, down to none, and the same without the sign that they were cut
+    shown = c.select("c_nationkey", F.concat("stem", F.lit("…")).alias("shown")).unionByName(c.select("c_nationkey", F.col("stem").alias("shown")))
+    return compare.by_unique_prefix(shown, c, "shown", "c_name", ["c_nationkey"])
 
 
 @query("""WITH q AS (SELECT 'events' AS tab, min(year(ts)) AS y, min(quarter(ts)) AS q FROM events UNION ALL SELECT 'first orders', min(year(o_orderdate)), min(quarter(o_orderdate)) FROM orders

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +52,9 @@ def pick_sheet(names: list[str], spec: TabSpec, tab: Tab) -> str | None:
         return exact[0]
     loose = [n for n in names if all(w in norm_text(n) for w in spec.title.lower().split(" "))]
     if len(loose) == 1:
-        tab.warn(f"No tab named “{spec.title}”; using “{loose[0]}” instead, which looks like a renamed version.")
+        tab.warn(f"“{loose[0]}” is read as “{spec.title}”.")
         return loose[0]
-    tab.error(f"No “{spec.title}” tab found in this workbook. Tabs present: {', '.join(names)}.")
+    tab.error(f"The workbook has no “{spec.title}”, only: {', '.join(names)}.")
     return None
 
 
@@ -68,17 +71,16 @@ def _digital(tab: Tab) -> None:
     rule = Identity("RC1", "pct", "actual", "goal", "% to goal", "actual ÷ goal", floor=1e-6, relative=0.0, needs_stored=True)
     r = reconcile.identity(table.where("block = 'channel'"), rule, order=["row", "period_ord"], cell="pct_cell").first()
     if r["n_bad"]:
-        _flag(tab, "RC1", f"{r['n_bad']} of {r['n_checked']} “% to goal” cells on the Digital Report do not equal actual ÷ goal.", ["s-hero", "s-channel"], r["cells"], r["more_cells"])
+        _flag(tab, "RC1", f"“% to goal” is not actual ÷ goal in {r['n_bad']} of {r['n_checked']} cells of the Digital Report: they do not equal actual ÷ goal.", ["s-hero", "s-channel"], r["cells"], r["more_cells"])
     elif r["n_checked"]:
-        tab.findings.append(f"All {r['n_checked']} “% to goal” cells equal actual ÷ goal.")
-    sums = table.where("block = 'channel'").groupBy("period_key", "period_ord").agg(F.sum("actual").alias("total"))
-    stored = table.where((F.col("block") == "overall") & (S.slug("channel") == "total_raised")).select("period_key", "label", F.col("actual").alias("stored"))
-    both = sums.join(stored, "period_key").where("total IS NOT NULL AND stored IS NOT NULL").orderBy("period_ord")
-    wrong = both.where(~S.near("total", "stored", 0.05)).collect()
+        tab.findings.append(f"“% to goal” holds in {r['n_checked']} cells.")
+    stored = table.where((F.col("block") == "overall") & (S.slug("channel") == "total_raised") & F.col("actual").isNotNull()).select("period_key", "period_ord", "label", F.col("actual").alias("stored"))
+    both = reconcile.children_vs_total(table.where("block = 'channel'"), stored, "period_key", "actual", "stored", cents=False)
+    wrong = both.where("bad AND child_sum IS NOT NULL").orderBy("period_ord").collect()
     for x in wrong:
-        _error(tab, "RC2", f"{x['label']}: the channels sum to {x['total']:.2f} but Overall shows {x['stored']:.2f}.")
+        _error(tab, "RC2", f"{x['label']}: Overall has {x['stored']:.2f}, its channels {x['child_sum']:.2f}.")
     if not wrong:
-        tab.findings.append("Channel actuals sum to the Overall row in every reported period.")
+        tab.findings.append("Overall is the sum of its channels in each period that is reported.")
 
 
 def _paid(tab: Tab) -> None:
@@ -97,30 +99,38 @@ def _paid(tab: Tab) -> None:
                 cells += r["cells"]
                 sections += [s for s in secs if r["n_bad"] and s not in sections]
         if bad:
-            _flag(tab, rule, f"{bad} of {n} {label} cells on the Paid Media tab do not equal {means}.", sections, cells[: S.MAX_CELLS], max(0, bad - S.MAX_CELLS))
+            _flag(tab, rule, f"{label} is not {means} in {bad} of {n} cells of the Paid Media Report.", sections, cells[: S.MAX_CELLS], max(0, bad - S.MAX_CELLS))
         elif n:
-            tab.findings.append(f"All {n} {label} cells match their components.")
-    additive = [m for m in tab.catalog.additive]
-    detail, monthly, quarterly = tab.tables["detail"], tab.tables["monthly"], tab.tables["quarterly"]
-    sums = detail.groupBy(F.trim("month").alias("label")).agg(*[F.sum(F.coalesce(m.key, F.lit(0.0))).alias(f"s_{m.key}") for m in additive])
-    joined = monthly.withColumn("label", F.trim("label")).join(sums.withColumn("found", F.lit(True)), "label", "left").orderBy("row").collect()
-    for r in joined:
-        if not r["found"]:
-            tab.problems.append({"tab": tab.name, "level": "warn", "rule_id": "RC6", "text": f"{r['label']} has a monthly row but no detail rows."})
-            continue
-        for m in additive:
-            if r[m.key] is not None and abs(r[m.key] - r[f"s_{m.key}"]) > (0.5 if m.key == "ntl" else 0.05):
-                _error(tab, "RC5", f"{r['label']} {m.label}: detail rows sum to {r[f's_{m.key}']:.2f} but the monthly row shows {r[m.key]:.2f}.")
+            tab.findings.append(f"{label} holds in {n} cells.")
+    additive = tab.catalog.additive
+    monthly, quarterly = tab.tables["monthly"].withColumn("label", F.trim("label")), tab.tables["quarterly"]
+    children = tab.tables["detail"].withColumn("label", F.trim("month"))
+    for x in _compared(children, monthly, additive, "label").collect():
+        if x["missing"]:
+            tab.problems.append({"tab": tab.name, "level": "warn", "rule_id": "RC6", "text": f"{x['label']} stands in the monthly table only."})
+        else:
+            _error(tab, "RC5", f"{x['label']}, {x['metric']}: the month has {x['stored']:.2f}, its rows {x['child_sum'] or 0:.2f}.")
     if tab.meta["quarter"] is None:
         return
-    chosen = quarterly.where(F.col("quarter") == round(tab.meta["quarter"])).limit(1).collect()
-    if not chosen:
-        tab.problems.append({"tab": tab.name, "level": "warn", "rule_id": "RC8", "text": f"The quarterly table has no row for Q{tab.meta['quarter']:g}."})
+    number = round(tab.meta["quarter"])
+    chosen = quarterly.where(F.col("quarter") == number).orderBy("row").limit(1)  # the first row of that quarter counts
+    if chosen.isEmpty():
+        tab.problems.append({"tab": tab.name, "level": "warn", "rule_id": "RC8", "text": f"The quarterly table lacks Q{number}."})
         return
-    total = monthly.agg(*[F.sum(F.coalesce(m.key, F.lit(0.0))).alias(m.key) for m in additive]).first() if additive else {}
-    for m in additive:
-        if chosen[0][m.key] is not None and abs(chosen[0][m.key] - (total[m.key] or 0)) > (0.5 if m.key == "ntl" else 0.05):
-            _error(tab, "RC7", f"{m.label}: months sum to {total[m.key] or 0:.2f} but the quarter shows {chosen[0][m.key]:.2f}.")
+    for x in _compared(monthly.withColumn("quarter", F.lit(number)), chosen, additive, "quarter").collect():
+        _error(tab, "RC7", f"{x['metric']}: Q{number} has {x['stored'] or 0:.2f}, its months {x['child_sum'] or 0:.2f}.")
+
+
+def _compared(children: DataFrame, parents: DataFrame, metrics, key: str) -> DataFrame:
+    """(key, row, metric, stored, child_sum, missing) of each parent that lacks children or differs from their sum, in order."""
+    parts = []
+    for i, m in enumerate(metrics):
+        own = parents.select(key, "row", F.col(m.key).alias("stored"))
+        both = reconcile.children_vs_total(children, own, key, m.key, "stored", 0.5 if m.key == "ntl" else 0.05, cents=False)
+        wrong = (F.col("missing") & (F.lit(i) == 0)) | (F.col("bad") & F.col("stored").isNotNull())
+        parts.append(both.where(wrong).select(key, "row", F.lit(i).alias("ord"), F.lit(m.label).alias("metric"), "stored", "child_sum", "missing"))
+    none = parents.select(key, "row", F.lit(0).alias("ord"), F.lit("").alias("metric"), F.lit(0.0).alias("stored"), F.lit(0.0).alias("child_sum"), F.lit(False).alias("missing")).where("1 = 0")
+    return reduce(DataFrame.unionByName, parts, none).orderBy("row", "ord")
 
 
 def _flat(tab: Tab, checks, rule: str, section: str) -> None:
@@ -131,9 +141,9 @@ def _flat(tab: Tab, checks, rule: str, section: str) -> None:
         places = tab.tables["metrics_long"].where(F.col("metric_key") == stored).select("row", "cell")
         r = reconcile.identity(rows.join(places, "row"), Identity(rule, stored, num, den, label, means), cell="cell").first()
         if r["n_bad"]:
-            _flag(tab, rule, f"{r['n_bad']} of {r['n_checked']} {label} cells on the {TITLES[tab.name]} tab do not equal {means}.", [section], r["cells"], r["more_cells"])
+            _flag(tab, rule, f"{label} is not {means} in {r['n_bad']} of {r['n_checked']} cells of {TITLES[tab.name]}.", [section], r["cells"], r["more_cells"])
         elif r["n_checked"]:
-            tab.findings.append(f"All {r['n_checked']} {label} cells on the {TITLES[tab.name]} tab equal {means}.")
+            tab.findings.append(f"{label} holds in {r['n_checked']} cells of {TITLES[tab.name]}.")
 
 
 @dataclass
@@ -154,10 +164,22 @@ class Report:
         levels = [p["level"] for t in self.tabs.values() for p in t.problems]
         return {k: levels.count(k) for k in ("error", "warn", "flag")}
 
+    @property
+    def published(self) -> DataFrame:
+        """(tab) of each tab without an error."""
+        names = self.spark.createDataFrame([(k,) for k in self.tabs], "tab string")
+        return reconcile.publishable(names, self.problems)
+
     @property
     def shown(self) -> dict[str, Tab]:
         """Tabs without an error."""
-        return {k: t for k, t in self.tabs.items() if not t.failed}
+        names = {r["tab"] for r in self.published.collect()}
+        return {k: t for k, t in self.tabs.items() if k in names}
+
+    def close(self) -> None:
+        """Let cached tables go; the report's tables can still be read."""
+        for rows in [self.cells, *[x for t in self.tabs.values() for x in t.held]]:
+            rows.unpersist()
 
     def log(self) -> list[str]:
         out = [f"[{t.name}] {x}" for t in self.tabs.values() for x in t.findings]
@@ -167,14 +189,14 @@ class Report:
                 out.append(f"[{p['tab']}] {p['level'].upper()}: {p['text']}" + (f" ({'; '.join(p['cells'])}{more})" if p.get("cells") else ""))
         return out
 
-    def write(self, folder: str, strict: bool = True) -> list[str]:
-        """A JSON snapshot of each tab. strict: any error, and nothing is written; else tabs with errors are left out."""
+    def write(self, folder: str, strict: bool = True, paths: dict[str, str] | None = None) -> list[str]:
+        """A JSON snapshot of each tab, in the folder or where `paths` says for a tab. strict: any error, and nothing is written; else tabs with errors are left out."""
         if strict and self.counts["error"]:
             raise Refused("; ".join(p["text"] for t in self.tabs.values() for p in t.problems if p["level"] == "error"))
         out = []
         for name, t in self.shown.items():
-            path = f"{folder}/{name.replace('_', '-')}-data.json"
-            meta = {**t.meta, "sheet": TITLES[name], "source_workbook": self.workbook}
+            path = (paths or {}).get(name) or f"{folder}/{name.replace('_', '-')}-data.json"
+            meta = {**t.meta, "sheet": t.sheet, "source_workbook": self.workbook, "built_at": datetime.now(UTC).isoformat(timespec="seconds")}
             parts = {"meta": meta, **{k: v for k, v in t.tables.items()}, **t.lists, "findings": t.findings, "problems": t.problems}
             write_snapshot(path, parts)
             out.append(path)
@@ -182,15 +204,21 @@ class Report:
 
 
 def build(spark: SparkSession, cells: DataFrame, workbook: str) -> Report:
-    """A report from a table of cells of one workbook."""
+    """A report from a table of cells of one workbook; cells of several are an error."""
     cells = cells.cache()
+    if cells.select("workbook").distinct().limit(2).count() > 1:
+        raise ValueError("these cells are of several workbooks; load_all makes a report of each")
     names = [r["sheet"] for r in cells.where("kind = 'sheet'").orderBy("sheet_ord").select("sheet").collect()]
     report = Report(spark, workbook, cells, findings=[f"Workbook has {len(names)} tab(s)."])
     for spec in TABS:
         noticed = Tab(spec.name)
         name = pick_sheet(names, spec, noticed)
-        tab = spec.extract(Sheet(name, typed(cells.where(F.col("sheet") == name)).cache())) if name else noticed
+        tab = noticed
         if name:
+            own = typed(cells.where(F.col("sheet") == name)).cache()
+            tab = spec.extract(Sheet(name, own))
+            tab.held.append(own)
+            tab.sheet = name
             tab.problems = noticed.problems + tab.problems
         report.tabs[spec.name] = tab
     for name, tab in report.tabs.items():
@@ -212,5 +240,11 @@ def load(spark: SparkSession, path: str) -> Report:
     return build(spark, read_cells(spark, path), path.rsplit("/", 1)[-1])
 
 
+def load_all(spark: SparkSession, path: str) -> Iterator[Report]:
+    """A report for each workbook of a folder or pattern, by whole path, one after another; the caller closes each.
 
-
+    Files are found by listing, and each is read on its own, so a report costs the same however many there are.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path").orderBy("path")
+    for r in files.toLocalIterator():
+        yield build(spark, read_cells(spark, r["path"]), r["path"])

@@ -21,12 +21,20 @@ class Tab:
     """What one tab gives: tables, small facts and what was noticed."""
 
     name: str
+    #: the sheet that it was read from
+    sheet: str = ""
     meta: dict = field(default_factory=dict)
     catalog: Catalog = field(default_factory=Catalog)
     tables: dict[str, DataFrame] = field(default_factory=dict)
     lists: dict[str, list] = field(default_factory=dict)
     findings: list[str] = field(default_factory=list)
     problems: list[dict] = field(default_factory=list)
+    held: list[DataFrame] = field(default_factory=list)
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """Cache a small table that several steps read; `Report.close` lets it go."""
+        self.held.append(rows.cache())
+        return self.held[-1]
 
     def error(self, text: str) -> None:
         self.problems.append({"tab": self.name, "level": "error", "rule_id": "RC13", "text": text})
@@ -114,30 +122,30 @@ def flat_tab(sheet: Sheet, spec: FlatSpec, lineage: bool = False) -> Tab:
     spark = sheet.cells.sparkSession
     row = sheet.header_row(spec.header)
     if not row:
-        tab.error("Could not find a header row with the columns " + " and ".join(f"“{h}”" for h in spec.header) + ", so this tab could not be read.")
+        tab.error("No header row names " + " and ".join(f"“{h}”" for h in spec.header) + ": the tab is not read.")
         return tab
-    tab.findings.append(f"Header row found at row {row}.")
+    tab.findings.append(f"The header is row {row}.")
     heads = sheet.headers(row, "A", max(sheet.max_col, column_number(spec.last)))
     dims = {spec.dims[h.key]: h.col for h in heads if h.key in spec.dims}
     for need in spec.required:
         if need not in dims:
-            tab.error(f"Could not find a “{need}” column on row {row}.")
+            tab.error(f"Row {row} lacks the column “{need}”.")
     if tab.failed:
         return tab
     others = [h for h in heads if h.key not in spec.dims and not h.key.startswith("helper")]
     is_number = discover.numeric_columns(sheet, row, [h.col for h in others]) if others else {}
     texts = [h for h in others if not is_number[h.col]]
     if texts:
-        tab.findings.append("Column(s) " + ", ".join(f"“{h.label}” ({h.letters})" for h in texts) + " hold text rather than numbers, so they are not treated as metrics.")
+        tab.findings.append("No metrics, as they hold text: " + ", ".join(f"{h.letters} “{h.label}”" for h in texts) + ".")
     metrics = [h for h in others if is_number[h.col]]
     if not metrics:
-        tab.error(f"No metric columns were found on the header row {row}.")
+        tab.error(f"Row {row} heads no column of numbers.")
         return tab
     cat = tab.catalog = catalog([(h.label, h.letters) for h in metrics], by_table(spec.ratios), spec.has_ratios)
     columns = {m.key: column_number(m.column) for m in cat.metrics}
     if missing := [m.label for m in cat.ratios if m.unresolvable and spec.has_ratios]:
-        tab.warn(", ".join(missing) + " cannot be rebuilt from summed components and is left out of rollups.")
-    rows = discover.block(sheet, row, [dims[s] for s in spec.stop]).cache()
+        tab.warn("Components unknown, so blank in every rollup: " + ", ".join(missing) + ".")
+    rows = tab.keep(discover.block(sheet, row, [dims[s] for s in spec.stop]))
     kinds = {d: "num" if d in _NUMBERS else "flag" if d in spec.flags else "txt" for d in dims}
     detail = discover.wide(sheet, rows, {**{d: (c, kinds[d]) for d, c in dims.items()}, **{f"m_{k}": (c, "num") for k, c in columns.items()}})
     detail = detail.withColumnsRenamed({f"m_{k}": k for k in columns if k not in dims})
@@ -148,17 +156,17 @@ def flat_tab(sheet: Sheet, spec: FlatSpec, lineage: bool = False) -> Tab:
             if name not in dims:
                 detail = detail.withColumn(name, made.cast("double"))
         detail = detail.withColumn("month", S.month_label("date"))
-    detail = tab.tables["detail"] = detail.withColumn("month_key", S.slug("month")).cache()
+    detail = tab.tables["detail"] = tab.keep(detail.withColumn("month_key", S.slug("month")))
     facts = detail.agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("a"), F.max("row").alias("b"), F.count_if(F.col("month").isNull()).alias("no_month"), *[F.count_if(F.col(s).isNull()).alias(f"no_{s}") for s in spec.slices]).first()
     if not facts["n"]:
-        tab.error(f"No detail rows were found under the header on row {row}.")
+        tab.error(f"Nothing stands below the header in row {row}.")
         return tab
-    tab.findings.append(f"Read {facts['n']} detail row(s): rows {facts['a']}–{facts['b']}.")
+    tab.findings.append(f"Rows {facts['a']} to {facts['b']} give {facts['n']} detail rows.")
     for s in spec.slices:
         if facts[f"no_{s}"]:
-            tab.warn(f"{facts[f'no_{s}']} detail row(s) are missing a {s}.")
+            tab.warn(f"The {s} is blank in {facts[f'no_{s}']} detail rows.")
     if spec.month_from_date and facts["no_month"]:
-        tab.warn(f"{facts['no_month']} detail row(s) have no readable date.")
+        tab.warn(f"The date cannot be read in {facts['no_month']} detail rows.")
     long = tab.tables["metrics_long"] = discover.long_metrics(sheet, rows, columns)
     _rollups(tab, spec, detail, long, lineage)
     _period(tab, spec, sheet, detail)
@@ -202,19 +210,19 @@ def _period(tab: Tab, spec: FlatSpec, sheet: Sheet, detail: DataFrame) -> None:
         year, quarter = sheet.labelled("A", "B", "^year$"), sheet.labelled("A", "B", "^quarter$")
         tab.meta = {"year": year and year["num"], "quarter": quarter and quarter["num"]}
         if tab.meta["year"] is None:
-            tab.warn("Could not read the report year.")
+            tab.warn("The year of the report is not given.")
         if tab.meta["quarter"] is None:
-            tab.warn("Could not read which quarter this tab is set to.")
+            tab.warn("The quarter of the report is not given.")
         return
-    found = detail.where("date IS NOT NULL").select("year", "quarter").distinct().orderBy("year", "quarter").limit(5).collect()
+    found = detail.where("date IS NOT NULL").select("year", "quarter").distinct().orderBy("year", "quarter").collect()  # a row for each quarter
     one = found[0] if len(found) == 1 else None
     tab.meta = {"year": one and one["year"], "quarter": one and one["quarter"]}
     if one:
-        tab.findings.append(f"This tab has no period labels; derived Q{one['quarter']:g} {one['year']:g} from the dates of the detail rows.")
+        tab.findings.append(f"All dates lie in Q{one['quarter']:g} {one['year']:g}, which is taken as the period.")
     elif found:
-        tab.warn("Detail rows span more than one quarter (" + ", ".join(f"{r['year']:g}-Q{r['quarter']:g}" for r in found) + "), so no single quarter can be named.")
+        tab.warn("The period is left open, as the dates lie in several quarters: " + ", ".join(f"Q{r['quarter']:g} {r['year']:g}" for r in found) + ".")
     else:
-        tab.warn("Could not derive a year or quarter: no detail row has a readable date.")
+        tab.warn("The period is left open, as no date can be read.")
 
 
 # --- the digital tab ----------------------------------------------------------------------------------------------
@@ -245,25 +253,25 @@ def digital_tab(sheet: Sheet) -> Tab:
     spark = sheet.cells.sparkSession
     top = sheet.find_row("B", "^quarterly toplines$")
     if not top:
-        tab.error("Could not find the “Quarterly Toplines” heading in column B, so this tab could not be read.")
+        tab.error("Column B has no heading “Quarterly Toplines”: the tab is not read.")
         return tab
     label_row = top + 1
     groups = _groups(sheet, label_row)
     if not groups:
-        tab.error(f"Row {label_row} has no Goal / Actual / % to Goal column group, so this tab could not be read.")
+        tab.error(f"Row {label_row} has no three columns for goal, actual and percent: the tab is not read.")
         return tab
     named = [(c, label) for c, label in groups[1:] if label]
     if len(named) < len(groups) - 1:
-        tab.warn(f"A month column group has no month name on row {top} and was skipped.")
+        tab.warn(f"Columns without a month in row {top} are left out.")
     if not named:
-        tab.error("No month column groups were found next to the quarterly group.")
+        tab.error("Only the quarter has columns; the months are missing.")
     months = {slug_text(label): label for _, label in named}
     periods = [("quarter", 0, "Quarter", groups[0][0])] + [(slug_text(label), i + 1, label.strip(), c) for i, (c, label) in enumerate(named)]
     channels = discover.block(sheet, label_row, [2], until="^overall$")
     overall_row = sheet.find_row("B", "^overall$")
     overall = discover.block(sheet, overall_row, [2]) if overall_row else None
     if not overall_row:
-        tab.error("Could not find the “Overall” block in column B.")
+        tab.error("Column B has no “Overall”.")
     rows = channels.withColumn("block", F.lit("channel"))
     if overall is not None:
         rows = rows.unionByName(overall.withColumn("block", F.lit("overall")))
@@ -276,15 +284,15 @@ def digital_tab(sheet: Sheet) -> Tab:
     pick = lambda f, c: F.max(F.when(F.col("field") == f, c))
     made = [x for f in ("goal", "actual", "pct") for x in (pick(f, F.col("num")).alias(f), pick(f, spots).alias(f"{f}_cell"), pick(f, F.col("formula")).alias(f"{f}_formula"))]
     table = flat.groupBy("block", "row", "channel", "period_key", "period_ord", "label").agg(*made, pick("pct", F.col("raw")).alias("pct_raw"))
-    table = tab.tables["channel_period"] = table.cache()
+    table = tab.tables["channel_period"] = tab.keep(table)
     quarter = table.where("block = 'channel' AND period_key = 'quarter'")
     listed = quarter.select("channel", "row", "goal_formula", series.dormant("goal", "actual").alias("dormant")).orderBy("row").collect()  # a page's list of channels
     if not listed:
-        tab.error("No channel rows were found under the channel header.")
+        tab.error("No channel stands below the header.")
         return tab
     tab.lists["channels"] = [r["channel"] for r in listed]
     tab.lists["dormant"] = [r["channel"] for r in listed if r["dormant"]]
-    tab.findings.append(f"Found {len(listed)} channel row(s): rows {listed[0]['row']}–{listed[-1]['row']}.")
+    tab.findings.append(f"Rows {listed[0]['row']} to {listed[-1]['row']} give {len(listed)} channels.")
     monthly = table.where("block = 'channel' AND period_key <> 'quarter'")
     tab.lists["pending"] = sorted((r["period_key"] for r in series.pending_periods(monthly, "period_key", "actual").collect()), key=list(months).index)
     # keyed by row, so that channels of one name keep a series each
@@ -295,11 +303,11 @@ def digital_tab(sheet: Sheet) -> Tab:
     if overall is not None:
         keys = {slug_text(r["channel"]) for r in table.where("block = 'overall'").select("channel").distinct().collect()}
         if "total_raised" not in keys:
-            tab.error("The Overall block has no “Total Raised” row, which the headline figures depend on.")
+            tab.error("“Total Raised” is missing below “Overall”, so there are no headline figures.")
     _helpers(tab, sheet, listed, list(months))
     tab.lists["toggles"] = [{"month": k, **v} for k, v in _toggles(sheet, label_row, months).items()]
     if any(t["value"] for t in tab.lists["toggles"]):
-        tab.warn("A “Display Dynamic Goals” toggle is switched on, so the quarterly goal uses actuals in place of goals for that month.")
+        tab.warn("Dynamic goals are on for " + ", ".join(t["month"] for t in tab.lists["toggles"] if t["value"]) + ": the quarter's goal counts actuals there.")
     first = table.where((F.col("block") == "channel") & (F.col("row") == listed[0]["row"])).select("period_key", "goal_formula", "actual_formula").collect()
     tab.meta = {k: (sheet.labelled("B", "C", p) or {}).get(v) for k, p, v in (("client", "^client$", "text"), ("lead", "^email lead$", "text"), ("year", "^year$", "num"), ("quarter", "^quarter$", "num"))}
     title = sheet.find_row("B", "toplines$", top - 1)
@@ -307,7 +315,7 @@ def digital_tab(sheet: Sheet) -> Tab:
     tab.meta["sources"] = {f"{r['period_key']}_{f}": hit for r in first for f in ("goal", "actual") if (hit := next((s for s in SOURCES if s in (r[f"{f}_formula"] or "")), None))}
     for k in ("year", "quarter"):
         if tab.meta[k] is None:
-            tab.warn(f"Could not read the report {k}.")
+            tab.warn(f"The {k} of the report is not given.")
     return tab
 
 
@@ -315,15 +323,15 @@ def _helpers(tab: Tab, sheet: Sheet, listed: list, months: list[str]) -> None:
     """Hidden helper columns behind the quarterly goal's SUM, one for each month by position."""
     m = re.match(r"=\s*SUM\(\s*\$?([A-Z]+)\$?\d+\s*:\s*\$?([A-Z]+)\$?\d+\s*\)", listed[0]["goal_formula"] or "", re.IGNORECASE)
     if not m:
-        tab.warn("Could not read the quarterly goal formula, so hidden helper columns are not shown.")
+        tab.warn("The quarter's goal is no sum of columns, so there are no helpers.")
         return
     cols = list(range(column_number(m[1].upper()), column_number(m[2].upper()) + 1))
     if len(cols) != len(months):
-        tab.warn(f"The quarterly goal sums {len(cols)} helper column(s) but there are {len(months)} months; helper provenance may be off.")
+        tab.warn(f"{len(cols)} helper columns stand against {len(months)} months; they are matched in order.")
     names = dict(zip(months, cols, strict=False))
     rows = tab.tables["channel_period"].where("block = 'channel'").select("row").distinct()
     tab.tables["helpers"] = discover.long_metrics(sheet, rows, names).withColumnRenamed("metric_key", "period_key")
-    tab.findings.append("Quarterly goal sums the helper columns " + ", ".join(column_letters(c) for c in cols) + ".")
+    tab.findings.append("Helper columns: " + ", ".join(column_letters(c) for c in cols) + ".")
 
 
 # --- the paid tab -------------------------------------------------------------------------------------------------
@@ -346,13 +354,13 @@ def paid_tab(sheet: Sheet) -> Tab:
     spark = sheet.cells.sparkSession
     rows = {"quarterly": sheet.find_row("B", "^quarterly toplines$"), "monthly": sheet.find_row("B", "^monthly toplines$"), "detail": sheet.find_row("B", "^month$")}
     if not all(rows.values()):
-        tab.error("Could not find the heading(s) of " + " and ".join(k for k, r in rows.items() if not r) + " in column B, so this tab could not be read.")
+        tab.error("Column B lacks the heading of: " + ", ".join(k for k, r in rows.items() if not r) + ". The tab is not read.")
         return tab
-    tab.findings.append("Headings found at " + ", ".join(f"B{r} ({k})" for k, r in rows.items()) + ".")
+    tab.findings.append("Tables begin at " + ", ".join(f"B{r} ({k})" for k, r in rows.items()) + ".")
     last = max(sheet.max_col, column_number("N"))
     own = [h for h in sheet.headers(rows["detail"], "F", last) if not h.key.startswith("helper")]
     if not own:
-        tab.error(f"No metric columns were found on the detail header row {rows['detail']}.")
+        tab.error(f"Row {rows['detail']} heads no metric.")
         return tab
     cat = tab.catalog = catalog([(h.label, h.letters) for h in own], by_name)
     tab.tables["metric_catalog"] = metric_table(spark, cat)
@@ -363,7 +371,7 @@ def paid_tab(sheet: Sheet) -> Tab:
         by_block[k] = {m.key: there.get(norm_text(m.label), column_number(m.column)) for m in cat.metrics}
         moved = [m.label for m in cat.metrics if by_block[k][m.key] != column_number(m.column)]
         if moved:
-            tab.warn(f"The {k} table puts {', '.join(moved)} in a different column from the detail table; figures are read from each table's own header.")
+            tab.warn(f"Columns of the {k} table differ from the detail's for {', '.join(moved)}; each table goes by its header.")
     side = {k: {h.key: h.col for h in sheet.headers(row, "B", "E")} for k, row in rows.items()}
     dims = {
         "quarterly": {"quarter": (side["quarterly"].get("quarter", 5), "num")},
@@ -379,23 +387,23 @@ def paid_tab(sheet: Sheet) -> Tab:
         first = next(iter(dims[k].values()))
         found = discover.block(sheet, row, [first[0]], numeric=first[1] == "num")
         table = discover.wide(sheet, found, {**dims[k], **{f"m_{key}": (c, "num") for key, c in by_block[k].items()}})
-        tab.tables[k] = table.withColumnsRenamed({f"m_{key}": key for key in by_block[k]}).cache()
+        tab.tables[k] = tab.keep(table.withColumnsRenamed({f"m_{key}": key for key in by_block[k]}))
         tab.tables[f"{k}_metrics"] = discover.long_metrics(sheet, found, by_block[k])
         n = tab.tables[k].count()
         if not n:
-            tab.error(f"No {k} rows were found under B{row}.")
+            tab.error(f"The {k} table at B{row} is empty.")
         else:
-            tab.findings.append(f"Read {n} {k} row(s).")
+            tab.findings.append(f"The {k} table has {n} rows.")
     if tab.failed:
         return tab
     tab.tables["quarterly"] = tab.tables["quarterly"].withColumn("label", S.quarter_label("quarter")).withColumn("quarter", F.floor(F.col("quarter") + 0.5).cast("int"))
     missing = tab.tables["detail"].where("channel IS NULL OR placement IS NULL").count()
     if missing:
-        tab.warn(f"{missing} detail row(s) are missing a channel or placement name.")
+        tab.warn(f"Channel or placement is blank in {missing} detail rows.")
     plain = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     tab.tables["year_to_date"] = rollup.rollup(tab.tables["quarterly"], [], cat, total=plain)
     if lost := [m.label for m in cat.ratios if m.unresolvable]:
-        tab.warn("Could not tell the components of " + ", ".join(lost) + ", so it has no year-to-date figure.")
+        tab.warn("Components unknown, so blank for the year: " + ", ".join(lost) + ".")
     keys, text = accumulated(cat, ["gross_spend", "ntl", "total_raised"], fallback=True)
     if text:
         tab.warn(text)
@@ -404,11 +412,11 @@ def paid_tab(sheet: Sheet) -> Tab:
         tab.tables[f"{k}_series"] = series.series(long, "value", ["metric_key"], "row", "carry", "cell")
     tab.lists["definitions"] = _definitions(sheet, rows["quarterly"])
     if not tab.lists["definitions"]:
-        tab.warn("No metric definitions key was found.")
+        tab.warn("The sheet defines no terms.")
     tab.meta = {k: (sheet.labelled("B", "C", p) or {}).get(v) for k, p, v in (("year", "^year$", "num"), ("quarter", "^quarter$", "num"), ("client", "^client$", "text"), ("lead", "^paid media lead$", "text"))}
     tab.meta["title"] = sheet.text(sheet.find_row("B", "paid media report") or 2, "B")
     if tab.meta["quarter"] is None:
-        tab.warn("Could not read which quarter this tab is set to.")
+        tab.warn("The quarter of the report is not given.")
     return tab
 
 

@@ -16,6 +16,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -184,18 +185,80 @@ def parse(data: bytes, workbook: str, only: int | None = None) -> Iterator[tuple
                 yield (workbook, name, i, row, col, ref, kind, number, text, flag, formula)
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """All cells of the workbooks at path (a file, a folder or a pattern). A file that is no workbook fails the query."""
+def plain_path(path: str) -> str:
+    """A local path without its scheme; others as they are."""
+    return re.sub("^file:/+", "/", path)
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """All cells of workbooks given as (path, content). A workbook is named by its whole path; a file that is no workbook fails the query."""
 
     def run(frames):
         names = [x.strip().split(" ")[0] for x in CELLS.split(",")]
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                rows = pd.DataFrame(list(parse(bytes(content), name.rsplit("/", 1)[-1])), columns=names)
+                rows = pd.DataFrame(list(parse(bytes(content), plain_path(name))), columns=names)
                 yield rows.astype({"v_bool": "boolean", "v_num": "float64"})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, CELLS)
+    return files.select("path", "content").mapInPandas(run, CELLS)
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """All cells of the workbooks at path (a file, a folder or a pattern)."""
+    return cells_of(spark.read.format("binaryFile").load(path))
+
+
+def _cell_xml(ref: str, kind: str, number, text, flag, formula, master: dict, shared: dict) -> str:
+    f = ""
+    if formula:
+        own, column = formula[1:], split_ref(ref)[0]
+        # a formula that is a copy of the one above refers to it
+        if column in master and translate_formula(master[column][0], master[column][1], ref) == own:
+            f = f'<f t="shared" si="{master[column][2]}"/>'
+        else:
+            master["n"] = master.get("n", -1) + 1
+            master[column] = (own, ref, master["n"])
+            f = f'<f t="shared" si="{master["n"]}" ref="{ref}">{escape(own)}</f>'
+    if kind == "string":
+        return f'<c r="{ref}" t="s">{f}<v>{shared.setdefault(text, len(shared))}</v></c>'
+    if kind == "boolean":
+        return f'<c r="{ref}" t="b">{f}<v>{int(flag)}</v></c>'
+    if kind == "error":
+        return f'<c r="{ref}" t="e">{f}<v>{escape(text)}</v></c>'
+    return f'<c r="{ref}">{f}' + (f"<v>{float(number)!r}</v>" if kind == "number" else "") + "</c>"
+
+
+def workbook_bytes(sheets: list[tuple[str, list[tuple]]]) -> bytes:
+    """A workbook from (sheet, [(row, col, kind, number, text, flag, formula)]); what `parse` reads back."""
+    out, shared = io.BytesIO(), {}
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        names = "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, (n, _) in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN[1:-1]}" xmlns:r="{office}"><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for i, (_, cells) in enumerate(sheets, 1):
+            master, rows = {}, {}
+            for row, col, *rest in sorted(cells, key=lambda c: c[:2]):
+                rows.setdefault(row, []).append(_cell_xml(f"{column_letters(col)}{row}", *rest, master, shared))
+            body = "".join(f'<row r="{r}">{"".join(x)}</row>' for r, x in rows.items())
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{MAIN[1:-1]}"><sheetData>{body}</sheetData></worksheet>')
+        items = "".join(f'<si><t xml:space="preserve">{escape(x)}</t></si>' for x in shared)
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{MAIN[1:-1]}">{items}</sst>')
+    return out.getvalue()
+
+
+def to_files(cells: DataFrame) -> DataFrame:
+    """Workbooks (path, content) from a table of cells: each workbook is made in one task, as its file format asks."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sheets = []
+        for _, own in sorted(frame.groupby("sheet_ord"), key=lambda x: x[0]):
+            rows = own[own["kind"] != "sheet"][["row", "col", "kind", "v_num", "v_str", "v_bool", "formula"]]
+            sheets.append((own["sheet"].iloc[0], [tuple(None if x is None or x is pd.NA or x != x else x for x in r) for r in rows.itertuples(index=False)]))
+        return pd.DataFrame({"path": [frame["workbook"].iloc[0]], "content": [workbook_bytes(sheets)]})
+
+    return cells.groupBy("workbook").applyInPandas(run, "path string, content binary")
 
 
 class SheetPartition(InputPartition):
@@ -205,7 +268,7 @@ class SheetPartition(InputPartition):
 
 class XlsxReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path
+        self.path = re.sub("^file:/+", "/", path)
 
     def partitions(self) -> list[SheetPartition]:
         with open(self.path, "rb") as f:
@@ -213,7 +276,7 @@ class XlsxReader(DataSourceReader):
 
     def read(self, partition: SheetPartition) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            yield from parse(f.read(), posixpath.basename(partition.path), partition.sheet)
+            yield from parse(f.read(), plain_path(partition.path), partition.sheet)
 
 
 class XlsxCells(DataSource):

@@ -1,7 +1,7 @@
 """A stream from a landing folder of workbooks to a table of cells.
 
 Each new file is parsed once, in a task; the sink's log makes its cells appear once. A later version of a workbook comes as a file of its own, and
-`latest` keeps the newest of each name.
+`latest` keeps the newest of each name in whichever folder (`by="path"`: of each whole path).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.workbook import CELLS, WorkbookError, parse
+from ..sources.workbook import CELLS, WorkbookError, parse, plain_path
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 ARRIVED = f"{CELLS}, arrived timestamp, problem string"
@@ -24,7 +24,7 @@ def arriving(spark: SparkSession, folder: str, files_per_batch: int = 100) -> Da
     def run(frames):
         for frame in frames:
             for path, at, content in zip(frame["path"], frame["modificationTime"], frame["content"], strict=True):
-                name = path.rsplit("/", 1)[-1]
+                name = plain_path(path)
                 try:
                     rows = [(*r, at, None) for r in parse(bytes(content), name)]
                 except WorkbookError as e:
@@ -41,8 +41,8 @@ def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str, **trig
     return out.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def latest(cells: DataFrame) -> DataFrame:
-    """The cells of the newest arrival of each workbook that could be read."""
-    good = cells.where("problem IS NULL")
-    newest = good.groupBy("workbook").agg(F.max("arrived").alias("arrived"))
-    return good.join(newest, ["workbook", "arrived"]).select(*[F.col(x.strip().split(" ")[0]) for x in CELLS.split(",")])
+def latest(cells: DataFrame, by: str = "name") -> DataFrame:
+    """The cells of the newest arrival of each workbook that could be read. by="name": versions are files of one name; of equally new ones the last path counts."""
+    good = cells.where("problem IS NULL").withColumn("__of", F.regexp_extract("workbook", "[^/]*$", 0) if by == "name" else F.col("workbook"))
+    newest = good.groupBy("__of").agg(F.max(F.struct("arrived", "workbook")).alias("__last"))
+    return good.join(newest, "__of").where("workbook = __last.workbook AND arrived = __last.arrived").select(*[F.col(x.strip().split(" ")[0]) for x in CELLS.split(",")])

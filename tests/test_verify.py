@@ -39,3 +39,61 @@ def test_lineage(spark):
     assert july["gross_spend"]["cells"] == [f"E{5 + i}" for i in range(0, 24, 2)]
     assert july["gross_cpa"]["cells"][:12] == july["gross_spend"]["cells"] and july["gross_cpa"]["value"] == july["gross_spend"]["value"] / july["ntl"]["value"]
     assert verify.computed_provenance(line.withColumn("value", F.col("value") + 1), sheet.cells, keys).count() == 2 * len(keys)
+
+
+def test_audit_and_guard(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from tallyloom.sources.snapshots import without_data
+
+    r = build(spark, cells_of(spark, wb.everything()), "x")
+    paths = r.write(str(tmp_path), paths={"paid": str(tmp_path / "elsewhere" / "pm.json")})
+    assert any(p.endswith("elsewhere/pm.json") for p in paths)
+    for p in paths[:2]:
+        s = json.loads(open(p).read())
+        assert s["meta"]["built_at"].endswith("+00:00")
+        cells = typed(r.cells.where(F.col("sheet") == s["meta"]["sheet"]))
+        assert len(verify.claims(s)) > 50 and verify.audit(s, cells).count() == 0
+    clean, leaky, filled = tmp_path / "a.html", tmp_path / "b.html", tmp_path / "c.html"
+    clean.write_text("<script>let DATA = null; const x = {a: 1}; /* quarter_to_date */</script>")
+    leaky.write_text('<script>let DATA = null; load({"quarter_to_date": []})</script>')
+    filled.write_text('<script>let DATA = {"a": 1};</script>')
+    without_data(str(clean), paths)
+    for bad in (leaky, filled):
+        with pytest.raises(ValueError, match="holds data"):
+            without_data(str(bad), paths)
+    r.close()
+
+
+def test_one_workbook_for_a_report(spark, tmp_path):
+    import pytest
+
+    from tallyloom.plans.report import load, load_all
+
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.xlsx").write_bytes(wb.workbook({"High-Dollar Donations": wb.high_dollar()}))
+    with pytest.raises(ValueError, match="several workbooks"):
+        load(spark, str(tmp_path / "*"))
+    made = [r.workbook for r in load_all(spark, str(tmp_path / "*"))]
+    assert len(made) == 2 and made[0].endswith("a/same.xlsx") and made[1].endswith("b/same.xlsx")
+
+
+def test_prefixes_of_any_length(spark):
+    from tallyloom.operators.compare import by_unique_prefix
+
+    names = spark.createDataFrame([("Meta Ads", "July"), ("Connected TV", "July"), ("Connected TV Max", "August"), ("X", "July")], "name string, month string")
+    shown = spark.createDataFrame([("Meta", "July"), ("Me…", "July"), ("Connected T…", "July"), ("Connected T…", "August"), ("X", "July"), ("…", "July"), (None, "July")], "shown string, month string")
+    got = {(r["shown"], r["month"]): r["name"] for r in by_unique_prefix(shown, names, "shown", "name", ["month"]).collect()}
+    assert got == {("Meta", "July"): None, ("Me…", "July"): "Meta Ads", ("Connected T…", "July"): "Connected TV", ("Connected T…", "August"): "Connected TV Max", ("X", "July"): "X", ("…", "July"): None}
+
+
+def test_all_quarters_are_named(spark):
+    cells = wb.high_dollar()
+    for i in range(8):
+        cells[f"C{5 + i}"] = 46204 + 95 * i
+    t = build(spark, cells_of(spark, {"High-Dollar Donations": cells}), "x").tabs["high_dollar"]
+    text = next(p["text"] for p in t.problems if "several quarters" in p["text"])
+    assert text.count("Q") == 8 and t.meta == {"year": None, "quarter": None}
