@@ -25,13 +25,13 @@ FAN = 256
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
-    """(id, text, block), the bytes of all texts and the number of blocks."""
+    """(id, text, block), the bytes of all texts and the number of blocks. There are as many partitions as blocks, so few blocks share one."""
     own, id_, text = plain(docs, id_col, text_col)
     text = text_of(text)
     size = own.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     n = int(size) // block_bytes + 1
     rows = own.select(id_.cast("bigint").alias("id"), text.alias("text"))
-    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("bigint")), int(size), n
+    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("bigint")).repartition(n, "block"), int(size), n
 
 
 def pack(values: np.ndarray, delta: bool = False) -> bytes:
@@ -116,6 +116,7 @@ class Tree:
             self.fan = 2
             while self.fan**self.levels < wide:
                 self.fan += 1
+        self.nodes = self.fan**self.levels
         self.step = (1 << 64) // self.fan**self.levels + 1
 
     def cut(self, keys: np.ndarray, level: int, prefix: int = 0) -> np.ndarray:
@@ -191,9 +192,10 @@ class Tree:
 
         asked: rows of `messages(tracks, 1, 0, block)`.
         """
-        sent = [asked]
+        dealt = lambda rows: rows.repartition(self.nodes, "g", "r")
+        sent = [dealt(asked)]
         for level in range(1, self.levels):
-            sent.append(sent[-1].groupBy("g", "r").applyInArrow(self._forward(level), ASK))
+            sent.append(dealt(sent[-1].groupBy("g", "r").applyInArrow(self._forward(level), ASK)))
         told = sent[-1].groupBy("g", "r").applyInArrow(lambda table: self._root(table), TELL)
         for level in range(self.levels - 1, 0, -1):
             up = told.withColumn("node", F.expr(f"r div {self.fan}"))
