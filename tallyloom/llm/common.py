@@ -66,10 +66,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: write df once to the shared folder and read it back."""
+#: Rows of a few numbers that a file of a scratch table holds.
+FILE_ROWS = 1_000_000
+
+
+def materialize(df: DataFrame, label: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write df once to the shared folder and read it back. rows: of a slim table, so that it has few files and not one for each partition."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 12)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -129,7 +129,7 @@ class Mix:
         many = lambda n: int(n) // BUCKET + 16
         n = sum(int(r["n"]) for r in per)
         stream = _running(rows.where("size > 0 AND take > 0").select("s", "id", "row", "k", "size", "p"), ["s"], "p", ["row", "id", "k"], many(n), {"at": F.col("size")})
-        stream = materialize(stream.withColumn("block", F.floor(F.col("at") / block_words)), "streams")
+        stream = materialize(stream.withColumn("block", F.floor(F.col("at") / block_words)), "streams", rows=n)
         self.stream = stream
         blocks = stream.groupBy("s", "block").agg(F.sum("size").alias("n"), F.min("at").alias("first"))
         passes = F.ceil(F.col("take") / F.col("words")).cast("bigint")  # at most `most`, rounded up
@@ -139,7 +139,7 @@ class Mix:
         drawn = _running(blocks, ["s", "pass"], "h", ["block"], many(n), {"rank": F.lit(1), "ahead": F.col("n")})
         left = F.col("take") - F.col("pass") * F.col("words") - F.col("ahead")
         drawn = drawn.withColumn("n", F.least(F.col("n"), left)).where("n > 0")
-        drawn = materialize(drawn.select("s", "pass", "block", "first", "n", "rank"), "drawn_blocks")
+        drawn = materialize(drawn.select("s", "pass", "block", "first", "n", "rank"), "drawn_blocks", rows=n)
         counts = {(r["s"], r["pass"]): r["n"] for r in drawn.groupBy("s", "pass").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as passes for each source
         passes_of: dict[str, list[int]] = {r["s"]: [] for r in per}
         for (s, _), n in sorted(counts.items()):
