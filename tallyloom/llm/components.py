@@ -30,9 +30,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, label: str = "component") -> DataFrame:
     """(id, component) of each node that has an edge (a, b); a component is named by its smallest id."""
     edges = materialize(edges.where("a <> b").select("a", "b").distinct(), f"{label}_edges")
-    before = None
+    before, n = None, edges.count()
     while True:
-        edges = materialize(_small_star(_large_star(edges)), f"{label}_edges")
+        edges = materialize(_small_star(_large_star(edges)), f"{label}_edges", rows=n)  # a step adds no edges
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before:
             break

@@ -286,8 +286,9 @@ def _classes(docs: DataFrame, names: Names, similarity: float, id_col: str, text
     free_shuffles(spark)
     keys = materialize(_keys(one), "buckets")
     free_shuffles(spark)
+    n = BANDS * texts.count()
     hubs = keys.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
-    shared = materialize(keys.join(hubs, "bucket").select("bucket", "id", "a"), "shared_buckets")
+    shared = materialize(keys.join(hubs, "bucket").select("bucket", "id", "a"), "shared_buckets", rows=n)
     wanted = shared.select("id").distinct()
     sets = materialize(_sets(one.join(wanted, "id", "left_semi")), "shingle_sets")
     free_shuffles(spark)
