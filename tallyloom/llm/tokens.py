@@ -24,9 +24,9 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _ASCII = np.arange(256) < 128
 
 #: Distinct pieces that a process keeps (beyond it the store starts anew), and the bytes of the longest that is kept.
-KEEP, LONGEST = 300_000, 48
+KEEP, LONGEST = 500_000, 48
 #: Bytes of text that are encoded at a time.
-SLICE = 2 << 20
+SLICE = 4 << 20
 
 
 def _wide_space(b: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -238,4 +238,4 @@ def encoded(path: str, texts: pa.Array, end: int | None):
             yield first, all_, np.array([0, len(all_)])
         else:
             yield first, *own.encode(part, end)
-        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()

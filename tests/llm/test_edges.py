@@ -173,7 +173,7 @@ def test_the_machine_against_a_plain_trainer():
 def test_a_long_text_is_encoded_in_parts():
     r = random.Random(6)
     words = ["don't", "x", "中文", "1234", "  ", "\n\n", "tail,", "é\u00a0", "\u3000", "<|endoftext|>"]
-    long = " ".join(r.choice(words) for _ in range(1_300_000))
+    long = " ".join(r.choice(words) for _ in range(2_400_000))
     assert len(long.encode()) > 2.2 * SLICE
     texts = ["a b", long, None, "y" * (2 * SLICE + 10)]
     got = {}
