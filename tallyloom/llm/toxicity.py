@@ -25,6 +25,8 @@ from .words import Words, slices
 _APART = np.ones(256, bool)
 _APART[48:58] = _APART[97:123] = _APART[128:] = False
 FACTORS = 8
+#: Cells of the largest table in which documents' slots are marked (a byte each).
+CELLS = 1 << 25
 #: Squared gradients that a shared slot counts as seen before the first: its linear weight, its factors.
 STILL = (1.0, 0.05)
 THRESHOLD = 0.7
@@ -76,14 +78,21 @@ class Machine:
             hit = self.names[at] == term[maybe]
             slot[maybe[hit]] = at[hit]
         known = slot >= 0
-        pairs = np.unique(doc[known].astype(np.int64) * max(len(self.w), 1) + slot[known])
-        return pairs // max(len(self.w), 1), pairs % max(len(self.w), 1)
+        width = max(len(self.w), 1)
+        pairs = doc[known].astype(np.int64) * width + slot[known]
+        cells = (int(doc.max()) + 1) * width if len(doc) else 0
+        if cells <= CELLS:  # marked in a table, which is cheaper than a sort; very many short texts are sorted
+            table = np.zeros(cells, bool)
+            table[pairs] = True
+            pairs = np.flatnonzero(table)
+        else:
+            pairs = np.unique(pairs)
+        return pairs // width, pairs % width
 
     def score(self, doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        z = self.bias + np.bincount(doc, self.w[at], n)
+        z = self.bias + np.bincount(doc, (self.w - 0.5 * (self.v**2).sum(1))[at], n)
         for f in range(FACTORS):
-            own = self.v[at, f]
-            z += 0.5 * (np.bincount(doc, own, n) ** 2 - np.bincount(doc, own**2, n))
+            z += 0.5 * np.bincount(doc, self.v[:, f][at], n) ** 2
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 40, rate: float = 0.1, decay: float = 1e-4, batch: int = 256, seed: int = 5) -> None:
@@ -105,6 +114,7 @@ class Machine:
         gb, gw, gv = 1e-6, np.full(len(self.w), 1e-6), np.full_like(self.v, 1e-6)
         # shared slots start with a smaller step, or texts would be learned by heart
         gw[len(self.names) :], gv[len(self.names) :] = STILL
+        room = np.zeros((min(batch, n), len(self.w)), np.float32)  # batch x max_terms, used again by each step
         for _ in range(epochs):
             order = rng.permutation(n)
             for i in range(0, n, batch):
@@ -112,21 +122,22 @@ class Machine:
                 k = size[rows]
                 owner = np.repeat(np.arange(len(rows)), k)
                 at = flat[np.arange(int(k.sum())) + np.repeat(begin[rows] - (np.cumsum(k) - k), k)]
-                has = np.zeros((len(rows), len(self.w)), np.float32)  # batch x max_terms
-                has[owner, at] = 1
-                used = np.flatnonzero(has.any(0))
+                has = room[: len(rows)]
+                has.reshape(-1)[owner * len(self.w) + at] = 1
+                used = (np.bincount(at, minlength=len(self.w)) > 0).astype(float)
                 # by row: the linear sum, the sum of each factor and of all squares
                 sums = (has @ np.column_stack((self.w, (self.v**2).sum(1), self.v)).astype(np.float32)).astype(float)
                 z = self.bias + sums[:, 0] + 0.5 * ((sums[:, 2:] ** 2).sum(1) - sums[:, 1])
                 error = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]) / len(rows)
-                back = (has.T @ np.column_stack((error, error[:, None] * sums[:, 2:])).astype(np.float32)).astype(float)[used]
-                dw = back[:, 0] + decay * (self.w[used] - start[used])
-                dv = back[:, 1:] - back[:, :1] * self.v[used] + decay * self.v[used]
+                back = (np.vstack((error, error * sums[:, 2:].T)).astype(np.float32) @ has).astype(float)
+                has.fill(0)
+                dw = used * (back[0] + decay * (self.w - start))
+                dv = used[:, None] * (back[1:].T + (decay - back[0])[:, None] * self.v)
                 db = float(error.sum())
-                gb, gw[used], gv[used] = gb + db**2, gw[used] + dw**2, gv[used] + dv**2
+                gb, gw, gv = gb + db**2, gw + dw**2, gv + dv**2
                 self.bias -= rate * db / gb**0.5
-                self.w[used] -= rate * dw / np.sqrt(gw[used])
-                self.v[used] -= rate * dv / np.sqrt(gv[used])
+                self.w -= rate * dw / np.sqrt(gw)
+                self.v -= rate * dv / np.sqrt(gv)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
