@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tallyloom.llm import toxicity
 from tallyloom.llm.toxicity import Machine, drop_toxic, score, train
 
 
@@ -67,3 +68,17 @@ def test_edges(spark, docs, none):
     machine = train(none, marks.where("1 = 0"), F.lit(True))
     assert score(none, machine).count() == 0
     assert all(r["score"] < 0.01 for r in score(docs, machine).collect())
+
+
+def test_slots_are_alike_by_table_and_by_sort(monkeypatch):
+    rng = np.random.default_rng(4)
+    machine = Machine(rng.integers(1, 1 << 40, 30).astype(np.uint64), np.zeros(30), shared=70)
+    doc = np.sort(rng.integers(0, 50, 2_000))
+    term = np.where(rng.random(2_000) < 0.3, rng.choice(machine.names, 2_000), rng.integers(0, 1 << 40, 2_000).astype(np.uint64))
+    term[::7] = 0  # no term
+    by_table = machine.find(doc, term)
+    monkeypatch.setattr(toxicity, "CELLS", 0)
+    by_sort = machine.find(doc, term)
+    assert all(np.array_equal(a, b) for a, b in zip(by_table, by_sort, strict=True))
+    none = machine.find(doc[:0], term[:0])
+    assert len(none[0]) == len(none[1]) == 0
