@@ -1,22 +1,19 @@
-"""Shared pieces of the corpus operators: reading, scratch tables and hashing."""
+"""Shared pieces of the corpus operators: reading, hashing, and the scratch tables of `sources.scratch`."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import marked, materialize, release, scratch_path  # noqa: F401  the operators take them from here
+
 #: A word, and the white space between words, of every contract.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_MADE: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,67 +46,12 @@ def id_key(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names. Without one, a local session gets a folder of its own and any other is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_root(spark)}/tallyloom-{uuid.uuid4().hex}/{label}"
-    _MADE.append((spark, path))
-    return path
-
-
-#: Rows of a few numbers that a file of a scratch table holds.
-FILE_ROWS = 1_000_000
-
-
-def materialize(df: DataFrame, label: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
-    """Cut the lineage: write df once to the shared folder and read it back. rows: of a slim table, so that it has few files and not one for each partition."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    if rows is not None:
-        df = df.coalesce(rows // FILE_ROWS + 12)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def marked() -> int:
-    """How many scratch tables there are, for `release`."""
-    return len(_MADE)
-
-
-def release(spark: SparkSession | None = None, since: int = 0) -> None:
-    """Delete the scratch tables made so far, or since a mark; results that read them must be consumed first."""
-    while len(_MADE) > since:
-        own, path = _MADE.pop()
-        try:
-            delete_path(spark or own, path)
-        except Exception:  # noqa: BLE001  the session may have ended, which is no error while leaving
-            continue
-
-
-atexit.register(release)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
