@@ -24,6 +24,10 @@ def typed(cells: DataFrame) -> DataFrame:
     return cells.where("kind <> 'sheet'").withColumns({"txt": S.cell_text(), "num": S.cell_number(), "flag": S.cell_flag()})
 
 
+#: Rows that are read below the deepest heading: its columns' headers and the first row.
+BELOW = 2
+
+
 @dataclass(frozen=True)
 class Header:
     key: str
@@ -35,15 +39,12 @@ class Header:
         return column_letters(self.col)
 
 
-class Sheet:
-    """One sheet: `cells` (typed), and the grid of its first rows."""
+class Grid:
+    """The first rows of a sheet on one machine: (row, col) -> a cell's txt, num, flag and formula."""
 
-    def __init__(self, name: str, cells: DataFrame, max_scan: int = MAX_SCAN):
-        self.name, self.cells, self.max_scan = name, cells, max_scan
-        rows = cells.where((F.col("row") <= max_scan) & (F.col("txt").isNotNull() | F.col("formula").isNotNull())).select("row", "col", "txt", "num", "flag", "formula").collect()
-        self.grid = {(r["row"], r["col"]): r for r in rows}
-        extent = cells.agg(F.max("col").alias("col"), F.max("row").alias("row")).first()
-        self.max_col, self.max_row = extent["col"] or 0, extent["row"] or 0
+    def __init__(self, name: str, grid: dict, max_scan: int = MAX_SCAN):
+        self.name, self.grid, self.max_scan = name, grid, max_scan
+        self.max_col = max((c for _, c in grid), default=0)
 
     def text(self, row: int, col: int | str) -> str | None:
         r = self.grid.get((row, column_number(col) if isinstance(col, str) else col))
@@ -77,10 +78,20 @@ class Sheet:
         """The first row that has all these names."""
         by_row: dict[int, set[str]] = {}
         for (row, _), r in self.grid.items():
-            by_row.setdefault(row, set()).add(norm_text(r["txt"]))
+            by_row.setdefault(row, set()).add(norm_text(r["txt"])) if row <= self.max_scan else None
         return min((row for row, have in by_row.items() if set(names) <= have), default=0)
 
 
+class Sheet(Grid):
+    """One sheet: `cells` (typed), and the grid of its first rows."""
+
+    def __init__(self, name: str, cells: DataFrame, max_scan: int = MAX_SCAN):
+        rows = cells.where((F.col("row") <= max_scan + BELOW) & (F.col("txt").isNotNull() | F.col("formula").isNotNull())).select("row", "col", "txt", "num", "flag", "formula").collect()
+        super().__init__(name, {(r["row"], r["col"]): r for r in rows}, max_scan)
+        self.cells = cells
+        extent = cells.agg(F.max("col").alias("col"), F.max("row").alias("row")).first()
+        self.max_col, self.max_row = extent["col"] or 0, extent["row"] or 0
+
 
 def block(sheet: Sheet, after: int, cols: Sequence[int], numeric: bool = False, until: str | None = None) -> DataFrame:
     """Rows of the contiguous block below a row: it ends where all of `cols` are blank (or not numbers), or where `until` stands."""
@@ -101,23 +112,3 @@ def numeric_columns(sheet: Sheet, after: int, cols: Sequence[int]) -> dict[int,
     below = sheet.cells.where((F.col("row") > after) & F.col("col").isin(*cols) & F.col("txt").isNotNull())
     found = {r["col"]: r["ok"] for r in below.groupBy("col").agg(F.bool_and(F.col("num").isNotNull()).alias("ok")).collect()}
     return {c: bool(found.get(c, False)) for c in cols}
-
-
-def wide(sheet: Sheet, rows: DataFrame, fields: dict[str, tuple[int, str]]) -> DataFrame:
-    """A row for each block row: field -> (column, txt | num | flag). One pass over the block's cells."""
-    if not fields:
-        return rows
-    cells = sheet.cells.where(F.col("col").isin(*{c for c, _ in fields.values()})).join(rows, "row", "left_semi")
-    made = [F.max(F.when(F.col("col") == c, F.col(what))).alias(name) for name, (c, what) in fields.items()]
-    out = cells.groupBy("row").agg(*made)
-    flags = [name for name, (_, what) in fields.items() if what == "flag"]
-    return rows.join(out, "row", "left").fillna(False, flags) if flags else rows.join(out, "row", "left")
-
-
-def long_metrics(sheet: Sheet, rows: DataFrame, columns: dict[str, int]) -> DataFrame:
-    """(row, metric_key, value, cell, formula) of each block row and metric, also where the cell is blank."""
-    spark = rows.sparkSession
-    names = spark.createDataFrame([(k, c, column_letters(c)) for k, c in columns.items()], "metric_key string, col int, letters string")
-    grid = rows.crossJoin(F.broadcast(names))  # as many columns as the header has
-    cells = sheet.cells.select("row", "col", F.col("num").alias("value"), "formula")
-    return grid.join(cells, ["row", "col"], "left").select("row", "metric_key", "value", F.concat("letters", F.col("row").cast("string")).alias("cell"), "formula")

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.semantics import MAX_CELLS, bad_cell, near, ratio, truthy
@@ -17,11 +18,11 @@ from ..functions.semantics import MAX_CELLS, bad_cell, near, ratio, truthy
 PROBLEM = "tab string, level string, rule_id string, text string, sections array<string>, cells array<string>, more_cells int, emit_ord int"
 
 
-def first_cells(order: Sequence[str], text: Column, when: Column, most: int = MAX_CELLS) -> tuple[Column, Column]:
-    """The first texts of a group in order, and how many more there are. Rows that do not fail take no space."""
-    hit = F.when(when, F.struct(*order, text.alias("__text")))
-    all_ = F.array_sort(F.collect_list(hit))
-    return F.transform(F.slice(all_, 1, most), lambda x: x["__text"]), F.greatest(F.lit(0), F.count_if(when) - most).cast("int")
+def first_of(rows: DataFrame, by: Sequence[str], order: Sequence[str], text: str, name: str, most: int = MAX_CELLS) -> DataFrame:
+    """(by, name): the first texts of each group in order. Spark ranks inside each task and lets `most` rows of a group through before it shuffles, so no group's rows meet."""
+    w = W.partitionBy(*by).orderBy(*order)
+    few = rows.withColumn("__at", F.row_number().over(w)).where(F.col("__at") <= most)
+    return few.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__at", text))).alias("__few")).select(*by, F.transform("__few", lambda x: x[text]).alias(name))
 
 
 @dataclass(frozen=True)
@@ -58,9 +59,16 @@ def checked(rows: DataFrame, rule: Identity) -> DataFrame:
 def identity(rows: DataFrame, rule: Identity, by: Sequence[str] = (), order: Sequence[str] = ("row",), cell: str | None = None) -> DataFrame:
     """Counts and the first failing cells, for each group."""
     c = checked(rows, rule)
-    text = bad_cell(F.col(cell) if cell else F.lit(None).cast("string"), rule.stored, "expected")
-    cells, more = first_cells(order, text, F.col("bad"))
-    return c.groupBy(*by).agg(F.count(F.lit(1)).alias("n_checked"), F.count_if("bad").alias("n_bad"), cells.alias("cells"), more.alias("more_cells"))
+    keys = list(by)
+    if not keys:
+        keys, c = ["__all"], c.withColumn("__all", F.lit(0))
+    told = c.withColumn("__text", bad_cell(F.col(cell) if cell else F.lit(None).cast("string"), rule.stored, "expected"))
+    n = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_checked"), F.count_if("bad").alias("n_bad"))
+    if not by:  # no row to check is a row of zeros
+        n = c.agg(F.count(F.lit(1)).alias("n_checked"), F.count_if("bad").alias("n_bad")).withColumn("__all", F.lit(0))
+    both = n.join(first_of(told.where("bad"), keys, order, "__text", "cells"), keys, "left")
+    none = F.array().cast("array<string>")
+    return both.select(*by, "n_checked", "n_bad", F.coalesce("cells", none).alias("cells"), F.greatest(F.lit(0), F.col("n_bad") - MAX_CELLS).cast("int").alias("more_cells"))
 
 
 def children_vs_total(children: DataFrame, parents: DataFrame, key: str, value: str, total: str, tolerance: float = 0.05, cents: bool = True) -> DataFrame:

@@ -371,9 +371,9 @@ def reconcile_ratio_identity(spark, d):
 @query(f"""WITH {IDENTITY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY row) AS k FROM b WHERE bad)
  SELECT topic, string_agg('K' || row, ',' ORDER BY row) FILTER (WHERE k <= 6) AS cells, CAST(greatest(0, count(*) - 6) AS INT) AS more_cells FROM r GROUP BY topic""")
 def flag_top6_and_remainder(spark, d):
-    c = reconcile.checked(_identity_rows(spark, d), _CPA)
-    cells, more = reconcile.first_cells(["row"], F.col("cell"), F.col("bad"))
-    return c.groupBy("topic").agg(F.array_join(cells, ",").alias("cells"), more.alias("more_cells")).where("cells <> ''")
+    bad = reconcile.checked(_identity_rows(spark, d), _CPA).where("bad")
+    n = bad.groupBy("topic").agg(F.greatest(F.lit(0), F.count(F.lit(1)) - S.MAX_CELLS).cast("int").alias("more_cells"))
+    return n.join(reconcile.first_of(bad, ["topic"], ["row"], "cell", "cells"), "topic").withColumn("cells", F.array_join("cells", ","))
 
 
 @query(f"""WITH {CHILDREN_SQL}, {IDENTITY_SQL}, x AS (SELECT 'orders' AS tab, 'error' AS level FROM j WHERE bad UNION ALL SELECT 'orders', 'warn' FROM j WHERE missing UNION ALL SELECT topic, 'flag' FROM b WHERE bad)

@@ -3,149 +3,26 @@
 from __future__ import annotations
 
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import semantics as S
 from ..operators import reconcile
-from ..operators.catalog import norm_text
-from ..operators.discover import Sheet, typed
-from ..operators.reconcile import PROBLEM, Identity
+from ..operators.reconcile import PROBLEM
+from ..sources.scratch import materialize
 from ..sources.snapshots import write_snapshot
 from ..sources.workbook import read_cells
-from .tabs import TABS, Tab, TabSpec
-
-# The stored ratios that are checked, and the sections that print them.
-P2P_CHECKS = (
-    ("gross_cpa", "gross_spend", "ntl", "Gross CPA", "spend ÷ NTL"),
-    ("immediate_roas", "immediate_raised", "gross_spend", "Immediate ROAS", "raised ÷ spend"),
-    ("average_gift", "immediate_raised", "donors", "Average Gift", "raised ÷ donors"),
-    ("donate_rate", "donors", "recipients", "Donate Rate", "donors ÷ recipients"),
-    ("unsub_rate", "unsubs", "recipients", "Unsub Rate", "unsubs ÷ recipients"),
-    ("ltv_roas_from_ntl", "ltv_from_ntl", "gross_spend", "LTV ROAS from NTL", "LTV from NTL ÷ spend"),
-)
-EMAIL_CHECKS = (
-    ("average", "raised", "donors", "Average", "raised ÷ donors"),
-    ("donate_rate", "donors", "recipients", "Donate Rate", "donors ÷ recipients"),
-    ("action_rate", "actions", "recipients", "Action Rate", "actions ÷ recipients"),
-    ("unsub_rate", "unsubs", "recipients", "Unsub Rate", "unsubs ÷ recipients"),
-)
-PAID_RETURNS = (("immediate_roas", "immediate_raised"), ("lifetime_roas", "lifetime_raised"), ("total_roas", "total_raised"))
-PAID_SECTIONS = {"quarterly": ["pm-hero", "pm-quarter"], "monthly": ["pm-month"], "detail": ["pm-detail"]}
-TITLES = {t.name: t.title for t in TABS}
-
+from .layout import NAMES, TABS, of_workbook
+from .many import Reports
+from .tabs import Tab, tab_of
 
 class Refused(RuntimeError):
     """A strict report has errors, so nothing is written."""
 
 
-def pick_sheet(names: list[str], spec: TabSpec, tab: Tab) -> str | None:
-    """The sheet of the tab's name, else the only one that has all its words, with a warning."""
-    exact = [n for n in names if re.search(spec.pattern, norm_text(n))]
-    if exact:
-        return exact[0]
-    loose = [n for n in names if all(w in norm_text(n) for w in spec.title.lower().split(" "))]
-    if len(loose) == 1:
-        tab.warn(f"“{loose[0]}” is read as “{spec.title}”.")
-        return loose[0]
-    tab.error(f"The workbook has no “{spec.title}”, only: {', '.join(names)}.")
-    return None
-
-
-def _flag(tab: Tab, rule: str, text: str, sections: list[str], cells: list[str], more: int) -> None:
-    tab.problems.append({"tab": tab.name, "level": "flag", "rule_id": rule, "text": text, "sections": sections, "cells": cells, "more_cells": more})
-
-
-def _error(tab: Tab, rule: str, text: str) -> None:
-    tab.problems.append({"tab": tab.name, "level": "error", "rule_id": rule, "text": text})
-
-
-def _digital(tab: Tab) -> None:
-    table = tab.tables["channel_period"]
-    rule = Identity("RC1", "pct", "actual", "goal", "% to goal", "actual ÷ goal", floor=1e-6, relative=0.0, needs_stored=True)
-    r = reconcile.identity(table.where("block = 'channel'"), rule, order=["row", "period_ord"], cell="pct_cell").first()
-    if r["n_bad"]:
-        _flag(tab, "RC1", f"“% to goal” is not actual ÷ goal in {r['n_bad']} of {r['n_checked']} cells of the Digital Report: they do not equal actual ÷ goal.", ["s-hero", "s-channel"], r["cells"], r["more_cells"])
-    elif r["n_checked"]:
-        tab.findings.append(f"“% to goal” holds in {r['n_checked']} cells.")
-    stored = table.where((F.col("block") == "overall") & (S.slug("channel") == "total_raised") & F.col("actual").isNotNull()).select("period_key", "period_ord", "label", F.col("actual").alias("stored"))
-    both = reconcile.children_vs_total(table.where("block = 'channel'"), stored, "period_key", "actual", "stored", cents=False)
-    wrong = both.where("bad AND child_sum IS NOT NULL").orderBy("period_ord").collect()
-    for x in wrong:
-        _error(tab, "RC2", f"{x['label']}: Overall has {x['stored']:.2f}, its channels {x['child_sum']:.2f}.")
-    if not wrong:
-        tab.findings.append("Overall is the sum of its channels in each period that is reported.")
-
-
-def _paid(tab: Tab) -> None:
-    for rule, label, pairs, means in (("RC3", "Gross CPA", (("gross_cpa", "gross_spend", "ntl"),), "spend ÷ NTL"), ("RC4", "ROAS", tuple((k, n, "gross_spend") for k, n in PAID_RETURNS), "raised ÷ spend")):
-        bad = n = more = 0
-        cells, sections = [], []
-        for block, secs in PAID_SECTIONS.items():
-            rows = tab.tables[block]
-            for stored, num, den in pairs:
-                if not {stored, num, den} <= set(rows.columns):
-                    continue
-                places = tab.tables[f"{block}_metrics"].where(F.col("metric_key") == stored).select("row", "cell")
-                own = Identity(rule, stored, num, den, label, means, floor=0.02 if rule == "RC3" else 1e-6, relative=1e-6 if rule == "RC3" else 0.0, needs_numerator=rule == "RC3")
-                r = reconcile.identity(rows.join(places, "row"), own, cell="cell").first()
-                bad, n, more = bad + r["n_bad"], n + r["n_checked"], more + r["more_cells"]
-                cells += r["cells"]
-                sections += [s for s in secs if r["n_bad"] and s not in sections]
-        if bad:
-            _flag(tab, rule, f"{label} is not {means} in {bad} of {n} cells of the Paid Media Report.", sections, cells[: S.MAX_CELLS], max(0, bad - S.MAX_CELLS))
-        elif n:
-            tab.findings.append(f"{label} holds in {n} cells.")
-    additive = tab.catalog.additive
-    monthly, quarterly = tab.tables["monthly"].withColumn("label", F.trim("label")), tab.tables["quarterly"]
-    children = tab.tables["detail"].withColumn("label", F.trim("month"))
-    for x in _compared(children, monthly, additive, "label").collect():
-        if x["missing"]:
-            tab.problems.append({"tab": tab.name, "level": "warn", "rule_id": "RC6", "text": f"{x['label']} stands in the monthly table only."})
-        else:
-            _error(tab, "RC5", f"{x['label']}, {x['metric']}: the month has {x['stored']:.2f}, its rows {x['child_sum'] or 0:.2f}.")
-    if tab.meta["quarter"] is None:
-        return
-    number = round(tab.meta["quarter"])
-    chosen = quarterly.where(F.col("quarter") == number).orderBy("row").limit(1)  # the first row of that quarter counts
-    if chosen.isEmpty():
-        tab.problems.append({"tab": tab.name, "level": "warn", "rule_id": "RC8", "text": f"The quarterly table lacks Q{number}."})
-        return
-    for x in _compared(monthly.withColumn("quarter", F.lit(number)), chosen, additive, "quarter").collect():
-        _error(tab, "RC7", f"{x['metric']}: Q{number} has {x['stored'] or 0:.2f}, its months {x['child_sum'] or 0:.2f}.")
-
-
-def _compared(children: DataFrame, parents: DataFrame, metrics, key: str) -> DataFrame:
-    """(key, row, metric, stored, child_sum, missing) of each parent that lacks children or differs from their sum, in order."""
-    parts = []
-    for i, m in enumerate(metrics):
-        own = parents.select(key, "row", F.col(m.key).alias("stored"))
-        both = reconcile.children_vs_total(children, own, key, m.key, "stored", 0.5 if m.key == "ntl" else 0.05, cents=False)
-        wrong = (F.col("missing") & (F.lit(i) == 0)) | (F.col("bad") & F.col("stored").isNotNull())
-        parts.append(both.where(wrong).select(key, "row", F.lit(i).alias("ord"), F.lit(m.label).alias("metric"), "stored", "child_sum", "missing"))
-    none = parents.select(key, "row", F.lit(0).alias("ord"), F.lit("").alias("metric"), F.lit(0.0).alias("stored"), F.lit(0.0).alias("child_sum"), F.lit(False).alias("missing")).where("1 = 0")
-    return reduce(DataFrame.unionByName, parts, none).orderBy("row", "ord")
-
-
-def _flat(tab: Tab, checks, rule: str, section: str) -> None:
-    rows = tab.tables["detail"]
-    for stored, num, den, label, means in checks:
-        if not {stored, num, den} <= set(rows.columns):
-            continue
-        places = tab.tables["metrics_long"].where(F.col("metric_key") == stored).select("row", "cell")
-        r = reconcile.identity(rows.join(places, "row"), Identity(rule, stored, num, den, label, means), cell="cell").first()
-        if r["n_bad"]:
-            _flag(tab, rule, f"{label} is not {means} in {r['n_bad']} of {r['n_checked']} cells of {TITLES[tab.name]}.", [section], r["cells"], r["more_cells"])
-        elif r["n_checked"]:
-            tab.findings.append(f"{label} holds in {r['n_checked']} cells of {TITLES[tab.name]}.")
-
-
 @dataclass
 class Report:
     spark: SparkSession
@@ -153,6 +30,8 @@ class Report:
     cells: DataFrame
     tabs: dict[str, Tab] = field(default_factory=dict)
     findings: list[str] = field(default_factory=list)
+    #: cached tables that all others read
+    held: list[DataFrame] = field(default_factory=list)
 
     @property
     def problems(self) -> DataFrame:
@@ -178,7 +57,7 @@ class Report:
 
     def close(self) -> None:
         """Let cached tables go; the report's tables can still be read."""
-        for rows in [self.cells, *[x for t in self.tabs.values() for x in t.held]]:
+        for rows in self.held:
             rows.unpersist()
 
     def log(self) -> list[str]:
@@ -203,35 +82,45 @@ class Report:
         return out
 
 
+def _reports(reports: Reports, layout: list, named: str | None = None) -> Iterator[Report]:
+    """A report of each workbook in the layout; what is said of a workbook comes to the driver, its tables stay where they are."""
+    books = list(dict.fromkeys(r["workbook"] for r in layout))
+    of = lambda rows, b: [r for r in rows if r["workbook"] == b]
+    only = books[0] if len(books) == 1 else None
+    for book in books:
+        mine = lambda rows: rows if only else rows.where(F.col("workbook") == book)
+        problems = sorted(mine(reports.problems).collect(), key=lambda r: r["emit_ord"])
+        findings, lists, periods = mine(reports.findings).collect(), mine(reports.lists()).collect(), mine(reports.periods).collect()
+        rows, channels = mine(reports.rows), mine(reports.channel_period)
+        own = of(layout, book)
+        report = Report(reports.spark, named or book, mine(reports.source), findings=[f"Workbook has {mine(reports.cells).where('kind = \'sheet\'').count()} tab(s)."])
+        for spec in TABS:
+            pick = lambda x: [r for r in x if r["tab"] == spec.name]  # noqa: E731, B023
+            report.tabs[spec.name] = tab_of(reports, spec.name, pick(own), pick(problems), pick(findings), pick(lists), next(iter(pick(periods)), None), rows, channels)
+        yield report
+
+
 def build(spark: SparkSession, cells: DataFrame, workbook: str) -> Report:
     """A report from a table of cells of one workbook; cells of several are an error."""
-    cells = cells.cache()
-    if cells.select("workbook").distinct().limit(2).count() > 1:
+    held: list[DataFrame] = []
+
+    def keep(rows: DataFrame, name: str) -> DataFrame:
+        held.append(rows.cache())
+        return held[-1]
+
+    reports = Reports(keep(cells, "cells"), keep)
+    layout = reports.layout.collect()  # of one workbook: a few rows for each column of its tabs
+    if len({r["workbook"] for r in layout}) > 1:
         raise ValueError("these cells are of several workbooks; load_all makes a report of each")
-    names = [r["sheet"] for r in cells.where("kind = 'sheet'").orderBy("sheet_ord").select("sheet").collect()]
-    report = Report(spark, workbook, cells, findings=[f"Workbook has {len(names)} tab(s)."])
-    for spec in TABS:
-        noticed = Tab(spec.name)
-        name = pick_sheet(names, spec, noticed)
-        tab = noticed
-        if name:
-            own = typed(cells.where(F.col("sheet") == name)).cache()
-            tab = spec.extract(Sheet(name, own))
-            tab.held.append(own)
-            tab.sheet = name
-            tab.problems = noticed.problems + tab.problems
-        report.tabs[spec.name] = tab
-    for name, tab in report.tabs.items():
-        if tab.failed:
-            continue
-        if name == "digital":
-            _digital(tab)
-        elif name == "paid":
-            _paid(tab)
-        elif name == "p2p":
-            _flat(tab, P2P_CHECKS, "RC9", "p2-detail")
-        elif name == "email":
-            _flat(tab, EMAIL_CHECKS, "RC10", "es-detail")
+    if not layout:
+        layout = [Row(**dict(zip(NAMES, r, strict=True))) for r in of_workbook(workbook, [])]
+        report = Report(spark, workbook, cells, {t.name: Tab(t.name) for t in TABS})
+        for r in layout:
+            if r["kind"] == "problem":
+                report.tabs[r["tab"]].problems.append({"tab": r["tab"], "level": r["field"], "rule_id": "RC13", "text": r["txt"]})
+    else:
+        report = next(_reports(reports, layout, workbook))
+    report.held = held
     return report
 
 
@@ -240,11 +129,14 @@ def load(spark: SparkSession, path: str) -> Report:
     return build(spark, read_cells(spark, path), path.rsplit("/", 1)[-1])
 
 
-def load_all(spark: SparkSession, path: str) -> Iterator[Report]:
-    """A report for each workbook of a folder or pattern, by whole path, one after another; the caller closes each.
+def load_many(spark: SparkSession, path: str) -> Reports:
+    """The reports of all workbooks of a folder or pattern as tables keyed by workbook (its whole path), in a number of jobs that does not grow with them."""
+    return Reports(materialize(read_cells(spark, path), "cells"))
 
-    Files are found by listing, and each is read on its own, so a report costs the same however many there are.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path").orderBy("path")
-    for r in files.toLocalIterator():
-        yield build(spark, read_cells(spark, r["path"]), r["path"])
+
+def load_all(spark: SparkSession, path: str) -> Iterator[Report]:
+    """A report value for each workbook of a folder or pattern, by whole path. All are read and extracted at once (`load_many`); only what is said of a workbook is fetched one by one."""
+    reports = load_many(spark, path)
+    books = reports.layout.select("workbook").distinct().orderBy("workbook")
+    for r in books.toLocalIterator():
+        yield from _reports(reports, reports.layout.where(F.col("workbook") == r["workbook"]).collect())

@@ -1,19 +1,19 @@
-"""The five tabs of a report workbook. Three flat tabs share one extractor and differ in their specification only."""
+"""One workbook's tabs as values: its layout and figures on the driver, its tables as DataFrames over the records of `many.Reports`."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
-from ..operators import discover, rollup, series
-from ..operators.catalog import EMAIL_RATIOS, P2P_RATIOS, Catalog, accumulated, by_name, by_table, catalog, norm_text, slug_text
-from ..operators.discover import Sheet
-from ..sources.workbook import column_letters, column_number
+from ..operators import rollup, series
+from ..operators.catalog import Catalog, Metric
+from ..sources.workbook import column_letters
+from .layout import FLAT, FlatSpec
+from .many import Reports, flat_detail
 
 
 @dataclass
@@ -29,410 +29,119 @@ class Tab:
     lists: dict[str, list] = field(default_factory=dict)
     findings: list[str] = field(default_factory=list)
     problems: list[dict] = field(default_factory=list)
-    held: list[DataFrame] = field(default_factory=list)
-
-    def keep(self, rows: DataFrame) -> DataFrame:
-        """Cache a small table that several steps read; `Report.close` lets it go."""
-        self.held.append(rows.cache())
-        return self.held[-1]
-
-    def error(self, text: str) -> None:
-        self.problems.append({"tab": self.name, "level": "error", "rule_id": "RC13", "text": text})
-
-    def warn(self, text: str) -> None:
-        self.problems.append({"tab": self.name, "level": "warn", "rule_id": "RC13", "text": text})
 
     @property
     def failed(self) -> bool:
         return any(p["level"] == "error" for p in self.problems)
 
 
-@dataclass(frozen=True)
-class FlatSpec:
-    """A tab whose detail rows stand under one header row."""
+def metric_table(spark, cat: Catalog) -> DataFrame:
+    rows = [(i, m.key, m.label, m.kind, m.column, m.additive, m.numerator, m.denominator, m.unresolvable) for i, m in enumerate(cat.metrics)]
+    return spark.createDataFrame(rows, "metric_ord int, metric_key string, label string, kind string, col string, additive boolean, numerator string, denominator string, unresolvable boolean")
 
-    name: str
-    header: tuple[str, ...]
-    dims: dict[str, str]
-    required: tuple[str, ...]
-    stop: tuple[str, str]
-    ratios: dict[str, tuple[str, str]]
-    accumulate: tuple[str, ...] | None
-    slices: tuple[str, ...]
-    month_from_date: bool
-    has_ratios: bool = True
-    labelled_period: bool = True
-    flags: tuple[str, ...] = ()
-    last: str = "T"
 
+def _number(key: str):
+    return F.try_element_at(F.col("n"), F.lit(key))
 
-# Header name -> field, in the order of the sheets.
-P2P = FlatSpec(
-    "p2p",
-    ("topic", "audience"),
-    {"client": "client", "year": "year", "quarter": "quarter", "month": "month", "day of week": "day_of_week", "date": "date", "goal": "goal", "topic": "topic", "audience": "audience"},
-    ("month", "topic", "audience"),
-    ("month", "topic"),
-    P2P_RATIOS,
-    ("gross_spend", "immediate_raised", "donors"),
-    ("audience", "topic"),
-    False,
-)
-EMAIL = FlatSpec(
-    "email",
-    ("audience", "mailing topic"),
-    {
-        "year": "year", "quarter": "quarter", "month": "month_num", "day of week": "day_of_week", "date": "date", "send time (et)": "send_time", "ask": "ask", "subtype": "subtype",
-        "mailing topic": "topic", "sender": "sender", "subject line": "subject_line", "audience": "audience", "label": "label",
-    },
-    ("date", "topic", "audience", "label"),
-    ("label", "date"),
-    EMAIL_RATIOS,
-    ("raised", "recipients", "donors"),
-    ("audience", "topic"),
-    True,
-)
-HIGH_DOLLAR = FlatSpec(
-    "high_dollar",
-    ("receipt_id", "amount"),
-    {
-        "category": "category", "receipt_id": "receipt_id", "date": "date", "fundraising_page": "fundraising_page", "first": "first", "last": "last", "email": "email",
-        "finance claim": "finance_claim", "authentic added": "authentic_added",
-    },
-    ("receipt_id", "date"),
-    ("receipt_id", "date"),
-    {},
-    None,
-    ("category",),
-    True,
-    has_ratios=False,
-    labelled_period=False,
-    flags=("finance_claim", "authentic_added"),
-)
-_NUMBERS = ("year", "quarter", "month_num", "date")
 
+def long_metrics(rows: DataFrame, columns: dict[str, int], prefix: str = "m", name: str = "metric_key") -> DataFrame:
+    """(row, metric_key, value, cell, formula) of each record and field, also where the cell is blank."""
+    one = [
+        F.struct(F.lit(k).alias(name), _number(f"{prefix}:{k}").alias("value"), F.concat(F.lit(column_letters(c)), F.col("row").cast("string")).alias("cell"), F.try_element_at(F.col("f"), F.lit(f"{prefix}:{k}")).alias("formula"))
+        for k, c in columns.items()
+    ]  # as many as the header has columns
+    return rows.select("row", F.explode(F.array(*one)).alias("x")).select("row", "x.*")
 
-def metric_table(spark, cat: Catalog) -> DataFrame:
-    rows = [(i, m.key, m.label, m.kind, m.column, m.additive, m.numerator, m.denominator, m.unresolvable) for i, m in enumerate(cat.metrics)]
-    return spark.createDataFrame(rows, "metric_ord int, metric_key string, label string, kind string, col string, additive boolean, numerator string, denominator string, unresolvable boolean")
 
-
-def flat_tab(sheet: Sheet, spec: FlatSpec, lineage: bool = False) -> Tab:
-    tab = Tab(spec.name)
-    spark = sheet.cells.sparkSession
-    row = sheet.header_row(spec.header)
-    if not row:
-        tab.error("No header row names " + " and ".join(f"“{h}”" for h in spec.header) + ": the tab is not read.")
-        return tab
-    tab.findings.append(f"The header is row {row}.")
-    heads = sheet.headers(row, "A", max(sheet.max_col, column_number(spec.last)))
-    dims = {spec.dims[h.key]: h.col for h in heads if h.key in spec.dims}
-    for need in spec.required:
-        if need not in dims:
-            tab.error(f"Row {row} lacks the column “{need}”.")
-    if tab.failed:
-        return tab
-    others = [h for h in heads if h.key not in spec.dims and not h.key.startswith("helper")]
-    is_number = discover.numeric_columns(sheet, row, [h.col for h in others]) if others else {}
-    texts = [h for h in others if not is_number[h.col]]
-    if texts:
-        tab.findings.append("No metrics, as they hold text: " + ", ".join(f"{h.letters} “{h.label}”" for h in texts) + ".")
-    metrics = [h for h in others if is_number[h.col]]
-    if not metrics:
-        tab.error(f"Row {row} heads no column of numbers.")
-        return tab
-    cat = tab.catalog = catalog([(h.label, h.letters) for h in metrics], by_table(spec.ratios), spec.has_ratios)
-    columns = {m.key: column_number(m.column) for m in cat.metrics}
-    if missing := [m.label for m in cat.ratios if m.unresolvable and spec.has_ratios]:
-        tab.warn("Components unknown, so blank in every rollup: " + ", ".join(missing) + ".")
-    rows = tab.keep(discover.block(sheet, row, [dims[s] for s in spec.stop]))
-    kinds = {d: "num" if d in _NUMBERS else "flag" if d in spec.flags else "txt" for d in dims}
-    detail = discover.wide(sheet, rows, {**{d: (c, kinds[d]) for d, c in dims.items()}, **{f"m_{k}": (c, "num") for k, c in columns.items()}})
-    detail = detail.withColumnsRenamed({f"m_{k}": k for k in columns if k not in dims})
-    if "date" in dims:
-        detail = detail.withColumnRenamed("date", "date_serial").withColumn("date", S.serial_date("date_serial"))
-    if spec.month_from_date:
-        for name, made in (("year", F.year("date")), ("quarter", F.quarter("date")), ("month_num", F.month("date"))):
-            if name not in dims:
-                detail = detail.withColumn(name, made.cast("double"))
-        detail = detail.withColumn("month", S.month_label("date"))
-    detail = tab.tables["detail"] = tab.keep(detail.withColumn("month_key", S.slug("month")))
-    facts = detail.agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("a"), F.max("row").alias("b"), F.count_if(F.col("month").isNull()).alias("no_month"), *[F.count_if(F.col(s).isNull()).alias(f"no_{s}") for s in spec.slices]).first()
-    if not facts["n"]:
-        tab.error(f"Nothing stands below the header in row {row}.")
-        return tab
-    tab.findings.append(f"Rows {facts['a']} to {facts['b']} give {facts['n']} detail rows.")
-    for s in spec.slices:
-        if facts[f"no_{s}"]:
-            tab.warn(f"The {s} is blank in {facts[f'no_{s}']} detail rows.")
-    if spec.month_from_date and facts["no_month"]:
-        tab.warn(f"The date cannot be read in {facts['no_month']} detail rows.")
-    long = tab.tables["metrics_long"] = discover.long_metrics(sheet, rows, columns)
-    _rollups(tab, spec, detail, long, lineage)
-    _period(tab, spec, sheet, detail)
-    tab.tables["metric_catalog"] = metric_table(spark, cat)
-    for s in spec.slices:
-        names = detail.where(F.col(s).isNotNull() & (F.col(s) != "")).select(s).distinct().orderBy(F.collate(s, "UNICODE"))
-        tab.lists[s] = [r[s] for r in names.collect()]  # a page's list of choices
-    return tab
+def lineage(tab: Tab) -> DataFrame:
+    """(month_key, metric_key, value, cells) of a flat tab: each monthly figure with the cells behind it, in order."""
+    long = tab.tables["metrics_long"].join(tab.tables["detail"].select("row", "month_key"), "row")
+    summed = rollup.long_rollup(long.where(F.col("metric_key").isin(*[m.key for m in tab.catalog.additive])), ["month_key"], with_lineage=True)
+    return summed.drop("row_count").unionByName(rollup.rebuilt_ratios(summed, ["month_key"], tab.tables["metric_catalog"]))
 
 
-def _rollups(tab: Tab, spec: FlatSpec, detail: DataFrame, long: DataFrame, lineage: bool) -> None:
+def flat_tables(tab: Tab, spec: FlatSpec, rows: DataFrame, fields: dict[str, dict[str, int]], keys: Sequence[str]) -> None:
+    own = rows.where("block = 'detail'")
+    dims = [k[2:] for k in fields["detail"] if k.startswith("d:")]
+    columns = {k[2:]: c for k, c in fields["detail"].items() if k.startswith("m:")}
+    detail = flat_detail(rows, spec, dims).withColumns({f"m_{k}" if k in dims else k: _number(f"m:{k}") for k in columns})
+    detail = tab.tables["detail"] = detail.drop("workbook", "tab", "block", "t", "n", "b", "f")
+    tab.tables["metrics_long"] = long_metrics(own, columns)
+    tab.tables["metric_catalog"] = metric_table(rows.sparkSession, tab.catalog)
     plain = lambda c: F.sum(c)  # noqa: E731  a sheet's numbers are not cents only
     cat = tab.catalog if spec.has_ratios else Catalog(tab.catalog.additive)
     by_month = detail.where("month_key <> ''")
     first = [F.min("row").alias("first_row"), F.min_by("month", "row").alias("label"), F.sort_array(F.collect_list("row")).alias("rows")]
     tab.tables["monthly"] = rollup.rollup(by_month, ["month_key"], cat, first, plain)
     tab.tables["quarter_to_date"] = rollup.rollup(detail, [], cat, [F.sort_array(F.collect_list("row")).alias("rows")], plain)
-    if lineage:
-        keyed = long.join(detail.select("row", "month_key"), "row")
-        summed = rollup.long_rollup(keyed.where(F.col("metric_key").isin(*[m.key for m in cat.additive])), ["month_key"], with_lineage=True)
-        names = metric_table(detail.sparkSession, cat)
-        tab.tables["lineage"] = summed.drop("row_count").unionByName(rollup.rebuilt_ratios(summed, ["month_key"], names))
-    wanted = list(spec.accumulate) if spec.accumulate else cat.keys() if spec.has_ratios else tab.catalog.keys()
-    keys, _ = accumulated(tab.catalog, wanted)
     if not keys:
         return
     months = by_month.groupBy("month_key").agg(F.min("row").alias("period_ord"), F.min_by("month", "row").alias("label"))
-    values = by_month.select("month_key", *spec.slices, *keys).unpivot(["month_key", *spec.slices], keys, "metric_key", "value")
+    values = by_month.select("month_key", *spec.slices, *keys).unpivot(["month_key", *spec.slices], list(keys), "metric_key", "value")
     whole = values.select("month_key", "metric_key", "value", F.lit("all").alias("slice_type"), F.lit("all").alias("slice_value"))
-    parts = [values.where(F.col(s).isNotNull()).select("month_key", "metric_key", "value", F.lit(s).alias("slice_type"), F.col(s).alias("slice_value")) for s in spec.slices]
-    for p in parts:
-        whole = whole.unionByName(p)
+    for s in spec.slices:
+        whole = whole.unionByName(values.where(F.col(s).isNotNull()).select("month_key", "metric_key", "value", F.lit(s).alias("slice_type"), F.col(s).alias("slice_value")))
     named = ["slice_type", "slice_value", "metric_key"]
     sums = whole.groupBy("month_key", *named).agg(F.sum("value").alias("value"))
     grid = series.dense(sums, months, whole.select(*named).distinct(), ["month_key", *named])
     tab.tables["series"] = series.series(grid, "value", named, "period_ord", "zero")
 
 
-def _period(tab: Tab, spec: FlatSpec, sheet: Sheet, detail: DataFrame) -> None:
-    if spec.labelled_period:
-        year, quarter = sheet.labelled("A", "B", "^year$"), sheet.labelled("A", "B", "^quarter$")
-        tab.meta = {"year": year and year["num"], "quarter": quarter and quarter["num"]}
-        if tab.meta["year"] is None:
-            tab.warn("The year of the report is not given.")
-        if tab.meta["quarter"] is None:
-            tab.warn("The quarter of the report is not given.")
-        return
-    found = detail.where("date IS NOT NULL").select("year", "quarter").distinct().orderBy("year", "quarter").collect()  # a row for each quarter
-    one = found[0] if len(found) == 1 else None
-    tab.meta = {"year": one and one["year"], "quarter": one and one["quarter"]}
-    if one:
-        tab.findings.append(f"All dates lie in Q{one['quarter']:g} {one['year']:g}, which is taken as the period.")
-    elif found:
-        tab.warn("The period is left open, as the dates lie in several quarters: " + ", ".join(f"Q{r['quarter']:g} {r['year']:g}" for r in found) + ".")
-    else:
-        tab.warn("The period is left open, as no date can be read.")
-
-
-# --- the digital tab ----------------------------------------------------------------------------------------------
-
-# Import tabs that formulas name, in order of preference.
-SOURCES = ("Import - Quarterly Goals", "Quarterly Fundraising Toplines", "Import - Monthly Goals", "Monthly Fundraising Toplines")
-
-
-def _groups(sheet: Sheet, row: int) -> list[tuple[int, str | None]]:
-    """(first column, name above) of each goal / actual / % triple of columns."""
-    last = max(sheet.max_col, 20)
-    text = {c: norm_text(sheet.text(row, c)) for c in range(1, last + 3)}
-    return [(c, sheet.text(row - 1, c)) for c in range(2, last + 1) if text[c] == "goal" and text[c + 1] == "actual" and text[c + 2].startswith("%")]
-
-
-def _toggles(sheet: Sheet, label_row: int, months: dict[str, str]) -> dict[str, dict]:
-    """Flags beside a month's name above the month headers (which themselves do not count)."""
-    out = {}
-    for key, label in months.items():
-        at = sorted((c, r) for (r, c), cell in sheet.grid.items() if c >= 2 and r < label_row - 1 and norm_text(cell["txt"]) == norm_text(label))
-        hit = next(((r, c + 1) for c, r in at if (r, c + 1) in sheet.grid), None)
-        out[key] = {"cell": f"{column_letters(hit[1])}{hit[0]}", "value": bool(sheet.grid[hit]["flag"])} if hit else {"cell": None, "value": False}
-    return out
-
-
-def digital_tab(sheet: Sheet) -> Tab:
-    tab = Tab("digital")
-    spark = sheet.cells.sparkSession
-    top = sheet.find_row("B", "^quarterly toplines$")
-    if not top:
-        tab.error("Column B has no heading “Quarterly Toplines”: the tab is not read.")
-        return tab
-    label_row = top + 1
-    groups = _groups(sheet, label_row)
-    if not groups:
-        tab.error(f"Row {label_row} has no three columns for goal, actual and percent: the tab is not read.")
-        return tab
-    named = [(c, label) for c, label in groups[1:] if label]
-    if len(named) < len(groups) - 1:
-        tab.warn(f"Columns without a month in row {top} are left out.")
-    if not named:
-        tab.error("Only the quarter has columns; the months are missing.")
-    months = {slug_text(label): label for _, label in named}
-    periods = [("quarter", 0, "Quarter", groups[0][0])] + [(slug_text(label), i + 1, label.strip(), c) for i, (c, label) in enumerate(named)]
-    channels = discover.block(sheet, label_row, [2], until="^overall$")
-    overall_row = sheet.find_row("B", "^overall$")
-    overall = discover.block(sheet, overall_row, [2]) if overall_row else None
-    if not overall_row:
-        tab.error("Column B has no “Overall”.")
-    rows = channels.withColumn("block", F.lit("channel"))
-    if overall is not None:
-        rows = rows.unionByName(overall.withColumn("block", F.lit("overall")))
-    columns = spark.createDataFrame([(k, o, label, c + i, f) for k, o, label, c in periods for i, f in enumerate(("goal", "actual", "pct"))], "period_key string, period_ord int, label string, col int, field string")
-    names = sheet.cells.where("col = 2").select("row", F.col("txt").alias("channel"))
-    cells = sheet.cells.select("row", "col", "num", "ref", "formula", F.col("txt").alias("raw"))
-    flat = rows.crossJoin(F.broadcast(columns)).join(cells, ["row", "col"], "left").join(names, "row", "left")
-    # a blank cell has a place all the same
-    spots = F.concat(S.column_letters("col"), F.col("row").cast("string"))
-    pick = lambda f, c: F.max(F.when(F.col("field") == f, c))
-    made = [x for f in ("goal", "actual", "pct") for x in (pick(f, F.col("num")).alias(f), pick(f, spots).alias(f"{f}_cell"), pick(f, F.col("formula")).alias(f"{f}_formula"))]
-    table = flat.groupBy("block", "row", "channel", "period_key", "period_ord", "label").agg(*made, pick("pct", F.col("raw")).alias("pct_raw"))
-    table = tab.tables["channel_period"] = tab.keep(table)
-    quarter = table.where("block = 'channel' AND period_key = 'quarter'")
-    listed = quarter.select("channel", "row", "goal_formula", series.dormant("goal", "actual").alias("dormant")).orderBy("row").collect()  # a page's list of channels
-    if not listed:
-        tab.error("No channel stands below the header.")
-        return tab
-    tab.lists["channels"] = [r["channel"] for r in listed]
-    tab.lists["dormant"] = [r["channel"] for r in listed if r["dormant"]]
-    tab.findings.append(f"Rows {listed[0]['row']} to {listed[-1]['row']} give {len(listed)} channels.")
+def digital_tables(tab: Tab, table: DataFrame, rows: DataFrame, fields: dict[str, dict[str, int]]) -> None:
+    table = tab.tables["channel_period"] = table.drop("workbook", "tab_sound")
     monthly = table.where("block = 'channel' AND period_key <> 'quarter'")
-    tab.lists["pending"] = sorted((r["period_key"] for r in series.pending_periods(monthly, "period_key", "actual").collect()), key=list(months).index)
     # keyed by row, so that channels of one name keep a series each
     by = ["row", "channel"]
     goal = series.series(monthly, "goal", by, "period_ord", "carry", "goal_cell").select(*by, "period_key", "period_ord", F.col("running_total").alias("cum_goal"), F.col("step_cells").alias("goal_cells"))
     actual = series.series(monthly, "actual", by, "period_ord", "pending", "actual_cell").select(*by, "period_key", F.col("running_total").alias("cum_actual"), "pending", F.col("step_cells").alias("actual_cells"))
     tab.tables["series"] = goal.join(actual, [*by, "period_key"])
-    if overall is not None:
-        keys = {slug_text(r["channel"]) for r in table.where("block = 'overall'").select("channel").distinct().collect()}
-        if "total_raised" not in keys:
-            tab.error("“Total Raised” is missing below “Overall”, so there are no headline figures.")
-    _helpers(tab, sheet, listed, list(months))
-    tab.lists["toggles"] = [{"month": k, **v} for k, v in _toggles(sheet, label_row, months).items()]
-    if any(t["value"] for t in tab.lists["toggles"]):
-        tab.warn("Dynamic goals are on for " + ", ".join(t["month"] for t in tab.lists["toggles"] if t["value"]) + ": the quarter's goal counts actuals there.")
-    first = table.where((F.col("block") == "channel") & (F.col("row") == listed[0]["row"])).select("period_key", "goal_formula", "actual_formula").collect()
-    tab.meta = {k: (sheet.labelled("B", "C", p) or {}).get(v) for k, p, v in (("client", "^client$", "text"), ("lead", "^email lead$", "text"), ("year", "^year$", "num"), ("quarter", "^quarter$", "num"))}
-    title = sheet.find_row("B", "toplines$", top - 1)
-    tab.meta["title"] = sheet.text(title, "B") if title and title < top else None
-    tab.meta["sources"] = {f"{r['period_key']}_{f}": hit for r in first for f in ("goal", "actual") if (hit := next((s for s in SOURCES if s in (r[f"{f}_formula"] or "")), None))}
-    for k in ("year", "quarter"):
-        if tab.meta[k] is None:
-            tab.warn(f"The {k} of the report is not given.")
-    return tab
-
-
-def _helpers(tab: Tab, sheet: Sheet, listed: list, months: list[str]) -> None:
-    """Hidden helper columns behind the quarterly goal's SUM, one for each month by position."""
-    m = re.match(r"=\s*SUM\(\s*\$?([A-Z]+)\$?\d+\s*:\s*\$?([A-Z]+)\$?\d+\s*\)", listed[0]["goal_formula"] or "", re.IGNORECASE)
-    if not m:
-        tab.warn("The quarter's goal is no sum of columns, so there are no helpers.")
-        return
-    cols = list(range(column_number(m[1].upper()), column_number(m[2].upper()) + 1))
-    if len(cols) != len(months):
-        tab.warn(f"{len(cols)} helper columns stand against {len(months)} months; they are matched in order.")
-    names = dict(zip(months, cols, strict=False))
-    rows = tab.tables["channel_period"].where("block = 'channel'").select("row").distinct()
-    tab.tables["helpers"] = discover.long_metrics(sheet, rows, names).withColumnRenamed("metric_key", "period_key")
-    tab.findings.append("Helper columns: " + ", ".join(column_letters(c) for c in cols) + ".")
-
-
-# --- the paid tab -------------------------------------------------------------------------------------------------
-
-
-def _definitions(sheet: Sheet, before: int) -> list[dict]:
-    """Terms that end in a colon with prose to their right, above the first table; the first of a row."""
-    out = []
-    for row in range(1, before):
-        for col in range(column_number("F"), column_number("H") + 1):
-            term, text = sheet.text(row, col), sheet.text(row, col + 1)
-            if term and text and term.endswith(":") and len(text) > 12:
-                out.append({"term": term[:-1], "text": text, "term_cell": f"{column_letters(col)}{row}", "text_cell": f"{column_letters(col + 1)}{row}"})
-                break
-    return out
-
-
-def paid_tab(sheet: Sheet) -> Tab:
-    tab = Tab("paid")
-    spark = sheet.cells.sparkSession
-    rows = {"quarterly": sheet.find_row("B", "^quarterly toplines$"), "monthly": sheet.find_row("B", "^monthly toplines$"), "detail": sheet.find_row("B", "^month$")}
-    if not all(rows.values()):
-        tab.error("Column B lacks the heading of: " + ", ".join(k for k, r in rows.items() if not r) + ". The tab is not read.")
-        return tab
-    tab.findings.append("Tables begin at " + ", ".join(f"B{r} ({k})" for k, r in rows.items()) + ".")
-    last = max(sheet.max_col, column_number("N"))
-    own = [h for h in sheet.headers(rows["detail"], "F", last) if not h.key.startswith("helper")]
-    if not own:
-        tab.error(f"Row {rows['detail']} heads no metric.")
-        return tab
-    cat = tab.catalog = catalog([(h.label, h.letters) for h in own], by_name)
-    tab.tables["metric_catalog"] = metric_table(spark, cat)
-    by_block = {}
-    for k, row in rows.items():
-        there = {h.key: h.col for h in sheet.headers(row, "F", last)}
-        # each block is read by its own header; a metric that it lacks by the detail's column
-        by_block[k] = {m.key: there.get(norm_text(m.label), column_number(m.column)) for m in cat.metrics}
-        moved = [m.label for m in cat.metrics if by_block[k][m.key] != column_number(m.column)]
-        if moved:
-            tab.warn(f"Columns of the {k} table differ from the detail's for {', '.join(moved)}; each table goes by its header.")
-    side = {k: {h.key: h.col for h in sheet.headers(row, "B", "E")} for k, row in rows.items()}
-    dims = {
-        "quarterly": {"quarter": (side["quarterly"].get("quarter", 5), "num")},
-        "monthly": {"label": (side["monthly"].get("month", 5), "txt")},
-        "detail": {
-            "month": (side["detail"].get("month", 2), "txt"),
-            "channel": (side["detail"].get("channel", 3), "txt"),
-            "placement": (side["detail"].get("placement", 4), "txt"),
-            "objective": (side["detail"].get("goal", side["detail"].get("objective", 5)), "txt"),
-        },
-    }
-    for k, row in rows.items():
-        first = next(iter(dims[k].values()))
-        found = discover.block(sheet, row, [first[0]], numeric=first[1] == "num")
-        table = discover.wide(sheet, found, {**dims[k], **{f"m_{key}": (c, "num") for key, c in by_block[k].items()}})
-        tab.tables[k] = tab.keep(table.withColumnsRenamed({f"m_{key}": key for key in by_block[k]}))
-        tab.tables[f"{k}_metrics"] = discover.long_metrics(sheet, found, by_block[k])
-        n = tab.tables[k].count()
-        if not n:
-            tab.error(f"The {k} table at B{row} is empty.")
-        else:
-            tab.findings.append(f"The {k} table has {n} rows.")
-    if tab.failed:
-        return tab
+    helpers = {k[2:]: c for k, c in fields["channel"].items() if k.startswith("h:")}
+    if helpers:
+        tab.tables["helpers"] = long_metrics(rows.where("block = 'channel'"), helpers, "h", "period_key")
+
+
+def paid_tables(tab: Tab, rows: DataFrame, fields: dict[str, dict[str, int]], keys: Sequence[str]) -> None:
+    for block, cols in fields.items():
+        own = rows.where(F.col("block") == block)
+        dims = {k[2:]: (_number(k) if k == "d:quarter" else F.try_element_at(F.col("t"), F.lit(k))) for k in cols if k.startswith("d:")}
+        metrics = {k[2:]: c for k, c in cols.items() if k.startswith("m:")}
+        tab.tables[block] = own.select("row", *[v.alias(k) for k, v in dims.items()], *[_number(f"m:{k}").alias(k) for k in metrics])
+        tab.tables[f"{block}_metrics"] = long_metrics(own, metrics)
     tab.tables["quarterly"] = tab.tables["quarterly"].withColumn("label", S.quarter_label("quarter")).withColumn("quarter", F.floor(F.col("quarter") + 0.5).cast("int"))
-    missing = tab.tables["detail"].where("channel IS NULL OR placement IS NULL").count()
-    if missing:
-        tab.warn(f"Channel or placement is blank in {missing} detail rows.")
+    tab.tables["metric_catalog"] = metric_table(rows.sparkSession, tab.catalog)
     plain = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    tab.tables["year_to_date"] = rollup.rollup(tab.tables["quarterly"], [], cat, total=plain)
-    if lost := [m.label for m in cat.ratios if m.unresolvable]:
-        tab.warn("Components unknown, so blank for the year: " + ", ".join(lost) + ".")
-    keys, text = accumulated(cat, ["gross_spend", "ntl", "total_raised"], fallback=True)
-    if text:
-        tab.warn(text)
+    tab.tables["year_to_date"] = rollup.rollup(tab.tables["quarterly"], [], tab.catalog, total=plain)
     for k in ("quarterly", "monthly"):
         long = tab.tables[f"{k}_metrics"].where(F.col("metric_key").isin(*keys))
         tab.tables[f"{k}_series"] = series.series(long, "value", ["metric_key"], "row", "carry", "cell")
-    tab.lists["definitions"] = _definitions(sheet, rows["quarterly"])
-    if not tab.lists["definitions"]:
-        tab.warn("The sheet defines no terms.")
-    tab.meta = {k: (sheet.labelled("B", "C", p) or {}).get(v) for k, p, v in (("year", "^year$", "num"), ("quarter", "^quarter$", "num"), ("client", "^client$", "text"), ("lead", "^paid media lead$", "text"))}
-    tab.meta["title"] = sheet.text(sheet.find_row("B", "paid media report") or 2, "B")
-    if tab.meta["quarter"] is None:
-        tab.warn("The quarter of the report is not given.")
-    return tab
 
 
-@dataclass(frozen=True)
-class TabSpec:
-    name: str
-    title: str
-    pattern: str
-    extract: Callable[[Sheet], Tab]
-
-
-# The tabs' names and patterns.
-TABS = (
-    TabSpec("digital", "Digital Report", "^digital report$", digital_tab),
-    TabSpec("paid", "Paid Media Report", "^paid media report$", paid_tab),
-    TabSpec("p2p", "P2P Statistics", "^p2p statistics$", lambda s: flat_tab(s, P2P)),
-    TabSpec("email", "Email Statistics", "^email statistics$", lambda s: flat_tab(s, EMAIL)),
-    TabSpec("high_dollar", "High-Dollar Donations", "^high[- ]dollar donations$", lambda s: flat_tab(s, HIGH_DOLLAR)),
-)
+def tab_of(reports: Reports, name: str, layout: Sequence[Row], problems: Sequence[Row], findings: Sequence[Row], lists: Sequence[Row], period: Row | None, rows: DataFrame, channel_period: DataFrame) -> Tab:
+    """The tab of one workbook. layout and so on: collected rows of this tab; rows: the workbook's records."""
+    of = lambda kind: [r for r in layout if r["kind"] == kind]
+    tab = Tab(name, sheet=next((r["sheet"] for r in of("tab")), None) or "")
+    tab.catalog = Catalog([Metric(r["key"], r["label"], r["field"], column_letters(r["col"]), r["numerator"], r["denominator"]) for r in of("metric")])
+    tab.meta = {r["key"]: r["num"] if r["field"] == "num" else r["txt"] for r in of("meta")}
+    tab.problems = [{k: p[k] for k in ("tab", "level", "rule_id", "text", "sections", "cells", "more_cells")} for p in problems]
+    tab.findings = [f["text"] for f in sorted(findings, key=lambda f: f["at"])]
+    fields: dict[str, dict[str, int]] = {}
+    for r in of("field"):
+        fields.setdefault(r["block"], {})[r["key"]] = r["col"]
+    if not fields:
+        return tab
+    own = rows.where(F.col("tab") == name)
+    keys = [r["key"] for r in of("series")]
+    names = (*FLAT[name].slices,) if name in FLAT else ("channels", "dormant", "pending") if name == "digital" else ()
+    tab.lists = {k: [r["value"] for r in sorted(lists, key=lambda r: r["ord"]) if r["list"] == k] for k in names}
+    if name == "digital":
+        tab.lists["toggles"] = [{"month": r["key"], "cell": r["label"], "value": bool(r["num"])} for r in of("toggle")]
+        tab.meta["sources"] = {r["key"]: r["txt"] for r in of("source")}
+        digital_tables(tab, channel_period, own, fields)
+    elif name == "paid":
+        tab.lists["definitions"] = [{"term": r["key"], "text": r["txt"], "term_cell": r["label"], "text_cell": r["field"]} for r in of("definition")]
+        paid_tables(tab, own, fields, keys)
+    else:
+        if not FLAT[name].labelled_period:
+            tab.meta = {k: period and period[k] for k in ("year", "quarter")}
+        flat_tables(tab, FLAT[name], own, fields, keys)
+    return tab

@@ -1,9 +1,9 @@
 from pyspark.sql import functions as F
 
 from tallyloom.operators import verify
-from tallyloom.operators.discover import Sheet, typed
+from tallyloom.operators.discover import typed
 from tallyloom.plans.report import build
-from tallyloom.plans.tabs import P2P, flat_tab
+from tallyloom.plans.tabs import lineage
 
 from . import workbooks as wb
 from .test_workbook import cells_of
@@ -30,15 +30,14 @@ def test_clean_report_and_controls(spark):
 
 def test_lineage(spark):
     cells = cells_of(spark, {"P2P Statistics": wb.p2p()[0]})
-    sheet = Sheet("P2P Statistics", typed(cells))
-    tab = flat_tab(sheet, P2P, lineage=True)
-    line = tab.tables["lineage"]
+    tab = build(spark, cells, "x").tabs["p2p"]
+    line = lineage(tab)
     keys = [m.key for m in tab.catalog.additive]
-    assert verify.computed_provenance(line, sheet.cells, keys).count() == 0
+    assert verify.computed_provenance(line, typed(cells), keys).count() == 0
     july = {r["metric_key"]: r for r in line.where("month_key = 'july'").collect()}
     assert july["gross_spend"]["cells"] == [f"E{5 + i}" for i in range(0, 24, 2)]
     assert july["gross_cpa"]["cells"][:12] == july["gross_spend"]["cells"] and july["gross_cpa"]["value"] == july["gross_spend"]["value"] / july["ntl"]["value"]
-    assert verify.computed_provenance(line.withColumn("value", F.col("value") + 1), sheet.cells, keys).count() == 2 * len(keys)
+    assert verify.computed_provenance(line.withColumn("value", F.col("value") + 1), typed(cells), keys).count() == 2 * len(keys)
 
 
 def test_audit_and_guard(spark, tmp_path):
