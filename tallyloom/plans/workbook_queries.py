@@ -564,9 +564,9 @@ def wb_verified_twin(spark, d):
     tab = copy(_report(spark, d).tabs["p2p"])
     t = tab.tables = dict(tab.tables)
     tab.lists = {**tab.lists, "topic": [*tab.lists["topic"], "another"]}
-    t["monthly"] = t["monthly"].withColumns({"gross_spend": F.col("gross_spend") + 1, "click_rate": F.lit(0.5), "rows": F.slice("rows", 2, 10**6), "row_count": F.col("row_count") + 1})
+    t["monthly"] = t["monthly"].withColumns({"gross_spend": F.col("gross_spend") * 1.01 + 1, "click_rate": F.lit(0.5), "rows": F.slice("rows", 2, 10**6), "row_count": F.col("row_count") + 1})
     t["quarter_to_date"] = t["quarter_to_date"].withColumn("row_count", F.col("row_count") + 1)
-    t["series"] = t["series"].withColumn("running_total", F.col("running_total") + 1)
+    t["series"] = t["series"].withColumn("running_total", F.col("running_total") * 1.01 + 1)
     t["detail"] = t["detail"].withColumn("gross_spend", F.when(F.col("row") == 5, -5.0).otherwise(F.col("gross_spend")))
     found = verify.flat(tab, "topic", ("audience",), (), ("gross_spend",))
     return found.select("check").distinct()
@@ -598,9 +598,9 @@ def wb_audit_twin(spark, d):
     with open(_snapshots(spark, d)["paid"]) as f:
         s = json.load(f)
     for x in s["detail_metrics"]:
-        x["value"] = (x["value"] or 0) + 1
+        x["value"] = (x["value"] or 0) * 1.01 + 1  # beyond the bound, which grows with the value
     for x in s["monthly_series"]:
-        x["running_total"] += 1
+        x["running_total"] = x["running_total"] * 1.01 + 1
     s["definitions"][0]["text"] = "something else"
     s["meta"]["sheet"] = "Another"
     cells = typed(_report(spark, d).cells.where("sheet = 'Paid Media Report'"))

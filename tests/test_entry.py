@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import __spark_entry__ as entry
+from tallyloom.plans import many_queries as many
 from tallyloom.plans import queries as reports
 from tallyloom.plans import workbook_queries as workbooks
 
@@ -13,6 +14,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 def test_names():
     assert set(reports.SQL) == set(reports.QUERIES) <= set(entry.queries())
     assert set(workbooks.SQL) == set(workbooks.QUERIES) <= set(entry.queries())
+    assert set(many.SQL) == set(many.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -22,7 +24,7 @@ def test_the_rest_stands_alone(tmp_path):
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e, tallyloom.plans.report, tallyloom.operators.verify; print(sorted(e.queries()) == sorted(e.oracle_sql()), len(e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
-    assert out.stdout.split() == ["True", str(len(reports.QUERIES) + len(workbooks.QUERIES))], out.stderr
+    assert out.stdout.split() == ["True", str(len(reports.QUERIES) + len(workbooks.QUERIES) + len(many.QUERIES))], out.stderr
 
 
 def test_report_queries_match_their_sql(spark):
