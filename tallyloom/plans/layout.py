@@ -176,7 +176,7 @@ def of_workbook(workbook: str, sheets: list[tuple[str, Grid, Columns]]) -> list[
     for spec in TABS:
         draft = Draft(workbook, spec.name)
         draft.sheet = pick_sheet([n for n, _, _ in sheets], spec, draft)
-        draft.add("tab")
+        draft.add("tab", num=float(len(sheets)))
         if draft.sheet is not None:
             grid, columns = by_name_[draft.sheet]
             if spec.name == "digital":

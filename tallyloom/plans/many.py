@@ -64,7 +64,7 @@ def rules() -> list[tuple]:
 
 
 PROBLEM = "workbook string, tab string, level string, rule_id string, text string, sections array<string>, cells array<string>, more_cells int, emit_ord long"
-#: Where what is noticed stands among the problems of a tab: its layout, its rows, sums, ratios.
+#: Where what is noticed stands among the problems of a tab: its layout, its rows, ratios, sums.
 AT_ROWS, AT_OVERALL, AT_CHECKS, AT_SUMS = 100_000, 200_000, 300_000, 400_000
 
 
@@ -126,6 +126,27 @@ def _get(map_: str, key: Column | str) -> Column:
     return F.try_element_at(F.col(map_), F.lit(key) if isinstance(key, str) else key)
 
 
+def shapes(layout: DataFrame) -> DataFrame:
+    """A row for each tab of each workbook, bounded by the columns of a sheet: metrics in order, the column of each block's fields, periods, what runs in series, the chosen quarter."""
+    c = F.col
+    kind = lambda k: c("kind") == k
+    metric = F.struct("ord", "key", "label", c("field").alias("kind"), "numerator", "denominator")
+    period = F.struct(c("num").cast("int").alias("ord"), "key", "label", "col")
+    return layout.groupBy("workbook", "tab").agg(
+        F.bool_or(kind("problem") & (c("field") == "error")).alias("failed"),
+        F.array_sort(F.collect_list(F.when(kind("metric"), metric))).alias("metrics"),
+        F.map_from_entries(F.collect_list(F.when(kind("field"), F.struct(F.concat("block", F.lit("|"), "key"), "col")))).alias("cols"),
+        F.array_sort(F.collect_list(F.when(kind("period"), period))).alias("periods"),
+        F.collect_list(F.when(kind("series"), c("key"))).alias("series"),
+        F.max(F.when(kind("meta") & (c("key") == "quarter"), F.floor(c("num") + 0.5).cast("int"))).alias("chosen"),
+        F.bool_or(kind("field") & (c("block") == "overall")).alias("has_overall"),
+    )
+
+
+def _additive() -> Column:
+    return F.filter("metrics", lambda m: S.is_additive(m["kind"]))
+
+
 def flat_detail(rows: DataFrame, spec: FlatSpec, dims: Sequence[str] | None = None) -> DataFrame:
     """Detail rows of a flat tab with its fields as columns; dims: those that the sheet has (all, if not given)."""
     have = list(dict.fromkeys(spec.dims.values())) if dims is None else list(dims)
@@ -145,198 +166,202 @@ def flat_detail(rows: DataFrame, spec: FlatSpec, dims: Sequence[str] | None = No
 class Reports:
     """The reports of all workbooks in a table of cells."""
 
-    def __init__(self, cells: DataFrame, keep=None):
-        """keep: how the two tables that all else reads are held, (rows, name) -> rows; the default writes them once."""
+    def __init__(self, cells: DataFrame, keep=None, one: bool = False):
+        """keep: how the tables that all else reads are held, (rows, name) -> rows; the default writes them once. one: the cells are of a single workbook, whose layout may be broadcast."""
         keep = keep or materialize
         self.spark: SparkSession = cells.sparkSession
         self.source = cells
         self.cells = with_types(cells)
         self.layout = keep(layouts(self.cells), "layout")
-        self.rows = keep(records(self.cells, self.layout), "records")
+        sent = F.broadcast if one else lambda x: x  # one workbook's columns are bounded by the file format
+        self.rows = keep(records(self.cells, sent(self.layout.where("kind = 'field'"))), "records")
+        self._shape = sent(keep(shapes(self.layout), "shapes"))
 
     # --- what is said of each workbook --------------------------------------------------------------------------
 
     @cached_property
-    def _early(self) -> DataFrame:
-        """(workbook, tab) of tabs that their layout fails."""
-        return self.layout.where("kind = 'problem' AND field = 'error'").select("workbook", "tab").distinct()
-
-    @cached_property
-    def _metrics(self) -> DataFrame:
-        """(workbook, tab, metrics): the catalogue, in order, as one array, bounded by a sheet's columns."""
-        one = F.struct(F.col("ord"), F.col("key"), F.col("label"), F.col("field").alias("kind"), F.col("numerator"), F.col("denominator"))
-        return self.layout.where("kind = 'metric'").groupBy("workbook", "tab").agg(F.array_sort(F.collect_list(one)).alias("metrics"))
-
-    @cached_property
-    def _columns(self) -> DataFrame:
-        """(workbook, tab, block, cols): the column of each field."""
-        one = F.map_from_entries(F.collect_list(F.struct("key", "col")))
-        return self.layout.where("kind = 'field'").groupBy("workbook", "tab", "block").agg(one.alias("cols"))
+    def shaped(self) -> DataFrame:
+        """Records with the shape of their tab."""
+        return self.rows.join(self._shape, ["workbook", "tab"])
 
     @cached_property
     def sound(self) -> DataFrame:
-        """Records of the tabs whose layout is without errors."""
-        return self.rows.join(self._early, ["workbook", "tab"], "left_anti")
+        """Those of the tabs whose layout is without errors."""
+        return self.shaped.where("NOT failed")
 
     @cached_property
     def checks(self) -> DataFrame:
         """A row for each stored ratio that a rule applies to: expected, bad, and where it stands."""
         c = F.col
         rule = F.broadcast(self.spark.createDataFrame(rules(), RULE))  # a fixed list
-        own = self.sound.join(self._columns, ["workbook", "tab", "block"]).join(rule, ["tab", "block"])
-        periods = self.layout.where("kind = 'period'").groupBy("workbook").agg(F.collect_list(F.struct(F.col("num").cast("int").alias("ord"), "key")).alias("periods"))
-        several = own.where("tab = 'digital'").join(periods, "workbook").withColumn("p", F.explode("periods"))
-        key = lambda what: F.concat(F.lit("p:"), c("p.key"), F.lit(":"), c(what))
-        several = several.select("*", c("p.ord").alias("period_ord"), *[key(x).alias(f"k_{x}") for x in ("stored", "numerator", "denominator")]).drop("p", "periods")
-        one = own.where("tab <> 'digital'").select("*", F.lit(0).alias("period_ord"), *[F.concat(F.lit("m:"), c(x)).alias(f"k_{x}") for x in ("stored", "numerator", "denominator")])
-        all_ = several.unionByName(one)
-        there = reduce(lambda a, b: a & b, [_get("cols", c(f"k_{x}")).isNotNull() for x in ("stored", "numerator", "denominator")])
-        all_ = all_.where(there).select(
-            "workbook", "tab", "rule_id", "check_ord", "part_ord", "row", "period_ord", "floor", "relative", "needs_numerator", "needs_stored", "label", "means", "place", "found", "sections",
+        # a digital channel has its figures by period, other rows once
+        once = F.array(F.struct(F.lit(0).alias("ord"), F.lit("").alias("key"), F.lit("").alias("label"), F.lit(0).alias("col")))
+        own = self.sound.join(rule, ["tab", "block"]).withColumn("p", F.explode(F.when(c("tab") == "digital", c("periods")).otherwise(once)))
+        key = lambda what: F.when(c("tab") == "digital", F.concat(F.lit("p:"), c("p.key"), F.lit(":"), c(what))).otherwise(F.concat(F.lit("m:"), c(what)))
+        own = own.withColumns({f"k_{x}": key(x) for x in ("stored", "numerator", "denominator")})
+        at = lambda k: F.try_element_at("cols", F.concat("block", F.lit("|"), c(k)))
+        there = at("k_stored").isNotNull() & at("k_numerator").isNotNull() & at("k_denominator").isNotNull()
+        own = own.where(there).select(
+            "workbook", "tab", "rule_id", "check_ord", "part_ord", "row", c("p.ord").alias("period_ord"), "floor", "relative", "needs_numerator", "needs_stored", "label", "means", "place", "found", "sections",
             *[_get("n", c(f"k_{x}")).alias(x) for x in ("stored", "numerator", "denominator")],
-            F.concat(S.column_letters(_get("cols", c("k_stored"))), c("row").cast("string")).alias("cell"),
+            F.concat(S.column_letters(at("k_stored")), c("row").cast("string")).alias("cell"),
         )
         applies = S.truthy("denominator") & (~c("needs_numerator") | c("numerator").isNotNull()) & (~c("needs_stored") | c("stored").isNotNull())
-        all_ = all_.where(applies).withColumn("expected", S.ratio("numerator", "denominator"))
-        return all_.withColumn("bad", ~S.near("stored", "expected", F.greatest(c("floor"), F.abs("expected") * c("relative"))))
+        own = own.where(applies).withColumn("expected", S.ratio("numerator", "denominator"))
+        return own.withColumn("bad", ~S.near("stored", "expected", F.greatest(c("floor"), F.abs("expected") * c("relative"))))
 
     @cached_property
     def checked(self) -> DataFrame:
         """For each check of each workbook: how many cells it saw, how many fail, the first of them and the sections that print those."""
         c = F.col
-        by = ["workbook", "tab", "rule_id", "check_ord", "label", "means", "place", "found"]
+        key = ["workbook", "tab", "check_ord"]
         wrong = F.struct("part_ord", "sections")  # a dozen parts at most
-        n = self.checks.groupBy(*by).agg(F.count(F.lit(1)).alias("n_checked"), F.count_if("bad").alias("n_bad"), F.array_sort(F.collect_set(F.when(c("bad"), wrong))).alias("parts"))
+        same = [F.first(x).alias(x) for x in ("rule_id", "label", "means", "place", "found")]
+        n = self.checks.groupBy(*key).agg(*same, F.count(F.lit(1)).alias("n_checked"), F.count_if("bad").alias("n_bad"), F.array_sort(F.collect_set(F.when(c("bad"), wrong))).alias("parts"))
         bad = self.checks.where("bad").withColumn("text", S.bad_cell("cell", "stored", "expected"))
-        cells = first_of(bad, ["workbook", "tab", "check_ord"], ["part_ord", "row", "period_ord"], "text", "cells")
+        cells = first_of(bad, key, ["part_ord", "row", "period_ord"], "text", "cells")
         sections = F.array_distinct(F.flatten(F.transform("parts", lambda p: p["sections"])))
-        return n.join(cells, ["workbook", "tab", "check_ord"], "left").withColumn("sections", sections).drop("parts")
-
-    @cached_property
-    def _chosen(self) -> DataFrame:
-        """(workbook, quarter) of the paid tab, half rounded up."""
-        return self.layout.where("tab = 'paid' AND kind = 'meta' AND key = 'quarter' AND num IS NOT NULL").select("workbook", F.floor(F.col("num") + 0.5).cast("int").alias("quarter"))
+        return n.join(cells, key, "left").withColumn("sections", sections).drop("parts")
 
     @cached_property
     def _paid_long(self) -> DataFrame:
-        """(workbook, block, row, name, metric_ord, key, label, value) of the paid tab's additive metrics."""
+        """(workbook, block, row, name, quarter, chosen, metric_ord, key, label, value) of the paid tab's additive metrics."""
         c = F.col
-        own = self.sound.where("tab = 'paid'").join(self._metrics, ["workbook", "tab"])
-        additive = F.filter("metrics", lambda m: S.is_additive(m["kind"]))
         name = F.trim(F.coalesce(_get("t", "d:label"), _get("t", "d:month")))
         quarter = F.floor(_get("n", "d:quarter") + 0.5).cast("int")
-        one = own.select("workbook", "block", "row", name.alias("name"), quarter.alias("quarter"), "n", F.explode(additive).alias("m"))
-        return one.select("workbook", "block", "row", "name", "quarter", c("m.ord").alias("metric_ord"), c("m.key").alias("key"), c("m.label").alias("label"), _get("n", F.concat(F.lit("m:"), c("m.key"))).alias("value"))
+        one = self.sound.where("tab = 'paid'").select("workbook", "block", "row", name.alias("name"), quarter.alias("quarter"), "chosen", "n", F.explode(_additive()).alias("m"))
+        return one.select("workbook", "block", "row", "name", "quarter", "chosen", c("m.ord").alias("metric_ord"), c("m.key").alias("key"), c("m.label").alias("label"), _get("n", F.concat(F.lit("m:"), c("m.key"))).alias("value"))
 
     @cached_property
     def sums(self) -> DataFrame:
-        """Stored sums of the paid and digital tabs that their children do not make: (workbook, tab, level, rule_id, text, o1, o2)."""
+        """Stored sums of the paid and digital tabs that their children do not make: (workbook, tab, level, rule_id, text, at). Parents and children meet in one window each."""
         c = F.col
         long = self._paid_long
-        bound = F.when(c("key") == "ntl", 0.5).otherwise(0.05)
+        off = c("value").isNotNull() & ~S.near(F.coalesce("total", F.lit(0.0)), "value", F.when(c("key") == "ntl", 0.5).otherwise(0.05))
         money = lambda x: F.format_string("%.2f", F.coalesce(x, F.lit(0.0)))
-        kids = long.where("block = 'detail' AND name IS NOT NULL").groupBy("workbook", "name", "key").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
-        months = long.where("block = 'monthly'").join(kids, ["workbook", "name", "key"], "left")
-        missing = months.where("n IS NULL").groupBy("workbook", "row", "name").agg(F.lit(0).alias("o2"))
-        out = [missing.select("workbook", F.lit("paid").alias("tab"), F.lit("warn").alias("level"), F.lit("RC6").alias("rule_id"), F.concat("name", F.lit(" stands in the monthly table only.")).alias("text"), F.col("row").alias("o1"), "o2")]
-        off = (c("value").isNotNull()) & ~S.near(F.coalesce("total", F.lit(0.0)), "value", bound)
-        wrong = months.where("n IS NOT NULL").where(off)
-        text = F.concat("name", F.lit(", "), "label", F.lit(": the month has "), money(c("value")), F.lit(", its rows "), money(c("total")), F.lit("."))
-        out.append(wrong.select("workbook", F.lit("paid").alias("tab"), F.lit("error").alias("level"), F.lit("RC5").alias("rule_id"), text.alias("text"), c("row").alias("o1"), c("metric_ord").alias("o2")))
+        place = lambda o1, o2: (F.lit(AT_SUMS).cast("long") + F.lit(o1).cast("long") * 4096 + F.lit(o2)).alias("at") if isinstance(o1, int) else (F.lit(AT_SUMS).cast("long") + o1.cast("long") * 4096 + o2).alias("at")
+        say = lambda rows, tab, level, rule, text, at: rows.select("workbook", F.lit(tab).alias("tab"), F.when(level, "error").otherwise("warn").alias("level"), rule.alias("rule_id"), text.alias("text"), at)
+        of = lambda block: c("block") == block
+        # months against their detail rows; a month without any is told once
+        w = W.partitionBy("workbook", "name", "key")
+        kids = [F.sum(F.when(of("detail"), c("value"))).over(w).alias("total"), F.count_if(of("detail")).over(w).alias("kids")]
+        months = long.where(of("monthly") | of("detail")).where("name IS NOT NULL").select("*", *kids).where(of("monthly"))
+        first = F.row_number().over(W.partitionBy("workbook", "row").orderBy("metric_ord")) == 1
+        months = months.where((c("kids") == 0) | off).withColumn("first", first).where((c("kids") > 0) | c("first"))
+        has = c("kids") > 0
+        text = F.when(has, F.concat("name", F.lit(", "), "label", F.lit(": the month has "), money(c("value")), F.lit(", its rows "), money(c("total")), F.lit("."))).otherwise(F.concat("name", F.lit(" stands in the monthly table only.")))
+        out = [say(months, "paid", has, F.when(has, "RC5").otherwise("RC6"), text, place(c("row"), c("metric_ord")))]
         # the first row of the chosen quarter against all months
-        quarters = self.sound.where("tab = 'paid' AND block = 'quarterly'").select("workbook", "row", F.floor(_get("n", "d:quarter") + 0.5).cast("int").alias("quarter"))
-        first = quarters.join(self._chosen, ["workbook", "quarter"]).groupBy("workbook", "quarter").agg(F.min("row").alias("row"))
-        absent = self._chosen.join(self.sound.where("tab = 'paid'").select("workbook").distinct(), "workbook").join(first, ["workbook", "quarter"], "left_anti")
-        out.append(absent.select("workbook", F.lit("paid").alias("tab"), F.lit("warn").alias("level"), F.lit("RC8").alias("rule_id"), F.concat(F.lit("The quarterly table lacks Q"), "quarter", F.lit(".")).alias("text"), F.lit(1 << 30).alias("o1"), F.lit(0).alias("o2")))
-        whole = long.where("block = 'monthly'").groupBy("workbook", "key").agg(F.sum("value").alias("total"))
-        asked = long.where("block = 'quarterly'").drop("quarter").join(first, ["workbook", "row"]).join(whole, ["workbook", "key"]).where(off)
+        w = W.partitionBy("workbook", "key")
+        chosen = F.min(F.when(of("quarterly") & (c("quarter") == c("chosen")), c("row"))).over(w)
+        whole = long.where("block <> 'detail'").select("*", F.sum(F.when(of("monthly"), c("value"))).over(w).alias("total"), chosen.alias("at_row"))
+        asked = whole.where(of("quarterly") & (c("row") == c("at_row"))).where(off)
         text = F.concat("label", F.lit(": Q"), "quarter", F.lit(" has "), money(c("value")), F.lit(", its months "), money(c("total")), F.lit("."))
-        out.append(asked.select("workbook", F.lit("paid").alias("tab"), F.lit("error").alias("level"), F.lit("RC7").alias("rule_id"), text.alias("text"), F.lit(1 << 30).alias("o1"), c("metric_ord").alias("o2")))
-        own = self.channel_period.where("tab_sound")
-        made = own.where("block = 'channel'").groupBy("workbook", "period_key").agg(F.sum("actual").alias("total"))
-        stored = own.where("block = 'overall' AND actual IS NOT NULL").where(S.slug("channel") == "total_raised").select("workbook", "row", "period_key", "period_ord", "label", c("actual").alias("value"))
-        both = stored.join(made, ["workbook", "period_key"]).where("total IS NOT NULL").where(~S.near("total", "value", 0.05))
-        text = F.concat("label", F.lit(": Overall has "), money(c("value")), F.lit(", its channels "), money(c("total")), F.lit("."))
-        out.append(both.select("workbook", F.lit("digital").alias("tab"), F.lit("error").alias("level"), F.lit("RC2").alias("rule_id"), text.alias("text"), c("period_ord").alias("o1"), c("row").alias("o2")))
+        out.append(say(asked, "paid", F.lit(True), F.lit("RC7"), text, place(F.lit(1 << 30), c("metric_ord"))))
+        own = self.channel_period.where("tab_sound AND actual IS NOT NULL")
+        w = W.partitionBy("workbook", "period_key")
+        both = own.withColumn("total", F.sum(F.when(of("channel"), c("actual"))).over(w)).where(of("overall") & (S.slug("channel") == "total_raised"))
+        both = both.where("total IS NOT NULL").where(~S.near("total", "actual", 0.05))
+        text = F.concat("label", F.lit(": Overall has "), money(c("actual")), F.lit(", its channels "), money(c("total")), F.lit("."))
+        out.append(say(both, "digital", F.lit(True), F.lit("RC2"), text, place(c("period_ord"), c("row") % 4096)))
         return reduce(DataFrame.unionByName, out)
 
     @cached_property
     def channel_period(self) -> DataFrame:
         """The digital tabs' channels by period: goal, actual, percent, their cells and formulas."""
         c = F.col
-        periods = self.layout.where("kind = 'period'").groupBy("workbook").agg(F.array_sort(F.collect_list(F.struct(c("num").cast("int").alias("ord"), "key", "label", "col"))).alias("periods"))
-        own = self.rows.where("tab = 'digital'").join(periods, "workbook").withColumn("p", F.explode("periods"))
-        own = own.join(self._early.where("tab = 'digital'").select("workbook", F.lit(True).alias("lost")), "workbook", "left")
+        own = self.shaped.where("tab = 'digital'").withColumn("p", F.explode("periods"))
         made = []
         for i, f in enumerate(("goal", "actual", "pct")):
             key = F.concat(F.lit("p:"), c("p.key"), F.lit(f":{f}"))
             made += [_get("n", key).alias(f), F.concat(S.column_letters(c("p.col") + i), c("row").cast("string")).alias(f"{f}_cell"), _get("f", key).alias(f"{f}_formula")]
         raw = _get("t", F.concat(F.lit("p:"), c("p.key"), F.lit(":pct"))).alias("pct_raw")
-        return own.select("workbook", "block", "row", _get("t", "d:channel").alias("channel"), c("p.key").alias("period_key"), c("p.ord").alias("period_ord"), c("p.label").alias("label"), *made, raw, c("lost").isNull().alias("tab_sound"))
+        return own.select("workbook", "block", "row", _get("t", "d:channel").alias("channel"), c("p.key").alias("period_key"), c("p.ord").alias("period_ord"), c("p.label").alias("label"), *made, raw, (~c("failed")).alias("tab_sound"))
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        """A row for each tab of each workbook: what its rows are like, from one grouping."""
+        c = F.col
+        dated = c("tab").isin(*[s.name for s in FLAT.values() if s.month_from_date])
+        date = S.serial_date(_get("n", "d:date"))
+        quarters = F.when((c("tab") == "high_dollar") & date.isNotNull(), F.struct(F.year(date).alias("year"), F.quarter(date).alias("quarter")))
+        count = lambda when: F.count_if(when)
+        slices = sorted({s for spec in FLAT.values() for s in spec.slices})
+        chosen = (c("block") == "quarterly") & (F.floor(_get("n", "d:quarter") + 0.5).cast("int") == c("chosen"))
+        return self.shaped.groupBy("workbook", "tab").agg(
+            F.first("failed").alias("failed"), F.first("chosen").alias("chosen"), F.first("has_overall").alias("has_overall"),
+            *[count(c("block") == b).alias(f"n_{b}") for b in ("detail", "channel", "quarterly", "monthly")],
+            F.min(F.when(c("block").isin("detail", "channel"), c("row"))).alias("a"), F.max(F.when(c("block").isin("detail", "channel"), c("row"))).alias("b"),
+            *[count(_get("t", f"d:{s}").isNull()).alias(f"no_{s}") for s in slices],
+            count(dated & date.isNull()).alias("no_date"),
+            F.array_sort(F.collect_set(quarters)).alias("quarters"),
+            count((c("block") == "detail") & (_get("t", "d:channel").isNull() | _get("t", "d:placement").isNull())).alias("no_place"),
+            F.bool_or((c("block") == "overall") & (S.slug(_get("t", "d:channel")) == "total_raised")).alias("total_raised"),
+            F.bool_or(chosen).alias("has_chosen"),
+        )
 
     @cached_property
     def facts(self) -> DataFrame:
-        """What the rows of each tab give: (workbook, tab, kind, level, text, at), as findings and problems."""
+        """What the profile says in words: (workbook, tab, kind, level, rule_id, text, at)."""
         c = F.col
-        out = []
-        say = lambda rows, tab, kind, level, text, at: rows.select("workbook", F.lit(tab).alias("tab"), F.lit(kind).alias("kind"), F.lit(level).alias("level"), text.alias("text"), F.lit(at).alias("at"))
         lines = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
+        said = []
+
+        def say(when: Column, kind: str, level: str | None, text: Column, at: int, rule: str = "RC13") -> None:
+            said.append(F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(level).cast("string").alias("level"), F.lit(rule).alias("rule_id"), text.alias("text"), F.lit(at).cast("long").alias("at"))))
+
+        sound = ~c("failed")
         for spec in FLAT.values():
-            d = flat_detail(self.sound, spec)
-            n = d.groupBy("workbook").agg(
-                F.count(F.lit(1)).alias("n"), F.min("row").alias("a"), F.max("row").alias("b"), F.count_if(c("month").isNull()).alias("no_month"),
-                *[F.count_if(c(s).isNull()).alias(f"no_{s}") for s in spec.slices], *([] if spec.labelled_period else [F.array_sort(F.collect_set(F.when(c("date").isNotNull(), F.struct("year", "quarter")))).alias("periods")]),
-            )
-            out.append(say(n, spec.name, "finding", None, lines("Rows ", c("a"), " to ", c("b"), " give ", c("n"), " detail rows."), AT_ROWS))
+            own = sound & (c("tab") == spec.name)
+            say(own, "finding", None, lines("Rows ", c("a"), " to ", c("b"), " give ", c("n_detail"), " detail rows."), AT_ROWS)
             for i, s in enumerate(spec.slices):
-                out.append(say(n.where(c(f"no_{s}") > 0), spec.name, "problem", "warn", lines(f"The {s} is blank in ", c(f"no_{s}"), " detail rows."), AT_ROWS + 1 + i))
+                say(own & (c(f"no_{s}") > 0), "problem", "warn", lines(f"The {s} is blank in ", c(f"no_{s}"), " detail rows."), AT_ROWS + 1 + i)
             if spec.month_from_date:
-                out.append(say(n.where("no_month > 0"), spec.name, "problem", "warn", lines("The date cannot be read in ", c("no_month"), " detail rows."), AT_ROWS + 10))
+                say(own & (c("no_date") > 0), "problem", "warn", lines("The date cannot be read in ", c("no_date"), " detail rows."), AT_ROWS + 10)
             if not spec.labelled_period:
-                whole = lambda x: x.cast("int").cast("string")
-                named = F.transform("periods", lambda p: F.concat(F.lit("Q"), whole(p["quarter"]), F.lit(" "), whole(p["year"])))
-                size = F.size("periods")
-                out.append(say(n.where(size == 1), spec.name, "finding", None, lines("All dates lie in ", F.element_at(named, 1), ", which is taken as the period."), AT_ROWS + 20))
-                out.append(say(n.where(size > 1), spec.name, "problem", "warn", lines("The period is left open, as the dates lie in several quarters: ", F.array_join(named, ", "), "."), AT_ROWS + 20))
-                out.append(say(n.where(size == 0), spec.name, "problem", "warn", lines("The period is left open, as no date can be read."), AT_ROWS + 20))
-        own = self.rows.where("tab = 'digital' AND block = 'channel'").groupBy("workbook").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("a"), F.max("row").alias("b"))
-        out.append(say(own, "digital", "finding", None, lines("Rows ", c("a"), " to ", c("b"), " give ", c("n"), " channels."), AT_ROWS))
-        headed = self.layout.where("tab = 'digital' AND kind = 'field' AND block = 'overall'").select("workbook").distinct()
-        total = self.rows.where("tab = 'digital' AND block = 'overall'").where(S.slug(_get("t", "d:channel")) == "total_raised").select("workbook").distinct()
-        out.append(say(headed.join(total, "workbook", "left_anti"), "digital", "problem", "error", lines("“Total Raised” is missing below “Overall”, so there are no headline figures."), AT_OVERALL))
-        tables = self.rows.where("tab = 'paid'").groupBy("workbook", "block").agg(F.count(F.lit(1)).alias("n"))
-        out.append(say(tables, "paid", "finding", None, lines("The ", c("block"), " table has ", c("n"), " rows."), AT_ROWS))
-        blank = self.sound.where("tab = 'paid' AND block = 'detail'").groupBy("workbook").agg(F.count_if(_get("t", "d:channel").isNull() | _get("t", "d:placement").isNull()).alias("n")).where("n > 0")
-        out.append(say(blank, "paid", "problem", "warn", lines("Channel or placement is blank in ", c("n"), " detail rows."), AT_ROWS))
-        return reduce(DataFrame.unionByName, out)
+                named = F.transform("quarters", lambda p: lines("Q", p["quarter"], " ", p["year"]))
+                size = F.size("quarters")
+                say(own & (size == 1), "finding", None, lines("All dates lie in ", F.try_element_at(named, F.lit(1)), ", which is taken as the period."), AT_ROWS + 20)
+                say(own & (size == 1), "period", None, F.array_join(F.transform("quarters", lambda p: lines(p["year"], " ", p["quarter"])), ","), AT_ROWS + 20)
+                say(own & (size > 1), "problem", "warn", lines("The period is left open, as the dates lie in several quarters: ", F.array_join(named, ", "), "."), AT_ROWS + 20)
+                say(own & (size == 0), "problem", "warn", lines("The period is left open, as no date can be read."), AT_ROWS + 20)
+        digital, paid = c("tab") == "digital", c("tab") == "paid"
+        say(digital & (c("n_channel") > 0), "finding", None, lines("Rows ", c("a"), " to ", c("b"), " give ", c("n_channel"), " channels."), AT_ROWS)
+        say(digital & c("has_overall") & ~c("total_raised"), "problem", "error", lines("“Total Raised” is missing below “Overall”, so there are no headline figures."), AT_OVERALL)
+        for i, b in enumerate(("quarterly", "monthly", "detail")):
+            say(paid & (c(f"n_{b}") > 0), "finding", None, lines(f"The {b} table has ", c(f"n_{b}"), " rows."), AT_ROWS + i)
+        say(sound & paid & (c("no_place") > 0), "problem", "warn", lines("Channel or placement is blank in ", c("no_place"), " detail rows."), AT_ROWS)
+        say(sound & paid & c("chosen").isNotNull() & ~c("has_chosen"), "problem", "warn", lines("The quarterly table lacks Q", c("chosen"), "."), AT_SUMS + (1 << 50), "RC8")
+        return self.profile.select("workbook", "tab", F.explode(F.array_compact(F.array(*said))).alias("x")).select("workbook", "tab", "x.*")
 
     @cached_property
-    def problems(self) -> DataFrame:
-        """Rows of PROBLEM; emit_ord orders those of a workbook."""
+    def told(self) -> DataFrame:
+        """Problems, findings and derived periods of all workbooks: (kind, workbook, tab, level, rule_id, text, sections, cells, more_cells, at)."""
         c = F.col
-        order = self.spark.createDataFrame([(t.name, i) for i, t in enumerate(TABS)], "tab string, tab_ord int")
-        none = lambda rows: rows.select("workbook", "tab", "level", "rule_id", "text", F.array().cast("array<string>").alias("sections"), F.array().cast("array<string>").alias("cells"), F.lit(0).alias("more_cells"), "at")
-        said = self.layout.where("kind = 'problem'").select("workbook", "tab", c("field").alias("level"), F.lit("RC13").alias("rule_id"), c("txt").alias("text"), c("ord").cast("long").alias("at"))
-        seen = self.facts.where("kind = 'problem'").select("workbook", "tab", "level", F.lit("RC13").alias("rule_id"), "text", c("at").cast("long").alias("at"))
-        off = self.sums.select("workbook", "tab", "level", "rule_id", "text", (F.lit(AT_SUMS).cast("long") + c("o1").cast("long") * 4096 + c("o2")).alias("at"))
-        flags = self.checked.where("n_bad > 0").select(
-            "workbook", "tab", F.lit("flag").alias("level"), "rule_id", F.concat("label", F.lit(" is not "), "means", F.lit(" in "), "n_bad", F.lit(" of "), "n_checked", F.lit(" cells of "), "place", F.lit(".")).alias("text"),
-            "sections", "cells", F.greatest(F.lit(0), c("n_bad") - MAX_CELLS).cast("int").alias("more_cells"), (AT_CHECKS + c("check_ord")).cast("long").alias("at"),
+        texts = F.array().cast("array<string>")
+        common = lambda rows: rows.select("kind", "workbook", "tab", "level", "rule_id", "text", texts.alias("sections"), texts.alias("cells"), F.lit(0).alias("more_cells"), c("at").cast("long").alias("at"))
+        laid = self.layout.where("kind IN ('problem', 'finding')").select("kind", "workbook", "tab", c("field").alias("level"), F.lit("RC13").alias("rule_id"), c("txt").alias("text"), c("ord").alias("at"))
+        off = self.sums.withColumn("kind", F.lit("problem"))
+        bad = c("n_bad") > 0
+        flags = self.checked.select(
+            F.when(bad, "problem").otherwise("finding").alias("kind"), "workbook", "tab", F.when(bad, "flag").alias("level"), "rule_id",
+            F.when(bad, F.concat("label", F.lit(" is not "), "means", F.lit(" in "), "n_bad", F.lit(" of "), "n_checked", F.lit(" cells of "), "place", F.lit(".")))
+            .otherwise(F.concat("label", F.lit(" holds in "), "n_checked", F.lit(" cells"), "found", F.lit("."))).alias("text"),
+            F.when(bad, c("sections")).otherwise(texts).alias("sections"), F.coalesce("cells", texts).alias("cells"),
+            F.greatest(F.lit(0), c("n_bad") - MAX_CELLS).cast("int").alias("more_cells"), (AT_CHECKS + c("check_ord")).cast("long").alias("at"),
         )
-        # a digital tab that lacks its headline row, which the rows tell, is not reconciled either
-        lost = seen.where("tab = 'digital' AND level = 'error'").select("workbook", "tab")
-        later = none(off).unionByName(flags).join(lost, ["workbook", "tab"], "left_anti")
-        all_ = none(said.unionByName(seen)).unionByName(later)
-        return all_.join(F.broadcast(order), "tab").withColumn("emit_ord", c("tab_ord").cast("long") * (1 << 48) + c("at")).select(*[x.strip().split(" ")[0] for x in PROBLEM.split(",")])
+        return common(laid).unionByName(common(self.facts)).unionByName(common(off)).unionByName(flags)
+
+    @cached_property
+    def problems(self) -> DataFrame:
+        """Rows of PROBLEM; emit_ord orders those of a workbook."""
+        rank = F.element_at(F.create_map(*[F.lit(x) for i, t in enumerate(TABS) for x in (t.name, i)]), F.col("tab"))
+        return self.told.where("kind = 'problem'").withColumn("emit_ord", rank.cast("long") * (1 << 56) + F.col("at")).select(*[x.strip().split(" ")[0] for x in PROBLEM.split(",")])
 
     @cached_property
     def findings(self) -> DataFrame:
         """(workbook, tab, text, at): what was found in order."""
-        c = F.col
-        said = self.layout.where("kind = 'finding'").select("workbook", "tab", c("txt").alias("text"), c("ord").cast("long").alias("at"))
-        seen = self.facts.where("kind = 'finding'").select("workbook", "tab", "text", c("at").cast("long").alias("at"))
-        held = self.checked.where("n_bad = 0").select("workbook", "tab", F.concat("label", F.lit(" holds in "), "n_checked", F.lit(" cells"), "found", F.lit(".")).alias("text"), (AT_CHECKS + c("check_ord")).cast("long").alias("at"))
-        return said.unionByName(seen).unionByName(held)
+        return self.told.where("kind = 'finding'").select("workbook", "tab", "text", "at")
 
     @property
     def published(self) -> DataFrame:
@@ -344,13 +369,6 @@ class Reports:
         tabs = self.layout.where("kind = 'tab'").select("workbook", "tab")
         return tabs.join(self.problems.where("level = 'error'").select("workbook", "tab").distinct(), ["workbook", "tab"], "left_anti")
 
-    @cached_property
-    def periods(self) -> DataFrame:
-        """(workbook, tab, year, quarter) of tabs whose dates all lie in one quarter."""
-        spec = FLAT["high_dollar"]
-        own = flat_detail(self.sound, spec).where("date IS NOT NULL").groupBy("workbook").agg(F.min(F.struct("year", "quarter")).alias("a"), F.max(F.struct("year", "quarter")).alias("b"))
-        return own.where("a = b").select("workbook", F.lit(spec.name).alias("tab"), "a.year", "a.quarter")
-
     # --- figures -----------------------------------------------------------------------------------------------
 
     @cached_property
@@ -360,15 +378,14 @@ class Reports:
         for spec in FLAT.values():
             d = flat_detail(self.sound, spec)
             slices = F.map_from_entries(F.array_compact(F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.lit(s).alias("key"), F.col(s).alias("value"))) for s in spec.slices])))
-            parts.append(d.select("workbook", "tab", "row", "month_key", "month", slices.alias("slices"), "n"))
+            parts.append(d.select("workbook", "tab", "row", "month_key", "month", slices.alias("slices"), "n", "metrics", "series"))
         return reduce(DataFrame.unionByName, parts)
 
     @cached_property
     def values(self) -> DataFrame:
         """(workbook, tab, row, month_key, month, slices, metric_key, value) of the additive metrics of the flat tabs."""
-        own = self.detail.join(self._metrics, ["workbook", "tab"])
-        one = own.withColumn("metric_key", F.explode(F.transform(F.filter("metrics", lambda m: S.is_additive(m["kind"])), lambda m: m["key"])))
-        return one.select("workbook", "tab", "row", "month_key", "month", "slices", "metric_key", _get("n", F.concat(F.lit("m:"), F.col("metric_key"))).alias("value"))
+        one = self.detail.withColumn("metric_key", F.explode(F.transform(_additive(), lambda m: m["key"])))
+        return one.select("workbook", "tab", "row", "month_key", "month", "slices", "series", "metric_key", _get("n", F.concat(F.lit("m:"), F.col("metric_key"))).alias("value"))
 
     def rollup(self) -> DataFrame:
         """(workbook, tab, level, month_key, metric_key, value, row_count): by month and in all, with every ratio rebuilt from its sums."""
@@ -378,7 +395,7 @@ class Reports:
         both = both.where("at.level = 'total' OR at.month_key <> ''").select("workbook", "tab", "at.level", "at.month_key", "metric_key", "value")
         sums = both.groupBy(*by, "metric_key").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("row_count"))
         maps = sums.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("metric_key", "value"))).alias("v"), F.max("row_count").alias("row_count"))
-        ratios = maps.join(self._metrics, ["workbook", "tab"]).withColumn("m", F.explode(F.filter("metrics", lambda m: ~S.is_additive(m["kind"]))))
+        ratios = maps.join(self._shape, ["workbook", "tab"]).withColumn("m", F.explode(F.filter("metrics", lambda m: ~S.is_additive(m["kind"]))))
         at = lambda k: F.try_element_at(c("v"), c(f"m.{k}"))
         ratios = ratios.select(*by, c("m.key").alias("metric_key"), S.ratio(at("numerator"), at("denominator")).alias("value"), "row_count")
         return sums.unionByName(ratios)
@@ -387,8 +404,7 @@ class Reports:
         """(workbook, tab, slice_type, slice_value, metric_key, month_key, period_ord, step, running_total) over every month of a tab."""
         from ..operators.series import series
 
-        wanted = self.layout.where("kind = 'series' AND tab <> 'paid'").select("workbook", "tab", F.col("key").alias("metric_key"))
-        own = self.values.where("month_key <> ''").join(wanted, ["workbook", "tab", "metric_key"])
+        own = self.values.where("month_key <> ''").where(F.array_contains("series", F.col("metric_key")))
         cut = F.concat(F.array(F.struct(F.lit("all").alias("key"), F.lit("all").alias("value"))), F.map_entries("slices"))
         own = own.withColumn("s", F.explode(cut)).select("workbook", "tab", "month_key", "month", "row", "metric_key", "value", F.col("s.key").alias("slice_type"), F.col("s.value").alias("slice_value"))
         key = ["workbook", "tab", "slice_type", "slice_value", "metric_key"]

@@ -88,12 +88,14 @@ def _reports(reports: Reports, layout: list, named: str | None = None) -> Iterat
     of = lambda rows, b: [r for r in rows if r["workbook"] == b]
     only = books[0] if len(books) == 1 else None
     for book in books:
-        mine = lambda rows: rows if only else rows.where(F.col("workbook") == book)
-        problems = sorted(mine(reports.problems).collect(), key=lambda r: r["emit_ord"])
-        findings, lists, periods = mine(reports.findings).collect(), mine(reports.lists()).collect(), mine(reports.periods).collect()
+        mine = lambda rows: rows if only else rows.where(F.col("workbook") == book)  # noqa: E731, B023
+        told = sorted(mine(reports.told).collect(), key=lambda r: r["at"])
+        lists = mine(reports.lists()).collect()
+        problems, findings, periods = ([r for r in told if r["kind"] == k] for k in ("problem", "finding", "period"))
         rows, channels = mine(reports.rows), mine(reports.channel_period)
         own = of(layout, book)
-        report = Report(reports.spark, named or book, mine(reports.source), findings=[f"Workbook has {mine(reports.cells).where('kind = \'sheet\'').count()} tab(s)."])
+        n = next(int(r["num"]) for r in own if r["kind"] == "tab")
+        report = Report(reports.spark, named or book, mine(reports.source), findings=[f"Workbook has {n} tab(s)."])
         for spec in TABS:
             pick = lambda x: [r for r in x if r["tab"] == spec.name]  # noqa: E731, B023
             report.tabs[spec.name] = tab_of(reports, spec.name, pick(own), pick(problems), pick(findings), pick(lists), next(iter(pick(periods)), None), rows, channels)
@@ -108,7 +110,8 @@ def build(spark: SparkSession, cells: DataFrame, workbook: str) -> Report:
         held.append(rows.cache())
         return held[-1]
 
-    reports = Reports(keep(cells, "cells"), keep)
+    cells = keep(cells, "cells")
+    reports = Reports(cells, keep, one=True)
     layout = reports.layout.collect()  # of one workbook: a few rows for each column of its tabs
     if len({r["workbook"] for r in layout}) > 1:
         raise ValueError("these cells are of several workbooks; load_all makes a report of each")

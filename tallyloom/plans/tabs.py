@@ -142,6 +142,7 @@ def tab_of(reports: Reports, name: str, layout: Sequence[Row], problems: Sequenc
         paid_tables(tab, own, fields, keys)
     else:
         if not FLAT[name].labelled_period:
-            tab.meta = {k: period and period[k] for k in ("year", "quarter")}
+            year, quarter = period["text"].split(" ") if period else (None, None)
+            tab.meta = {"year": year and float(year), "quarter": quarter and float(quarter)}
         flat_tables(tab, FLAT[name], own, fields, keys)
     return tab
