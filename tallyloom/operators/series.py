@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 
 def _window(by: Sequence[str], order: str):
     return W.partitionBy(*[F.col(b) for b in by]).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
@@ -36,6 +38,30 @@ def series(rows: DataFrame, value: str, by: Sequence[str], order: str, policy: s
     return out
 
 
+def long_series(rows: DataFrame, value: str, by: Sequence[str], order: str, policy: str, partitions: int | None = None) -> DataFrame:
+    """As `series`, for series of any length: one series runs in many tasks.
+
+    Rows are dealt out by ranges of (by, order). A series' total before each of its ranges comes from the ranges' own totals, at most one row for
+    each range; inside a range it runs as usual. A missing value does not move the total, so the null policies need no more than that. Rows of one
+    series with equal order stand in one range. A null key is a series of its own.
+    """
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(rows.repartitionByRange(n, *by, order).withColumn("__range", F.spark_partition_id()), "series")
+    own = F.coalesce(F.col(value), F.lit(0))
+    key = [*by, "__range"]
+    totals = placed.groupBy(*key).agg(F.sum(own).alias("__own"))
+    earlier = W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.coalesce(F.sum("__own").over(earlier), F.lit(0)).alias("__before"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+    both = placed.join(before, same)
+    total = F.col("__before") + F.sum(own).over(_window(key, order))
+    if policy not in ("pending", "carry", "zero"):
+        raise ValueError(f"no null policy {policy!r}")
+    pending = F.col(value).isNull() if policy == "pending" else F.lit(False)
+    out = both.withColumn("running_total", F.when(~pending, total)).withColumn("step", own if policy == "zero" else F.col(value)).withColumn("pending", pending)
+    return out.drop("__range", "__before", *[f"__k{i}" for i in range(len(key))])
+
+
 def dense(sums: DataFrame, periods: DataFrame, categories: DataFrame, on: Sequence[str]) -> DataFrame:
     """Every category gets every period, as the chart it feeds shows it.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
+from ..operators.ordinal import ordinals
 from ..operators import compare, reconcile, rollup, series
 from ..operators.catalog import Catalog, Metric
 
@@ -519,3 +520,21 @@ def running_lineage_prefix(spark, d):
 def hero_figures(spark, d):
     t = table(spark, d, "orders").agg(S.exact_sum("o_totalprice").alias("raised"), F.count(F.lit(1)).alias("n_donations"))
     return t.withColumn("average", F.try_divide("raised", "n_donations"))
+
+
+@query("""SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place
+ FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS o_totalprice FROM orders)""")
+def leaderboard_places(spark, d):
+    """The place of each order by its price, those without one last; no task sees more than its range."""
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("o_totalprice"))
+    return ordinals(o, [F.desc_nulls_last("o_totalprice")], "o_orderkey", "place")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS step,
+ CASE WHEN o_orderstatus <> 'P' THEN CAST(sum(CASE WHEN o_orderstatus <> 'P' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) OVER (ORDER BY o_orderkey) AS DOUBLE) END AS running_total,
+ o_orderstatus = 'P' AS pending FROM orders""")
+def running_total_long(spark, d):
+    """One series over all orders, in as many tasks as there are ranges."""
+    o = table(spark, d, "orders").select(F.lit("all").alias("series"), "o_orderkey", F.when(F.col("o_orderstatus") != "P", S.money("o_totalprice")).alias("v"))
+    r = series.long_series(o, "v", ["series"], "o_orderkey", "pending")
+    return r.select("o_orderkey", F.col("step").cast("double").alias("step"), F.col("running_total").cast("double").alias("running_total"), "pending")
