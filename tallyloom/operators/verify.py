@@ -179,68 +179,83 @@ def flat(tab: Tab, unique: str | None = None, required: Sequence[str] = (), unre
     return _all(out)
 
 
-CLAIM = "path string, cell string, kind string, num double, txt string"
+#: Levels of nesting that a snapshot may have.
+DEPTH = 8
+_TOTALS = {"step_cells": "running_total", "goal_cells": "cum_goal", "actual_cells": "cum_actual"}
 
 
-def claims(snapshot: dict) -> list[tuple]:
-    """Every statement of a snapshot about a cell: (path, cell, kind, num, txt).
+def leaves(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Every scalar of JSON documents, opened level by level in Spark: (doc, parent, key, kind, num, txt); an element of a list has no key.
 
-    `x` beside `x_cell`, or `value` beside `cell`, is a value; `x_formula` or `formula` is that cell's formula; a running total beside its
-    list of cells is their sum. Snapshots are as large as a page.
+    documents: (path, document). A list or object below `depth` levels is a leaf of kind "deep".
     """
-    out: list[tuple] = []
+    spark = documents.sparkSession
+    c = F.col
+    level = documents.select(c("path").alias("doc"), F.lit("").alias("at"), F.try_parse_json("document").alias("v"))
+    out = []
+    for i in range(depth):
+        kids = level.lateralJoin(spark.tvf.variant_explode(c("v").outer()))
+        here = F.when(c("key").isNotNull(), F.concat("at", F.lit("."), "key")).otherwise(F.concat("at", F.lit("["), c("pos").cast("string"), F.lit("]")))
+        kids = kids.select("doc", c("at").alias("parent"), "key", "value", here.alias("here"), F.schema_of_variant("value").alias("is"))
+        nested = c("is").startswith("OBJECT") | c("is").startswith("ARRAY")
+        kind = F.when(nested, "deep").when(c("is") == "BOOLEAN", "flag").when(c("is") == "STRING", "text").otherwise("number")
+        number = F.when(c("is") == "BOOLEAN", F.try_variant_get("value", "$", "boolean").cast("double")).when(kind == "number", F.try_variant_get("value", "$", "double"))
+        text = F.when(c("is") == "STRING", F.try_variant_get("value", "$", "string"))
+        flat = kids if i == depth - 1 else kids.where(~nested)
+        out.append(flat.select("doc", "parent", "key", kind.alias("kind"), number.alias("num"), text.alias("txt")))
+        level = kids.where(nested).select("doc", c("here").alias("at"), c("value").alias("v"))
+    return _all(out)
 
-    def one(path: str, cell, value) -> None:
-        if isinstance(value, bool):
-            out.append((path, cell, "flag", float(value), None))
-        elif value is None or isinstance(value, (int, float)):
-            out.append((path, cell, "number", None if value is None else float(value), None))
-        else:
-            out.append((path, cell, "text", None, str(value)))
-
-    def walk(node, path: str) -> None:
-        if isinstance(node, list):
-            for i, x in enumerate(node):
-                walk(x, f"{path}[{i}]")
-        if not isinstance(node, dict):
-            return
-        for k, v in node.items():
-            stem = "value" if k == "cell" else k.removesuffix("_cell") if k.endswith("_cell") else None
-            if stem in node and isinstance(v, str):
-                one(f"{path}.{stem}", v, node[stem])
-                formula = node.get("formula" if k == "cell" else f"{stem}_formula")
-                if formula is not None:
-                    out.append((f"{path}.{stem}", v, "formula", None, formula))
-            total = {"step_cells": "running_total", "goal_cells": "cum_goal", "actual_cells": "cum_actual"}.get(k)
-            if total and node.get(total) is not None:
-                out.append((f"{path}.{total}", ",".join(v), "sum", float(node[total]), None))
-            walk(v, f"{path}.{k}")
-
-    walk(snapshot, "")
-    return out
-
-
-def audit(snapshot: dict, cells: DataFrame) -> DataFrame:
-    """Statements of a snapshot that the sheet's cells do not bear out; cells: typed cells of the sheet that it names."""
-    spark = cells.sparkSession
-    said = spark.createDataFrame(claims(snapshot), CLAIM).withColumn("n", F.monotonically_increasing_id())
-    held = cells.select(F.col("ref").alias("cell"), F.col("num").alias("h_num"), F.col("txt").alias("h_txt"), F.col("flag").alias("h_flag"), F.col("formula").alias("h_formula"))
-    j = said.where("kind <> 'sum'").join(held, "cell", "left")
+
+def claims(documents: DataFrame) -> DataFrame:
+    """Every statement of snapshots about a cell: (doc, path, cell, kind, num, txt).
+
+    `x` beside `x_cell`, or `value` beside `cell`, is a value; `x_formula` or `formula` is that cell's formula; a running total beside its
+    list of cells is their sum, a row for each of them (kind "sum"). The keys of one object meet, never those of a document.
+    """
+    c = F.col
+    every = leaves(documents)
+    objects = every.where("key IS NOT NULL").groupBy("doc", "parent").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("kind", "num", "txt")))).alias("m"))
+    at = lambda k: F.try_element_at("m", k)
+    one = objects.withColumn("key", F.explode(F.filter(F.map_keys("m"), lambda k: (k == "cell") | k.endswith("_cell"))))
+    stem = F.when(c("key") == "cell", "value").otherwise(F.regexp_replace("key", "_cell$", ""))
+    one = one.withColumns({"stem": stem, "cell": at(c("key"))["txt"]}).where(F.map_contains_key("m", c("stem")) & c("cell").isNotNull())
+    one = one.withColumns({"said": at(c("stem")), "formula": at(F.when(c("key") == "cell", "formula").otherwise(F.concat("stem", F.lit("_formula"))))["txt"]})
+    path = F.concat("parent", F.lit("."), "stem")
+    values = one.select("doc", path.alias("path"), "cell", "said.kind", "said.num", "said.txt")
+    formulas = one.where("formula IS NOT NULL").select("doc", path.alias("path"), "cell", F.lit("formula").alias("kind"), F.lit(None).cast("double").alias("num"), c("formula").alias("txt"))
+    of = F.regexp_extract("parent", r"^(.*)\.(step_cells|goal_cells|actual_cells)$", 1), F.regexp_extract("parent", r"\.(step_cells|goal_cells|actual_cells)$", 1)
+    listed = every.where("key IS NULL AND kind = 'text'").select("doc", of[0].alias("parent"), of[1].alias("list"), c("txt").alias("cell")).where("list <> ''")
+    total = F.element_at(F.create_map(*[F.lit(x) for pair in _TOTALS.items() for x in pair]), c("list"))
+    sums = listed.join(objects, ["doc", "parent"]).select("doc", F.concat("parent", F.lit("."), total).alias("path"), "cell", F.lit("sum").alias("kind"), at(total)["num"].alias("num"), F.lit(None).cast("string").alias("txt"))
+    return _all([values, formulas, sums.where("num IS NOT NULL")])
+
+
+def audit(documents: DataFrame, cells: DataFrame) -> DataFrame:
+    """Statements of snapshots that their workbook's cells do not bear out, as (doc, check, subject, stored, expected).
+
+    documents: (path, document, workbook), any number; cells: typed cells of all those workbooks.
+    """
+    c = F.col
+    sheet = F.try_variant_get(F.try_parse_json("document"), "$.meta.sheet", "string")
+    books = documents.select(c("path").alias("doc"), "workbook", sheet.alias("sheet"))
+    said = claims(documents).join(books, "doc")
+    held = cells.select("workbook", "sheet", c("ref").alias("cell"), c("num").alias("h_num"), c("txt").alias("h_txt"), c("flag").alias("h_flag"), c("formula").alias("h_formula"))
+    j = said.join(held, ["workbook", "sheet", "cell"], "left")
     bound = F.greatest(F.lit(PROVENANCE), F.abs("num") * 1e-9)
-    kind = F.col("kind")
+    kind = c("kind")
     good = (
-        F.when(kind == "number", F.when(F.col("num").isNull(), F.col("h_num").isNull()).otherwise(S.near("h_num", "num", bound)))
-        .when(kind == "flag", F.coalesce("h_flag", F.lit(False)) == (F.col("num") != 0))
-        .when(kind == "formula", F.col("h_formula") == F.col("txt"))
-        .otherwise((F.col("h_txt") == F.trim("txt")) | (F.col("h_txt") == F.concat(F.trim("txt"), F.lit(":"))))  # a term's colon is not part of it
+        F.when(kind == "number", F.when(c("num").isNull(), c("h_num").isNull()).otherwise(S.near("h_num", "num", bound)))
+        .when(kind == "flag", F.coalesce("h_flag", F.lit(False)) == (c("num") != 0))
+        .when(kind == "formula", c("h_formula") == c("txt"))
+        .otherwise((c("h_txt") == F.trim("txt")) | (c("h_txt") == F.concat(F.trim("txt"), F.lit(":"))))  # a term's colon is not part of it
     )
-    bad = _named(j.where(~F.coalesce(good, F.lit(False))), "a cell holds what is said of it", F.concat_ws(" ", "path", "cell", "kind"), F.col("num"), F.col("h_num"))
-    one = said.where("kind = 'sum'").withColumn("cell", F.explode(F.split("cell", ","))).join(held, "cell", "left")
-    sums = one.groupBy("n", "path", "num").agg(F.sum(F.coalesce("h_num", F.lit(0.0))).alias("total"))
-    wrong = _named(sums.where(~S.near("total", "num", bound)), "cells add up to the running total", "path", F.col("num"), F.col("total"))
-    names = spark.createDataFrame([(snapshot.get("meta", {}).get("sheet"),)], "sheet string")
-    other = names.join(cells.select("sheet").distinct(), "sheet", "left_anti")
-    return _all([bad, wrong, _named(other, "the snapshot names its sheet", "sheet")])
+    told = lambda rows, check, subject, stored, expected: rows.select("doc", F.lit(check).alias("check"), subject.alias("subject"), stored.cast("double").alias("stored"), expected.cast("double").alias("expected"))
+    bad = told(j.where(kind != "sum").where(~F.coalesce(good, F.lit(False))), "a cell holds what is said of it", F.concat_ws(" ", "path", "cell", "kind"), c("num"), c("h_num"))
+    sums = j.where(kind == "sum").groupBy("doc", "path", "num").agg(F.sum(F.coalesce("h_num", F.lit(0.0))).alias("total"))
+    wrong = told(sums.where(~S.near("total", "num", bound)), "cells add up to the running total", c("path"), c("num"), c("total"))
+    other = books.join(cells.select("workbook", "sheet").distinct(), ["workbook", "sheet"], "left_anti")
+    return _all([bad, wrong, told(other, "the snapshot names its sheet", c("sheet"), F.lit(None), F.lit(None))])
 
 
 def provenance(claims: DataFrame, cells: DataFrame) -> DataFrame:

@@ -430,3 +430,16 @@ class Reports:
         parts.append(months.select("workbook", F.lit("digital").alias("tab"), F.lit("pending").alias("list"), "ord", c("period_key").alias("value")))
         return reduce(DataFrame.unionByName, parts)
 
+    def documents(self) -> DataFrame:
+        """(path, document, workbook): a JSON snapshot of each flat tab that may be published, for `sources.documents.publish`. A document holds what one tab holds."""
+        c = F.col
+        own = self.sound.where(c("tab").isin(*FLAT) & (c("block") == "detail")).join(self.published, ["workbook", "tab"]).withColumn("m", F.explode("metrics"))
+        place = F.concat(S.column_letters(F.try_element_at("cols", F.concat(F.lit("detail|m:"), c("m.key")))), c("row").cast("string"))
+        one = F.struct("row", c("m.key").alias("metric_key"), _get("n", F.concat(F.lit("m:"), c("m.key"))).alias("value"), place.alias("cell"))
+        metrics = own.groupBy("workbook", "tab").agg(F.array_sort(F.collect_list(one)).alias("metrics"))
+        figures = self.rollup().groupBy("workbook", "tab").agg(F.array_sort(F.collect_list(F.struct("level", "month_key", "metric_key", c("value").alias("figure"), "row_count"))).alias("rollup"))
+        sheet = self.layout.where("kind = 'tab'").select("workbook", "tab", "sheet")
+        whole = metrics.join(figures, ["workbook", "tab"]).join(sheet, ["workbook", "tab"])
+        document = F.to_json(F.struct(F.struct("sheet", c("workbook").alias("source_workbook")).alias("meta"), "metrics", "rollup"), {"ignoreNullFields": "false"})
+        path = F.concat(F.regexp_replace("workbook", "[^A-Za-z0-9._-]+", "_"), F.lit("/"), "tab", F.lit("-data.json"))
+        return whole.select(path.alias("path"), document.alias("document"), "workbook")

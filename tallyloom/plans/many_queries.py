@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
+from ..operators import verify
+from ..sources.documents import publish
+from ..sources.scratch import materialize, scratch_path
 from ..sources.workbook import cells_of, column_letters, column_number, to_files
 from .many import Reports
 from .queries import table
@@ -219,3 +221,22 @@ def wb_many_published(spark, d):
     r = _reports(spark, d)
     july = r.rows.where("tab = 'paid' AND block = 'monthly'").where(F.element_at("t", "d:label") == MONTHS[0]).select("workbook").distinct()
     return r.published.where("tab = 'p2p'").unionByName(r.published.where("tab = 'paid'").join(july, "workbook").select("workbook", "tab"))
+
+
+@query(f"""WITH {BASE_SQL}
+SELECT 'part' || k || '.xlsx' AS workbook, count(*) * 5 AS n_values,
+       CASE WHEN k % 10 = 0 THEN count(*) * 4 + count(*) FILTER (WHERE ntl <> 0) ELSE 0 END AS n_wrong
+FROM p WHERE k % 5 NOT IN (1, 3) GROUP BY k""")
+def wb_many_audit(spark, d):
+    """Snapshots of all workbooks, published together, read again and held against the cells, of which a tenth of the workbooks have others since."""
+    r = _reports(spark, d)
+    folder = scratch_path(spark, "snapshots")
+    docs = r.documents()
+    publish(docs, folder)
+    stored = spark.read.text(f"{folder}/*/*-data.json", wholetext=True).withColumnRenamed("value", "document")
+    stored = stored.select("document", F.get_json_object("document", "$.meta.source_workbook").alias("workbook")).withColumn("path", F.col("workbook"))
+    part = F.regexp_extract("workbook", "part([0-9]+)", 1).cast("int")
+    cells = r.cells.where("kind <> 'sheet'").withColumn("num", F.when(part % 10 == 0, F.col("num") * 1.01 + 1).otherwise(F.col("num")))
+    n = verify.claims(stored).groupBy(F.col("doc").alias("workbook")).agg(F.count(F.lit(1)).alias("n_values"))
+    wrong = verify.audit(stored, cells).groupBy(F.col("doc").alias("workbook")).agg(F.count(F.lit(1)).alias("n_wrong"))
+    return n.join(wrong, "workbook", "left").fillna(0, ["n_wrong"])

@@ -580,31 +580,38 @@ def _snapshots(spark, d: str) -> dict[str, str]:
 @query(f"""WITH {DIGITAL_SQL}, {P2P_SQL}, n AS (SELECT (SELECT count(*) FROM c) AS c, (SELECT count(*) FROM p) AS p, (SELECT count(*) FROM orders) AS o)
  SELECT 'digital' AS tab, 12 * c + 12 + 3 * c + 1 AS n_values, 0 AS n_wrong FROM n UNION ALL SELECT 'p2p', 7 * p, 0 FROM n""")
 def wb_audit(spark, d):
-    """Every statement of the written snapshots about a cell, against the cells."""
-    r, out = _report(spark, d), []
-    for name, path in _snapshots(spark, d).items():
-        if name in ("digital", "p2p"):
-            with open(path) as f:
-                snapshot = json.load(f)
-            cells = typed(r.cells.where(F.col("sheet") == snapshot["meta"]["sheet"]))
-            n = sum(1 for c in verify.claims(snapshot) if c[2] in ("number", "flag", "text"))
-            out.append((name, n, verify.audit(snapshot, cells).count()))
-    return spark.createDataFrame(out, "tab string, n_values bigint, n_wrong bigint")
+    """Every statement of the written snapshots about a cell, against the cells, all snapshots at once."""
+    r = _report(spark, d)
+    docs = _documents(spark, d, "digital", "p2p")
+    n = verify.claims(docs).where("kind IN ('number', 'flag', 'text')").groupBy("doc").agg(F.count(F.lit(1)).alias("n_values"))
+    wrong = verify.audit(docs, typed(r.cells)).groupBy("doc").agg(F.count(F.lit(1)).alias("n_wrong"))
+    return n.join(wrong, "doc", "left").select(F.col("doc").alias("tab"), "n_values", F.coalesce("n_wrong", F.lit(0)).alias("n_wrong"))
+
+
+def _book(spark, d: str) -> str:
+    return _report(spark, d).cells.select("workbook").first()["workbook"]
+
+
+def _documents(spark, d: str, *tabs: str) -> DataFrame:
+    """(path, document, workbook) of written snapshots, named by their tab."""
+    paths, book = _snapshots(spark, d), F.lit(_book(spark, d)).alias("workbook")
+    parts = [spark.read.text(paths[t], wholetext=True).select(F.lit(t).alias("path"), F.col("value").alias("document"), book) for t in tabs]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(f"WITH {PAID_SQL}, n AS (SELECT count(*) AS n FROM det) SELECT 'a cell holds what is said of it' AS \"check\", 9 * n + 1 AS n FROM n UNION ALL SELECT 'cells add up to the running total', 12 UNION ALL SELECT 'the snapshot names its sheet', 1")
 def wb_audit_twin(spark, d):
-    """A snapshot with other figures, another term's text and another sheet's name: each is found."""
-    with open(_snapshots(spark, d)["paid"]) as f:
-        s = json.load(f)
+    """A snapshot with other figures and another term's text, and one with another sheet's name: each is found."""
+    s = json.loads(_documents(spark, d, "paid").first()["document"])
     for x in s["detail_metrics"]:
         x["value"] = (x["value"] or 0) * 1.01 + 1  # beyond the bound, which grows with the value
     for x in s["monthly_series"]:
         x["running_total"] = x["running_total"] * 1.01 + 1
     s["definitions"][0]["text"] = "something else"
-    s["meta"]["sheet"] = "Another"
-    cells = typed(_report(spark, d).cells.where("sheet = 'Paid Media Report'"))
-    return verify.audit(s, cells).groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+    other = {"meta": {"sheet": "Another"}}
+    docs = spark.createDataFrame([("paid", json.dumps(s), _book(spark, d)), ("other", json.dumps(other), _book(spark, d))], "path string, document string, workbook string")
+    wrong = verify.audit(docs, typed(_report(spark, d).cells))
+    return wrong.groupBy("check").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {P2P_SQL} SELECT 'P2P Statistics' AS sheet, 'report.xlsx' AS source_workbook, sum(gross_spend) AS gross_spend, count(*) AS n_rows, true AS has_build_time FROM p")

@@ -50,11 +50,14 @@ def test_audit_and_guard(spark, tmp_path):
     r = build(spark, cells_of(spark, wb.everything()), "x")
     paths = r.write(str(tmp_path), paths={"paid": str(tmp_path / "elsewhere" / "pm.json")})
     assert any(p.endswith("elsewhere/pm.json") for p in paths)
-    for p in paths[:2]:
-        s = json.loads(open(p).read())
-        assert s["meta"]["built_at"].endswith("+00:00")
-        cells = typed(r.cells.where(F.col("sheet") == s["meta"]["sheet"]))
-        assert len(verify.claims(s)) > 50 and verify.audit(s, cells).count() == 0
+    docs = spark.createDataFrame([(p, open(p).read(), "x.xlsx") for p in paths], "path string, document string, workbook string")
+    assert all(json.loads(open(p).read())["meta"]["built_at"].endswith("+00:00") for p in paths)
+    cells = typed(r.cells)
+    said = {x["doc"]: x["n"] for x in verify.claims(docs).groupBy("doc").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(said) == 5 and min(said.values()) > 50
+    assert verify.audit(docs, cells).count() == 0
+    other = verify.audit(docs, cells.withColumn("num", F.col("num") * 2 + 1)).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    assert {x["doc"] for x in other.collect()} == set(paths)
     clean, leaky, filled = tmp_path / "a.html", tmp_path / "b.html", tmp_path / "c.html"
     clean.write_text("<script>let DATA = null; const x = {a: 1}; /* quarter_to_date */</script>")
     leaky.write_text('<script>let DATA = null; load({"quarter_to_date": []})</script>')
@@ -66,6 +69,18 @@ def test_audit_and_guard(spark, tmp_path):
     r.close()
 
 
+def test_claims_of_nested_documents(spark):
+    """Pairs at any depth, flags, texts, blanks, formulas, lists of cells; no pair across objects; what is nested too deep is told."""
+    text = '{"a": {"goal": 1.5, "goal_cell": "B2", "goal_formula": "=A1", "x": [{"value": null, "cell": "C3"}, {"value": true, "cell": "D4"}]}, "term": "NTL", "term_cell": "F4", "cell": "Z9", "s": {"step_cells": ["A1", "A2"], "running_total": 7}}'
+    docs = spark.createDataFrame([("d", text), ("bad", "no json"), ("none", None), ("list", '[{"value": 2, "cell": "A1"}]')], "path string, document string")
+    got = sorted(tuple(r) for r in verify.claims(docs).select("doc", "path", "cell", "kind").collect())
+    assert got == [
+        ("d", ".a.goal", "B2", "formula"), ("d", ".a.goal", "B2", "number"), ("d", ".a.x[0].value", "C3", "number"), ("d", ".a.x[1].value", "D4", "flag"),
+        ("d", ".s.running_total", "A1", "sum"), ("d", ".s.running_total", "A2", "sum"), ("d", ".term", "F4", "text"), ("list", "[0].value", "A1", "number"),
+    ]
+    assert verify.leaves(docs, 2).where("kind = 'deep'").count() > 0 and verify.leaves(docs).where("kind = 'deep'").count() == 0
+
+
 def test_one_workbook_for_a_report(spark, tmp_path):
     import pytest
 
