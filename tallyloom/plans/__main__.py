@@ -1,4 +1,4 @@
-"""python -m tallyloom.plans WORKBOOK FOLDER [--lenient]: snapshots of a workbook's tabs. Exit 1: errors; 2: no such file."""
+"""python -m tallyloom.plans WORKBOOK FOLDER [--lenient] [--path TAB=FILE ...]: snapshots of a workbook's tabs. Exit 1: errors; 2: no such file."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from ..session import ship
 from ..sources.workbook import WorkbookError
+from .layout import TABS
 from .report import Refused, load
 
 
@@ -18,7 +19,11 @@ def main() -> int:
     p.add_argument("workbook")
     p.add_argument("folder")
     p.add_argument("--lenient", action="store_true", help="write the tabs without errors even if others have some")
+    p.add_argument("--path", action="append", default=[], metavar="TAB=FILE", help="where the snapshot of a tab goes, in place of the folder")
     a = p.parse_args()
+    paths = dict(x.split("=", 1) for x in a.path if "=" in x)
+    if len(paths) < len(a.path) or set(paths) - {t.name for t in TABS}:
+        p.error("--path takes TAB=FILE, with one of " + ", ".join(t.name for t in TABS))
     if "://" not in a.workbook and not os.path.exists(a.workbook):
         print(f"no such file: {a.workbook}", file=sys.stderr)
         return 2
@@ -27,7 +32,7 @@ def main() -> int:
     try:
         report = load(spark, a.workbook)
         print("\n".join(report.log()))
-        print("\n".join(report.write(a.folder, strict=not a.lenient)))
+        print("\n".join(report.write(a.folder, strict=not a.lenient, paths=paths)))
     except (Refused, WorkbookError) as e:
         print(e, file=sys.stderr)
         return 1

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..operators import reconcile
 from ..operators.reconcile import PROBLEM
+from ..sources.documents import publish
 from ..sources.scratch import materialize
-from ..sources.snapshots import write_snapshot
+from ..sources.snapshots import snapshot
 from ..sources.workbook import read_cells
 from .layout import NAMES, TABS, of_workbook
 from .many import Reports
@@ -69,17 +70,16 @@ class Report:
         return out
 
     def write(self, folder: str, strict: bool = True, paths: dict[str, str] | None = None) -> list[str]:
-        """A JSON snapshot of each tab, in the folder or where `paths` says for a tab. strict: any error, and nothing is written; else tabs with errors are left out."""
+        """A JSON snapshot of each tab, in the folder or where `paths` says for a tab, all published together or none. strict: any error, and nothing is written; else tabs with errors are left out."""
         if strict and self.counts["error"]:
             raise Refused("; ".join(p["text"] for t in self.tabs.values() for p in t.problems if p["level"] == "error"))
-        out = []
+        out = {}
         for name, t in self.shown.items():
-            path = (paths or {}).get(name) or f"{folder}/{name.replace('_', '-')}-data.json"
             meta = {**t.meta, "sheet": t.sheet, "source_workbook": self.workbook, "built_at": datetime.now(UTC).isoformat(timespec="seconds")}
             parts = {"meta": meta, **{k: v for k, v in t.tables.items()}, **t.lists, "findings": t.findings, "problems": t.problems}
-            write_snapshot(path, parts)
-            out.append(path)
-        return out
+            out[(paths or {}).get(name) or f"{folder}/{name.replace('_', '-')}-data.json"] = snapshot(parts)
+        publish(self.spark.createDataFrame(list(out.items()), "path string, document string"), folder)
+        return list(out)
 
 
 def _reports(reports: Reports, layout: list, named: str | None = None) -> Iterator[Report]:

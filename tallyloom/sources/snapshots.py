@@ -9,11 +9,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_snapshot(path: str, parts: dict[str, DataFrame | dict | list]) -> None:
+def snapshot(parts: dict[str, DataFrame | dict | list]) -> str:
     """One pretty-printed document. Its tables are report-sized: they feed a page."""
     out = {k: [r.asDict(recursive=True) for r in v.collect()] if isinstance(v, DataFrame) else v for k, v in parts.items()}
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(out, indent=2, default=str, ensure_ascii=False))
+    return json.dumps(out, indent=2, default=str, ensure_ascii=False)
 
 
 def without_data(artifact: str, snapshots: list[str]) -> None:

@@ -15,6 +15,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import batched
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
@@ -148,9 +149,15 @@ def _value(kind: str, raw: str | None, inline: ET.Element | None, shared: list[s
 def sheet_cells(xml: bytes, shared: list[str]) -> Iterator[tuple]:
     """(row, col, ref, kind, number, text, flag, formula) of each cell with a value or a formula."""
     masters: dict[str, tuple[str, str]] = {}
-    for _, c in ET.iterparse(io.BytesIO(xml)):
+    table = None
+    for event, c in ET.iterparse(io.BytesIO(xml), ("start", "end")):
+        if event == "start":
+            table = c if c.tag == MAIN + "sheetData" else table
+            continue
         if c.tag == MAIN + "row":
             c.clear()
+            if table is not None:
+                table.clear()  # rows that are done leave nothing behind
         if c.tag != MAIN + "c" or not c.get("r"):
             continue
         ref = c.get("r")
@@ -190,15 +197,24 @@ def plain_path(path: str) -> str:
     return re.sub("^file:/+", "/", path)
 
 
+#: Cells of a frame: a sheet of any size goes on in frames of this many.
+FRAME = 50_000
+
+
+def frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Parsed rows as frames of a bounded size, as they come."""
+    for some in batched(rows, FRAME):
+        yield pd.DataFrame(some, columns=columns).astype({"v_bool": "boolean", "v_num": "float64"})
+
+
 def cells_of(files: DataFrame) -> DataFrame:
     """All cells of workbooks given as (path, content). A workbook is named by its whole path; a file that is no workbook fails the query."""
 
-    def run(frames):
+    def run(files):
         names = [x.strip().split(" ")[0] for x in CELLS.split(",")]
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                rows = pd.DataFrame(list(parse(bytes(content), plain_path(name))), columns=names)
-                yield rows.astype({"v_bool": "boolean", "v_num": "float64"})
+        for some in files:
+            for name, content in zip(some["path"], some["content"], strict=True):
+                yield from frames(parse(bytes(content), plain_path(name)), names)
 
     return files.select("path", "content").mapInPandas(run, CELLS)
 

@@ -45,3 +45,38 @@ def test_scans_are_pruned(spark):
     assert "Expand" in sets and sets.count("FileScan parquet") == 2
     for name in QUERIES:
         assert "Python" not in plan(name) and "CartesianProduct" not in plan(name), name
+
+
+def test_a_refused_version_changes_nothing(spark, tmp_path):
+    """Good, then broken and unreadable ones, then a better and an older one: the figures are always those of the last good version."""
+    from pyspark.sql import functions as F
+
+    from tallyloom.streaming.landing import DECIDED, reload, standing
+
+    folder, table, log = tmp_path / "in", str(tmp_path / "decided"), str(tmp_path / "log")
+
+    def arrives(version, at, sheets):
+        (folder / version).mkdir(parents=True)
+        path = folder / version / "report.xlsx"
+        path.write_bytes(sheets if isinstance(sheets, bytes) else wb.workbook(sheets))
+        os.utime(path, (at, at))
+        reload(spark, str(folder / "*"), table, log).awaitTermination()
+        decided = spark.read.schema(DECIDED).parquet(table)
+        cells = standing(read_cells(spark, str(folder / version) if version == "v1" else str(folder / "v[15]")), decided)
+        assert cells.select("workbook").distinct().count() == 1
+        return {r["path"].split("/")[-2]: r for r in decided.collect()}, cells.where("ref = 'D5'").first()["v_num"]
+
+    good = wb.high_dollar()
+    _, amount = arrives("v1", 1_000_000_000, {"High-Dollar Donations": good})
+    assert amount == 1500
+    (folder / "v5").mkdir()  # for the pattern of paths
+    told, amount = arrives("v2", 1_000_000_100, {"High-Dollar Donations": {"A1": "nothing"}})
+    assert amount == 1500 and not told["v2"]["accepted"] and "No header row" in told["v2"]["reason"] and told["v2"]["current"].endswith("v1/report.xlsx")
+    told, amount = arrives("v3", 1_000_000_200, b"PK no workbook")
+    assert amount == 1500 and "directory" in told["v3"]["reason"]
+    (folder / "v5").rmdir()
+    told, amount = arrives("v5", 1_000_000_300, {"High-Dollar Donations": {**good, "D5": 99.0}})
+    assert amount == 99 and told["v5"]["accepted"]
+    told, amount = arrives("v6", 1_000_000_050, {"High-Dollar Donations": good})
+    assert amount == 99 and "newer" in told["v6"]["reason"]
+    assert F is not None and len(told) == 5

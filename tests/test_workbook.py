@@ -171,3 +171,77 @@ def test_snapshots(spark, report, tmp_path):
     high = json.loads((tmp_path / "high-dollar-data.json").read_text())
     assert high["quarter_to_date"][0]["amount"] == 29500 and high["meta"]["quarter"] == 3
     assert read_snapshot(spark, out[0]).count() == 1
+
+
+def test_frames_are_bounded(spark, tmp_path, monkeypatch):
+    """A sheet goes on in frames of FRAME cells, whatever its size; finished rows leave the tree."""
+    from tallyloom.sources import workbook as w
+
+    body = "".join(f'<row r="{i}"><c r="A{i}"><v>{i}</v></c><c r="B{i}" t="inlineStr"><is><t>x</t></is></c></row>' for i in range(1, 3001))
+    data = wb.workbook({"S": body})
+    monkeypatch.setattr(w, "FRAME", 1000)
+    sizes = [len(f) for f in w.frames(w.parse(data, "x"), [x.strip().split(" ")[0] for x in w.CELLS.split(",")])]
+    assert max(sizes) == 1000 and sum(sizes) == 6001
+    (tmp_path / "s.xlsx").write_bytes(data)
+    assert read_cells(spark, str(tmp_path / "s.xlsx")).where("kind = 'number'").count() == 3000
+
+
+def test_anchors_at_the_edge(spark):
+    """A heading in row 200 is found, with its header below; one in row 201 is not."""
+    for shift, found in ((188, True), (189, False)):
+        moved = {}
+        for ref, v in wb.digital().items():
+            letters_, row = ref.rstrip("0123456789"), int(ref[len(ref.rstrip("0123456789")) :])
+            moved[f"{letters_}{row + shift if row >= 12 else row}"] = v
+        t = build(spark, cells_of(spark, {"Digital Report": moved}), "x").tabs["digital"]
+        # the overall row lies below the depth of the search in both
+        assert ("channel_period" in t.tables) == found and any("Quarterly Toplines" in p["text"] for p in t.problems) != found
+
+
+def test_a_write_is_whole_or_not_at_all(spark, report, tmp_path, monkeypatch):
+    from tallyloom.sources import documents
+
+    out = report.write(str(tmp_path / "a"), paths={"paid": str(tmp_path / "b" / "pm.json")})
+    before = {p: open(p).read() for p in out}
+    put, calls = documents._put, []
+
+    def fails(uri, text):
+        calls.append(uri)
+        if documents.STAGED in uri and len(calls) > 2:
+            raise OSError("disk full")
+        put(uri, text)
+
+    monkeypatch.setattr(documents, "_put", fails)
+    writer = documents.DocumentWriter(str(tmp_path / "a"))
+    with pytest.raises(OSError, match="disk full"):
+        writer.write(iter([{"path": p, "document": "new"} for p in out]))
+    writer.abort([])
+    assert {p: open(p).read() for p in out} == before and not [p for p in (tmp_path / "a").iterdir() if p.name.startswith(documents.STAGED)]
+
+
+def test_reports_of_many(spark):
+    """Workbooks with other months, metrics, faults and missing tabs in one plan; each as if it were alone."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    from tallyloom.plans.many import Reports
+    from tallyloom.sources.workbook import CELLS
+
+    odd = wb.everything()
+    odd["Paid Media Report"]["F18"] = 1.0
+    odd["Digital Report"]["E15"] = 0.99
+    books = {"a": wb.everything(), "b": {"P2P Statistics": wb.p2p()[0]}, "c": {"X": {"A1": 1}}, "d": odd, "e": {"High-Dollar Donations": wb.high_dollar(), "Email Statistics": wb.email()}}
+    parts = [spark.createDataFrame(list(parse(wb.workbook(s), k)), CELLS) for k, s in books.items()]
+    many = Reports(reduce(DataFrame.unionByName, parts))
+    problems = sorted((r["workbook"], r["tab"], r["level"], r["rule_id"], r["text"], tuple(r["cells"])) for r in many.problems.collect())
+    alone = []
+    for (k, _), cells in zip(books.items(), parts, strict=True):
+        r = build(spark, cells, k)
+        alone += [(k, p["tab"], p["level"], p["rule_id"], p["text"], tuple(p["cells"])) for t in r.tabs.values() for p in t.problems]
+        r.close()
+    assert problems == sorted(alone)
+    assert {(r["workbook"], r["tab"]) for r in many.published.collect()} >= {("a", "paid"), ("b", "p2p"), ("d", "p2p"), ("e", "high_dollar")}
+    assert ("d", "paid") not in {(r["workbook"], r["tab"]) for r in many.published.collect()}
+    got = {(r["workbook"], r["metric_key"]): r["value"] for r in many.rollup().where("level = 'total' AND tab = 'p2p'").collect()}
+    assert got["a", "gross_spend"] == got["b", "gross_spend"] == sum(r[3] for r in wb.p2p()[1])
