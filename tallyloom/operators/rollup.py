@@ -54,8 +54,8 @@ def monthly(rows: DataFrame, metrics: Catalog, key: str = "month_key", label: st
 
 def year_to_date(rows: DataFrame, metrics: Catalog) -> DataFrame:
     """Sums start at 0 here, so that nothing reported is 0."""
-    zero = lambda c: F.coalesce(exact_sum(c), F.lit(0.0))
-    return rollup(rows, [], metrics, total=zero)
+    made = [F.coalesce(exact_sum(m.key, m.kind), F.lit(0.0)).alias(m.key) for m in metrics.additive]
+    return with_ratios(rows.agg(*made, F.count(F.lit(1)).alias("row_count")), metrics)
 
 
 def long_rollup(values: DataFrame, by: Sequence[str], with_lineage: bool = False) -> DataFrame:

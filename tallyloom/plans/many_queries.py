@@ -7,8 +7,12 @@ without a row, columns that lie elsewhere. All reports come out of one plan (`ma
 
 from __future__ import annotations
 
+import io
+import zipfile
 from functools import reduce
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import verify
 from ..sources.documents import publish
 from ..sources.scratch import materialize, scratch_path
-from ..sources.workbook import cells_of, column_letters, column_number, to_files
+from ..sources.workbook import cells_of, cells_or_problems, column_letters, column_number, to_files
 from .many import Reports
 from .queries import table
 from .workbook_queries import MONTHS, _cell, _when
@@ -240,3 +244,55 @@ def wb_many_audit(spark, d):
     n = verify.claims(stored).groupBy(F.col("doc").alias("workbook")).agg(F.count(F.lit(1)).alias("n_values"))
     wrong = verify.audit(stored, cells).groupBy(F.col("doc").alias("workbook")).agg(F.count(F.lit(1)).alias("n_wrong"))
     return n.join(wrong, "workbook", "left").fillna(0, ["n_wrong"])
+
+
+# Files by another hand than `workbook_bytes`: 50 customers each; every fourth has another fault.
+FOREIGN_SQL = """f AS (
+  SELECT *, CAST(c_custkey // 50 AS INT) AS file, CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) AS INT) AS row FROM customer)"""
+
+
+def _foreign(file: int, rows: list[tuple]) -> bytes:
+    """Stored parts, no relations (or none that helps), inline, rich and formula strings, entities, ISO dates; a broken file for each residue but 0."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    body, items = [], []
+    for row, name, balance, segment in rows:
+        seen = escape(f"{segment} & <{name}>").replace("U", "&#85;")
+        items.append(f"<si><r><t>rich </t></r><r><rPr><b/></rPr><t>{seen}</t></r><rPh sb='0' eb='1'><t>never</t></rPh></si>")
+        body.append(
+            f'<row r="{row}"><c r="A{row}" t="inlineStr"><is><t>{seen}</t></is></c><c r="B{row}" t="str"><f>A{row}&amp;&quot;!&quot;</f><v>{escape(name)}!</v></c>'
+            f'<c r="C{row}" t="s"><v>{row - 1}</v></c><c r="D{row}" t="d"><v>2026-08-03</v></c><c r="E{row}"><v>{balance!r}</v></c><c r="F{row}"/></row>'
+        )
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        if file % 4 != 1:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}"><sheets><sheet name="R&amp;D" sheetId="9"/></sheets></workbook>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(body)}</sheetData></worksheet>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{"".join(items)}</sst>')
+        if file % 4 == 2:
+            z.writestr("EncryptedPackage", "x")
+    data = out.getvalue()
+    return b"a,b" + data if file % 4 == 3 else data
+
+
+@query(f"""WITH {FOREIGN_SQL}, g AS (SELECT *, c_mktsegment || ' & <' || c_name || '>' AS seen FROM f WHERE file % 4 = 0)
+SELECT 'f' || file AS workbook, 'R&D' AS sheet, col || row AS ref, kind, v_str, v_num, formula, NULL AS problem
+FROM g, LATERAL (VALUES ('A', 'string', seen, NULL::DOUBLE, NULL), ('B', 'string', c_name || '!', NULL, '=A' || row || '&"!"'), ('C', 'string', 'rich ' || seen, NULL, NULL),
+  ('D', 'number', NULL, 46237::DOUBLE, NULL), ('E', 'number', NULL, c_acctbal, NULL)) v(col, kind, v_str, v_num, formula)
+UNION ALL SELECT 'f' || file, NULL, NULL, 'problem', NULL, NULL, NULL,
+  CASE file % 4 WHEN 1 THEN 'This file has no workbook part.' WHEN 2 THEN 'This workbook is encrypted.' ELSE 'This is not an .xlsx file.' END
+FROM (SELECT DISTINCT file FROM f WHERE file % 4 <> 0)""")
+def wb_foreign_cells(spark, d):
+    """Files that our own writer does not make, and files that are refused, each with its reason."""
+    c = F.col
+    own = table(spark, d, "customer").withColumn("file", F.expr("c_custkey div 50"))
+    own = own.withColumn("row", F.row_number().over(W.partitionBy("file").orderBy("c_custkey"))).select("file", "row", "c_name", "c_acctbal", "c_mktsegment")
+
+    def make(frame: pd.DataFrame) -> pd.DataFrame:
+        file = int(frame["file"].iloc[0])
+        rows = frame.sort_values("row")[["row", "c_name", "c_acctbal", "c_mktsegment"]]
+        return pd.DataFrame({"path": [f"f{file}"], "content": [_foreign(file, list(rows.itertuples(index=False, name=None)))]})
+
+    files = own.groupBy("file").applyInPandas(make, "path string, content binary")
+    cells = cells_or_problems(files)
+    none = F.lit(None).cast("string")
+    return cells.where("kind <> 'sheet'").select("workbook", c("sheet"), F.when(c("kind") != "problem", c("ref")).otherwise(none).alias("ref"), "kind", "v_str", "v_num", "formula", "problem")

@@ -219,6 +219,23 @@ def cells_of(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, CELLS)
 
 
+def cells_or_problems(files: DataFrame) -> DataFrame:
+    """As `cells_of`, but a file that is no workbook gives one row of kind "problem" that says why, and fails nothing."""
+
+    def run(files):
+        names = [x.strip().split(" ")[0] for x in CELLS.split(",")] + ["problem"]
+        for some in files:
+            for name, content in zip(some["path"], some["content"], strict=True):
+                workbook = plain_path(name)
+                try:  # a file is taken whole or not at all, so its frames wait for its end
+                    made = list(frames(((*r, None) for r in parse(bytes(content), workbook)), names))
+                except WorkbookError as e:
+                    made = list(frames([(workbook, None, 0, 0, 0, None, "problem", None, None, None, None, str(e))], names))
+                yield from made
+
+    return files.select("path", "content").mapInPandas(run, f"{CELLS}, problem string")
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """All cells of the workbooks at path (a file, a folder or a pattern)."""
     return cells_of(spark.read.format("binaryFile").load(path))
