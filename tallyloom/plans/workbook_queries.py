@@ -572,6 +572,51 @@ def wb_verified_twin(spark, d):
     return found.select("check").distinct()
 
 
+@query("""SELECT * FROM (VALUES ('percent is actual over goal'), ('months sum to the quarter'), ('channels sum to overall actual'), ('channels sum to overall goal'),
+ ('average donation is raised over donations'), ('a helper holds its month''s goal'), ('helpers sum to the quarter''s goal')) v("check")""")
+def wb_digital_twin(spark, d):
+    """A digital tab that was tampered with: a month's actuals, a total's goal and mean, a helper. Each check finds its fault."""
+    from copy import copy
+
+    tab = copy(_report(spark, d).tabs["digital"])
+    t = tab.tables = dict(tab.tables)
+    more = lambda x: F.col(x) * 1.01 + 1
+    table_ = t["channel_period"]
+    july = (F.col("block") == "channel") & (F.col("period_key") == "july")
+    table_ = table_.withColumn("actual", F.when(july, more("actual")).otherwise(F.col("actual")))
+    total = table_.where("block = 'overall' AND period_key = 'quarter'").limit(1)
+    goal = table_.where("block = 'channel' AND period_key = 'quarter'").agg(F.sum("goal").alias("g")).select((F.col("g") * 1.01 + 1).alias("goal"))
+    own = table_.columns
+    first = table_.where("block = 'overall'").withColumn("goal", F.lit(None).cast("double"))
+    stated = total.drop("goal").crossJoin(goal).select(*own)
+    rows = [table_.where("block = 'channel'"), first.where("period_key <> 'quarter'"), stated]
+    for name, value in (("Total Donations", 10.0), ("Average Donation", 1.0)):
+        rows.append(total.withColumn("channel", F.lit(name)).withColumn("actual", F.lit(value)).withColumn("goal", F.lit(None).cast("double")))
+    t["channel_period"] = reduce(DataFrame.unionByName, rows)
+    t["helpers"] = t["helpers"].withColumn("value", more("value"))
+    return verify.digital(tab).select("check").distinct()
+
+
+@query("""SELECT * FROM (VALUES ('year_to_date: gross_cpa is rebuilt'), ('gross_cpa is blank over zero'), ('quarterly: total raised is at most its parts'), ('monthly: total raised is at most its parts'),
+ ('detail: total raised is at most its parts'), ('detail rows sum to their month'), ('a detail month has a monthly row'), ('a month has detail rows'), ('a detail row names its month, channel and placement'),
+ ('months sum to the chosen quarter'), ('the quarter''s return holds for its months'), ('names are counted once in the chosen quarter, so its total is below its parts')) v("check")""")
+def wb_paid_twin(spark, d):
+    """A paid tab that was tampered with in its year, quarters, months and rows. Each check finds its fault."""
+    from copy import copy
+
+    tab = copy(_report(spark, d).tabs["paid"])
+    t = tab.tables = dict(tab.tables)
+    parts = F.col("immediate_raised") + F.col("lifetime_raised")
+    t["year_to_date"] = t["year_to_date"].withColumn("gross_cpa", F.col("gross_cpa") * 1.01 + 1)
+    # one quarter raises what its parts do, the others more
+    t["quarterly"] = t["quarterly"].withColumn("total_raised", F.when(F.col("quarter") == 3, parts).otherwise(parts * 1.01 + 1))
+    t["monthly"] = t["monthly"].withColumn("total_raised", parts * 1.01 + 1).withColumn("label", F.when(F.col("label") == "August", "Augst").otherwise(F.col("label")))
+    first = F.col("row") == t["detail"].agg(F.min("row")).first()[0]
+    broken = {"ntl": F.when(first, 0.0).otherwise(F.col("ntl")), "gross_cpa": F.when(first, 5.0).otherwise(F.col("gross_cpa")), "channel": F.when(~first, F.col("channel")), "total_raised": parts * 1.01 + 1}
+    t["detail"] = t["detail"].withColumns(broken)
+    return verify.paid(tab).select("check").distinct()
+
+
 def _snapshots(spark, d: str) -> dict[str, str]:
     r = _report(spark, d)
     return dict(zip(r.shown, r.write(_folder(spark)), strict=True))
