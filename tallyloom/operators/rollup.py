@@ -1,7 +1,7 @@
 """Rollups: additive metrics are summed, ratios are rebuilt from the sums and never averaged.
 
-One grouped pass does all levels (GROUPING SETS); sums are partial before the shuffle. Lineage, the ordered
-list of cells behind a figure, is optional, as it grows with the group.
+One grouped pass does all levels (GROUPING SETS); sums are partial before the shuffle. Lineage, the cells behind a
+figure, is optional; it is kept as runs of cells (`lineage`), which grow with a group's gaps and not with its rows.
 """
 
 from __future__ import annotations
@@ -13,12 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import exact_sum, ratio
 from .catalog import Catalog
-
-
-def ordered_cells(order: str, cell: str) -> Column:
-    """Cells of a group in the order of their rows."""
-    present = F.when(F.col(cell).isNotNull(), F.struct(F.col(order), F.col(cell).alias("cell")))
-    return F.transform(F.array_sort(F.collect_list(present)), lambda x: x["cell"])
+from .lineage import gathered, runs
 
 
 def sums(metrics: Catalog, total=None) -> list[Column]:
@@ -59,11 +54,15 @@ def year_to_date(rows: DataFrame, metrics: Catalog) -> DataFrame:
 
 
 def long_rollup(values: DataFrame, by: Sequence[str], with_lineage: bool = False) -> DataFrame:
-    """Over long metrics (row, metric_key, value, cell): the canonical form for an open set of metrics."""
-    out = [F.sum("value").alias("value"), F.count(F.lit(1)).alias("row_count")]
-    if with_lineage:
-        out.append(ordered_cells("row", "cell").alias("cells"))
-    return values.groupBy(*by, "metric_key").agg(*out)
+    """Over long metrics (metric_key, value, cell): the canonical form for an open set of metrics. with_lineage: adds `runs`."""
+    keys = [*by, "metric_key"]
+    summed = values.groupBy(*keys).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("row_count"))
+    if not with_lineage:
+        return summed
+    own = gathered(runs(values, keys), keys)
+    own = own.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "runs")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return summed.join(own, same, "left").select(*keys, "value", "row_count", F.coalesce("runs", F.array().cast(own.schema["runs"].dataType)).alias("runs"))
 
 
 def rebuilt_ratios(summed: DataFrame, by: Sequence[str], catalog: DataFrame) -> DataFrame:
@@ -71,18 +70,18 @@ def rebuilt_ratios(summed: DataFrame, by: Sequence[str], catalog: DataFrame) ->
 
     catalog (metric_key, numerator, denominator) has a row for each column of a report; it is broadcast.
     """
-    lineage = "cells" in summed.columns
+    lineage = "runs" in summed.columns
     maps = [F.map_from_entries(F.collect_list(F.struct("metric_key", "value"))).alias("v")]
     if lineage:
-        maps.append(F.map_from_entries(F.collect_list(F.struct("metric_key", "cells"))).alias("c"))
+        maps.append(F.map_from_entries(F.collect_list(F.struct("metric_key", "runs"))).alias("c"))
     groups = summed.groupBy(*by).agg(*maps) if by else summed.agg(*maps)
     wanted = F.broadcast(catalog.where("numerator IS NOT NULL").select("metric_key", "numerator", "denominator"))
     pairs = groups.crossJoin(wanted)
     at = lambda m, k: F.try_element_at(F.col(m), F.col(k))
     out = [F.col(b) for b in by] + [F.col("metric_key"), ratio(at("v", "numerator"), at("v", "denominator")).alias("value")]
     if lineage:
-        empty = F.array().cast("array<string>")
-        out.append(F.concat(F.coalesce(at("c", "numerator"), empty), F.coalesce(at("c", "denominator"), empty)).alias("cells"))
+        empty = F.array().cast(summed.schema["runs"].dataType)
+        out.append(F.concat(F.coalesce(at("c", "numerator"), empty), F.coalesce(at("c", "denominator"), empty)).alias("runs"))
     return pairs.select(*out)
 
 

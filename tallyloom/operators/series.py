@@ -29,16 +29,16 @@ def running(value: str, by: Sequence[str], order: str, policy: str) -> Column:
 
 
 def series(rows: DataFrame, value: str, by: Sequence[str], order: str, policy: str, lineage: str | None = None) -> DataFrame:
-    """Adds step, running_total and pending; with `lineage` (a column of cells) the growing list of cells up to each point."""
+    """Adds step, running_total and pending; with `lineage` (a column of cells) step_cell and n_cells, how many cells stand up to each point (`lineage.prefix_cells` lists them)."""
     step = F.coalesce(F.col(value), F.lit(0)) if policy == "zero" else F.col(value)
     out = rows.withColumn("running_total", running(value, by, order, policy)).withColumn("step", step)
     out = out.withColumn("pending", F.col(value).isNull() if policy == "pending" else F.lit(False))
     if lineage:
-        out = out.withColumn("step_cells", F.collect_list(lineage).over(_window(by, order)))
+        out = out.withColumn("n_cells", F.count(lineage).over(_window(by, order))).withColumn("step_cell", F.col(lineage))
     return out
 
 
-def long_series(rows: DataFrame, value: str, by: Sequence[str], order: str, policy: str, partitions: int | None = None) -> DataFrame:
+def long_series(rows: DataFrame, value: str, by: Sequence[str], order: str, policy: str, partitions: int | None = None, lineage: str | None = None) -> DataFrame:
     """As `series`, for series of any length: one series runs in many tasks.
 
     Rows are dealt out by ranges of (by, order). A series' total before each of its ranges comes from the ranges' own totals, at most one row for
@@ -49,9 +49,9 @@ def long_series(rows: DataFrame, value: str, by: Sequence[str], order: str, poli
     placed = materialize(rows.repartitionByRange(n, *by, order).withColumn("__range", F.spark_partition_id()), "series")
     own = F.coalesce(F.col(value), F.lit(0))
     key = [*by, "__range"]
-    totals = placed.groupBy(*key).agg(F.sum(own).alias("__own"))
+    totals = placed.groupBy(*key).agg(F.sum(own).alias("__own"), F.count(lineage or F.lit(None)).alias("__cells"))
     earlier = W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    before = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.coalesce(F.sum("__own").over(earlier), F.lit(0)).alias("__before"))
+    before = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.coalesce(F.sum("__own").over(earlier), F.lit(0)).alias("__before"), F.coalesce(F.sum("__cells").over(earlier), F.lit(0)).alias("__held"))
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
     both = placed.join(before, same)
     total = F.col("__before") + F.sum(own).over(_window(key, order))
@@ -59,7 +59,9 @@ def long_series(rows: DataFrame, value: str, by: Sequence[str], order: str, poli
         raise ValueError(f"no null policy {policy!r}")
     pending = F.col(value).isNull() if policy == "pending" else F.lit(False)
     out = both.withColumn("running_total", F.when(~pending, total)).withColumn("step", own if policy == "zero" else F.col(value)).withColumn("pending", pending)
-    return out.drop("__range", "__before", *[f"__k{i}" for i in range(len(key))])
+    if lineage:
+        out = out.withColumn("n_cells", F.col("__held") + F.count(lineage).over(_window(key, order))).withColumn("step_cell", F.col(lineage))
+    return out.drop("__range", "__before", "__held", *[f"__k{i}" for i in range(len(key))])
 
 
 def dense(sums: DataFrame, periods: DataFrame, categories: DataFrame, on: Sequence[str]) -> DataFrame:

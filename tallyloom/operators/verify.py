@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from ..plans.tabs import Tab
 from .compare import set_difference
+from .lineage import cells_of
 
 CHECK = "check string, subject string, stored double, expected double"
 MONEY, RATIO, PROVENANCE = 0.02, 1e-6, 0.005
@@ -267,8 +268,8 @@ def provenance(claims: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def computed_provenance(lineage: DataFrame, cells: DataFrame, additive: Sequence[str]) -> DataFrame:
-    """Sums (month_key, metric_key, value, cells) that their cited cells do not add up to."""
-    one = lineage.where(F.col("metric_key").isin(*additive)).withColumn("cell", F.explode("cells"))
+    """Sums (month_key, metric_key, value, runs) that their cited cells do not add up to."""
+    one = lineage.where(F.col("metric_key").isin(*additive)).withColumn("cell", F.explode(cells_of("runs")))
     held = cells.select(F.col("ref").alias("cell"), F.col("num").alias("held"))
     sums = one.join(held, "cell", "left").groupBy("month_key", "metric_key", "value").agg(F.sum("held").alias("total"))
     return _fail(sums, "cited cells add up", F.concat_ws(" ", "month_key", "metric_key"), "value", "total", PROVENANCE)

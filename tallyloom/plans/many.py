@@ -400,6 +400,15 @@ class Reports:
         ratios = ratios.select(*by, c("m.key").alias("metric_key"), S.ratio(at("numerator"), at("denominator")).alias("value"), "row_count")
         return sums.unionByName(ratios)
 
+    def lineage(self) -> DataFrame:
+        """(workbook, tab, month_key, metric_key, col, first, last): the runs of cells behind each additive figure of a month."""
+        from ..operators.lineage import runs
+
+        own = self.layout.where("kind = 'field' AND block = 'detail' AND key LIKE 'm:%'").select("workbook", "tab", F.expr("substring(key, 3)").alias("metric_key"), S.column_letters("col").alias("letters"))
+        cells = self.values.where("month_key <> ''").join(own, ["workbook", "tab", "metric_key"])
+        by = ["workbook", "tab", "month_key", "metric_key"]
+        return runs(cells.select(*by, F.concat("letters", F.col("row").cast("string")).alias("cell")), by)
+
     def series(self) -> DataFrame:
         """(workbook, tab, slice_type, slice_value, metric_key, month_key, period_ord, step, running_total) over every month of a tab."""
         from ..operators.series import series

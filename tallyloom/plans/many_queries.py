@@ -155,6 +155,21 @@ def wb_many_rollup(spark, d):
     return _reports(spark, d).rollup().select("workbook", "level", "month_key", "metric_key", "value", "row_count")
 
 
+@query(f"""WITH {BASE_SQL},
+u AS (
+  SELECT k, month_key, row, c.metric_key, c.col
+  FROM p, LATERAL (VALUES ('gross_spend', 'D'), ('ntl', 'E'), ('immediate_raised', 'G'), ('donors', 'H')) c(metric_key, col)
+  WHERE k % 5 NOT IN (1, 3)),
+i AS (SELECT *, row - row_number() OVER (PARTITION BY k, month_key, metric_key ORDER BY row) AS island FROM u)
+SELECT 'part' || k || '.xlsx' AS workbook, month_key, metric_key, col || min(row) || ':' || col || max(row) AS cells, count(*) AS n_cells
+FROM i GROUP BY k, month_key, metric_key, col, island""")
+def wb_many_lineage(spark, d):
+    """The cells behind every monthly figure of all P2P tabs, as runs."""
+    r = _reports(spark, d).lineage().where("tab = 'p2p'")
+    ref = lambda at: F.concat("col", F.col(at).cast("string"))
+    return r.select("workbook", "month_key", "metric_key", F.concat(ref("first"), F.lit(":"), ref("last")).alias("cells"), (F.col("last") - F.col("first") + 1).alias("n_cells"))
+
+
 @query(f"""WITH {BASE_SQL},
 u AS (
   SELECT k, topic, month_key, row, metric_key, value

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..operators.ordinal import ordinals
-from ..operators import compare, reconcile, rollup, series
+from ..operators import compare, lineage, reconcile, rollup, series
 from ..operators.catalog import Catalog, Metric
 
 PAID = Catalog(
@@ -129,11 +129,25 @@ def rollup_count_amount(spark, d):
     return rollup.rollup(e, ["category"], AMOUNT)
 
 
+def _status_cells(spark, d) -> DataFrame:
+    """Orders as cells of one column, by status."""
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.lit("raised").alias("metric_key"), S.money("o_totalprice").alias("value"), F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("cell"))
+
+
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(count(*) AS INT) AS n_cells, count(DISTINCT o_orderkey) AS n_rows FROM orders GROUP BY 1")
 def rollup_lineage_count(spark, d):
-    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.lit("raised").alias("metric_key"), F.col("o_orderkey").alias("row"), F.col("o_totalprice").alias("value"), F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("cell"))
-    r = rollup.long_rollup(o, ["month"], with_lineage=True)
-    return r.select("month", F.size("cells").alias("n_cells"), F.col("row_count").alias("n_rows"))
+    r = rollup.long_rollup(_status_cells(spark, d), ["month"], with_lineage=True)
+    return r.select("month", lineage.n_cells("runs").cast("int").alias("n_cells"), F.col("row_count").alias("n_rows"))
+
+
+@query("""WITH i AS (SELECT o_orderstatus AS status, o_orderkey AS k, o_orderkey - row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS island FROM orders)
+ SELECT status, 'T' || min(k) || ':T' || max(k) AS cells, count(*) AS n_cells FROM i GROUP BY status, island""")
+def lineage_runs(spark, d):
+    """The orders of each status as runs of adjacent keys; a status of a third of all rows is found in chunks."""
+    r = lineage.runs(_status_cells(spark, d), ["status"])
+    at = lambda c: F.concat("col", F.col(c).cast("string"))
+    return r.select("status", F.concat(at("first"), F.lit(":"), at("last")).alias("cells"), (F.col("last") - F.col("first") + 1).alias("n_cells"))
 
 
 def _goal_actual(spark, d) -> DataFrame:
@@ -513,7 +527,7 @@ def channel_sum_per_period(spark, d):
 @query(f"WITH {GOAL_SQL} SELECT channel, month, CAST(count(*) {_W} AS INT) AS n_cells FROM ga")
 def running_lineage_prefix(spark, d):
     rows = _goal_actual(spark, d).withColumn("cell", F.concat_ws("!", "channel", "month"))
-    return series.series(rows, "goal", ["channel"], "month", "carry", "cell").select("channel", "month", F.size("step_cells").alias("n_cells"))
+    return series.series(rows, "goal", ["channel"], "month", "carry", "cell").select("channel", "month", F.col("n_cells").cast("int").alias("n_cells"))
 
 
 @query("""WITH t AS (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS raised, count(*) AS n FROM orders) SELECT raised, n AS n_donations, CASE WHEN n <> 0 THEN raised / n END AS average FROM t""")

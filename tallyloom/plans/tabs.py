@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from ..operators import rollup, series
 from ..operators.catalog import Catalog, Metric
+from ..operators.lineage import prefix_cells
 from ..sources.workbook import column_letters
 from .layout import FLAT, FlatSpec
 from .many import Reports, flat_detail
@@ -54,7 +55,7 @@ def long_metrics(rows: DataFrame, columns: dict[str, int], prefix: str = "m", na
 
 
 def lineage(tab: Tab) -> DataFrame:
-    """(month_key, metric_key, value, cells) of a flat tab: each monthly figure with the cells behind it, in order."""
+    """(month_key, metric_key, value, runs) of a flat tab: each monthly figure with the runs of cells behind it, a ratio's numerator first."""
     long = tab.tables["metrics_long"].join(tab.tables["detail"].select("row", "month_key"), "row")
     summed = rollup.long_rollup(long.where(F.col("metric_key").isin(*[m.key for m in tab.catalog.additive])), ["month_key"], with_lineage=True)
     return summed.drop("row_count").unionByName(rollup.rebuilt_ratios(summed, ["month_key"], tab.tables["metric_catalog"]))
@@ -92,8 +93,9 @@ def digital_tables(tab: Tab, table: DataFrame, rows: DataFrame, fields: dict[str
     monthly = table.where("block = 'channel' AND period_key <> 'quarter'")
     # keyed by row, so that channels of one name keep a series each
     by = ["row", "channel"]
-    goal = series.series(monthly, "goal", by, "period_ord", "carry", "goal_cell").select(*by, "period_key", "period_ord", F.col("running_total").alias("cum_goal"), F.col("step_cells").alias("goal_cells"))
-    actual = series.series(monthly, "actual", by, "period_ord", "pending", "actual_cell").select(*by, "period_key", F.col("running_total").alias("cum_actual"), "pending", F.col("step_cells").alias("actual_cells"))
+    with_cells = lambda value, policy: prefix_cells(series.series(monthly, value, by, "period_ord", policy, f"{value}_cell"), by)  # noqa: E731  a channel has as many periods as the sheet has columns
+    goal = with_cells("goal", "carry").select(*by, "period_key", "period_ord", F.col("running_total").alias("cum_goal"), F.col("step_cells").alias("goal_cells"))
+    actual = with_cells("actual", "pending").select(*by, "period_key", F.col("running_total").alias("cum_actual"), "pending", F.col("step_cells").alias("actual_cells"))
     tab.tables["series"] = goal.join(actual, [*by, "period_key"])
     helpers = {k[2:]: c for k, c in fields["channel"].items() if k.startswith("h:")}
     if helpers:
@@ -113,7 +115,8 @@ def paid_tables(tab: Tab, rows: DataFrame, fields: dict[str, dict[str, int]], ke
     tab.tables["year_to_date"] = rollup.rollup(tab.tables["quarterly"], [], tab.catalog, total=plain)
     for k in ("quarterly", "monthly"):
         long = tab.tables[f"{k}_metrics"].where(F.col("metric_key").isin(*keys))
-        tab.tables[f"{k}_series"] = series.series(long, "value", ["metric_key"], "row", "carry", "cell")
+        # a document lists the cells; the rows of these blocks are few
+        tab.tables[f"{k}_series"] = prefix_cells(series.series(long, "value", ["metric_key"], "row", "carry", "cell"), ["metric_key"]).drop("n_cells", "step_cell")
 
 
 def tab_of(reports: Reports, name: str, layout: Sequence[Row], problems: Sequence[Row], findings: Sequence[Row], lists: Sequence[Row], period: Row | None, rows: DataFrame, channel_period: DataFrame) -> Tab:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import discover, verify
 from ..operators.discover import Sheet, typed
+from ..operators.lineage import cells_of as spelled
 from ..sources.snapshots import read_snapshot
 from ..sources.workbook import CELLS, cells_of, read_cells, split_ref, to_files
 from .queries import table
@@ -385,7 +386,7 @@ def wb_p2p_series(spark, d):
  s AS (SELECT month_key, metric_key, sum(value) AS value, string_agg(cell, ',' ORDER BY row) AS cells FROM u GROUP BY 1, 2)
  SELECT * FROM s UNION ALL SELECT a.month_key, r.k, CASE WHEN b.value <> 0 THEN a.value / b.value END, a.cells || ',' || b.cells FROM (VALUES ('gross_cpa', 'gross_spend', 'ntl'), ('average_gift', 'immediate_raised', 'donors')) r(k, x, y) JOIN s a ON a.metric_key = r.x JOIN s b ON b.metric_key = r.y AND b.month_key = a.month_key""")
 def wb_p2p_lineage(spark, d):
-    return lineage(_report(spark, d).tabs["p2p"]).select("month_key", "metric_key", "value", F.array_join("cells", ",").alias("cells"))
+    return lineage(_report(spark, d).tabs["p2p"]).select("month_key", "metric_key", "value", F.array_join(spelled("runs"), ",").alias("cells"))
 
 
 _MONTH_SQL = "strftime(date, '%B %Y') AS month"
