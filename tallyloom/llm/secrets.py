@@ -7,11 +7,12 @@ counts that change by one character leaving and one entering:
     H = log2(w) - S / w,  S = sum of n * log2(n) over the counts n in the window.
 
 A class has its window and its least entropy. The span found runs from the first to the end of the last window that
-reaches it. Spans inside a fixed match, and candidates that the allow-list names (placeholders, examples,
-sequences), are left out.
+reaches it. The allow-list (placeholders, examples, sequences) suppresses the segment of a candidate in which it matches, that is, the signs
+up to the next of + / _ = -: no window that holds one of these counts, and the rest of the candidate is judged as ever. Spans inside a
+fixed match are left out.
 
-Defined results: a null text counts as empty; an empty text has no spans; places are code points; repeated rows are
-scanned each; an empty table gives an empty result; other columns are ignored.
+Defined results: a null text counts as empty; an empty text has no spans; a very long text is scanned whole, in one row; places are code points;
+repeated rows are scanned each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,20 +43,30 @@ class CharClass:
     least: float
 
 
-# A run of base-64 signs must mix lower case, upper case and digits, as keys do and words do not.
+_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+_AROUND = r"(?<![A-Za-z0-9+/_=-])", r"(?![A-Za-z0-9+/_=-])"
+# A run of base-64 signs must mix lower case, upper case and digits, as keys do and words do not; runs that lack one of the three have classes of
+# their own, with longer windows and an entropy that compound words and names in camel case do not reach.
 CLASSES = (
     CharClass("entropy_hex", r"(?<![A-Za-z0-9])(?=[0-9A-Fa-f]{24})(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]+(?![A-Za-z0-9])", "0123456789abcdef", 24, 3.0),
     CharClass(
         "entropy_base64",
-        r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]+",
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=",
+        _AROUND[0] + r"(?=[A-Za-z0-9+/_=-]{20})(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]+",
+        _BASE64,
         20,
         3.9,
     ),
+    CharClass("entropy_base32", _AROUND[0] + r"(?=[A-Z2-7]{24})(?=[A-Z]*[2-7])(?=[A-F2-7]*[G-Z])[A-Z2-7]+(?![A-Za-z0-9+/_-])", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24, 3.7),
+    CharClass("entropy_lower", _AROUND[0] + r"(?=[a-z0-9]{24})(?=[a-z]*[0-9])(?=[a-f0-9]*[g-z])[a-z0-9]+" + _AROUND[1], "abcdefghijklmnopqrstuvwxyz0123456789", 24, 3.8),
+    CharClass("entropy_letters", _AROUND[0] + r"(?=[A-Za-z]{24})(?=[a-z]*[A-Z])(?=[A-Z]*[a-z])[A-Za-z]+" + _AROUND[1], _BASE64[:52], 24, 4.15),
 )
 ALLOW = (r"(?i:example|sample|placeholder|changeme|dummy|redacted|your[_-]|xxxx|abcdefgh|01234567|12345678)", r"(.)\1{7}")
+#: Where a candidate's segments end.
+SEGMENT = r"(?<=[+/_=-])"
 #: Matches whose places are made at a time.
 CHUNK = 128
+#: In place of a sign's number in its alphabet.
+SUPPRESSED = -2
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,match:string>>"
 
 
@@ -102,17 +113,20 @@ def _n_log_n(n: Column) -> Column:
 def dense(candidate: Column, c: CharClass) -> Column:
     """The first window that reaches the class's entropy and the end of the last, or nulls.
 
-    The state holds the counts of the window and S; a step changes the count of the sign that comes and of the one that leaves.
+    The state holds the counts of the window and S, and how many signs in a row were not suppressed; a step changes the count of the sign that
+    comes and of the one that leaves. A suppressed sign has no count: windows with one are not judged, and it changes nothing when it leaves.
     """
-    text = F.lower(candidate) if c.alphabet == c.alphabet.lower() else candidate
-    signs = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.position(x, F.lit(c.alphabet)) - 1)
+    named = "|".join(f"(?:{p})" for p in ALLOW)
+    plain_text = (lambda x: F.lower(x)) if c.kind == "entropy_hex" else (lambda x: x)
+    places = lambda x: F.transform(F.filter(F.split(plain_text(x), ""), lambda y: y != ""), lambda y: F.position(y, F.lit(c.alphabet)) - 1)
+    signs = F.flatten(F.transform(F.split(candidate, SEGMENT, -1), lambda x: F.when(x.rlike(named), F.array_repeat(F.lit(SUPPRESSED), F.length(x))).otherwise(places(x))))
     limit = c.window * (log2(c.window) - c.least) + 1e-9
 
     def over(s: Column) -> Column:
         def step(a: Column, i: Column) -> Column:
             def moved(k: Column) -> Column:
                 n_in, n_out = F.get(a["counts"], k["came"]), F.get(a["counts"], k["left"])
-                gain = _n_log_n(n_in + 1) - _n_log_n(n_in)
+                gain = F.when(k["came"] >= 0, _n_log_n(n_in + 1) - _n_log_n(n_in)).otherwise(0.0)
                 loss = F.when(k["left"] >= 0, _n_log_n(n_out) - _n_log_n(n_out - 1)).otherwise(0.0)
                 total = a["s"] + F.when(k["came"] == k["left"], 0.0).otherwise(gain - loss)
                 counts = F.transform(a["counts"], lambda v, j: v + F.when(j == k["came"], 1).otherwise(0) - F.when(j == k["left"], 1).otherwise(0))
@@ -122,22 +136,22 @@ def dense(candidate: Column, c: CharClass) -> Column:
             state = F.when(key["came"] == key["left"], F.struct(a["counts"].alias("counts"), a["s"].alias("s"))).otherwise(_let(key, moved))
 
             def seen(n: Column) -> Column:
-                hit = (i >= c.window - 1) & (n["s"] <= limit)
+                sound = F.when(F.get(s, i) >= 0, a["sound"] + 1).otherwise(0)
+                hit = (sound >= c.window) & (n["s"] <= limit)
                 first = F.when(hit & a["first"].isNull(), i - (c.window - 1)).otherwise(a["first"])
-                return F.struct(n["counts"].alias("counts"), n["s"].alias("s"), first.alias("first"), F.when(hit, i + 1).otherwise(a["last"]).alias("last"))
+                return F.struct(n["counts"].alias("counts"), n["s"].alias("s"), sound.alias("sound"), first.alias("first"), F.when(hit, i + 1).otherwise(a["last"]).alias("last"))
 
             return _let(state, seen)
 
         nothing = F.lit(None).cast("int")
-        start = F.struct(F.array_repeat(F.lit(0), len(c.alphabet)).alias("counts"), F.lit(0.0).alias("s"), nothing.alias("first"), nothing.alias("last"))
+        start = F.struct(F.array_repeat(F.lit(0), len(c.alphabet)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("sound"), nothing.alias("first"), nothing.alias("last"))
         return F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
     return _let(signs, over)
 
 
 def _entropy_spans(text: Column, fixed: Column, c: CharClass, rank: int) -> Column:
-    named = "|".join(f"(?:{p})" for p in ALLOW)
-    found = F.filter(_spans(text, c.pattern, c.kind, rank), lambda x: ~x["match"].rlike(named))
+    found = _spans(text, c.pattern, c.kind, rank)
 
     def narrowed(x: Column) -> Column:
         d = dense(x["match"], c)

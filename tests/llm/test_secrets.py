@@ -15,13 +15,12 @@ def brute(text):
     more = []
     for rank, c in enumerate(CLASSES, 3):
         for m in re.finditer(c.pattern, t):
-            s = m[0].lower() if c.alphabet == c.alphabet.lower() else m[0]
-            if any(re.search(p, m[0]) for p in ALLOW):
-                continue
+            s = m[0].lower() if c.kind == "entropy_hex" else m[0]
+            named = "".join(("x" if any(re.search(p, part) for p in ALLOW) else ".") * len(part) for part in re.split("(?<=[+/_=-])", m[0]))
             dense = []
             for i in range(len(s) - c.window + 1):
                 w = s[i : i + c.window]
-                if -sum(w.count(x) / c.window * log2(w.count(x) / c.window) for x in set(w)) >= c.least - 1e-9:
+                if "x" not in named[i : i + c.window] and -sum(w.count(x) / c.window * log2(w.count(x) / c.window) for x in set(w)) >= c.least - 1e-9:
                     dense.append(i)
             if dense:
                 a, b = m.start() + dense[0], m.start() + dense[-1] + c.window
@@ -44,6 +43,9 @@ TEXTS = [
     "aaaaaaaaaaaa1AZx9Kq2Lm8Pv4Rt7Wn3YsQe5UdbbbbbbbbbbbbbbbbbbbbbC",
     "token='Zx9Kq2Lm8Pv4Rt7Wn3YsQe5Ud1' token=\"short\"",
     "Zx9Kq2Lm8Pv4Rt7Wn3Ys " * 300,
+    "example/Zx9Kq2Lm8Pv4Rt7Wn3YsQe5Ud1-sample_Zx9Kq2Lm8Pv4Rt7Wn3YsQe5Ud1 exampleZx9Kq2Lm8Pv4Rt7Wn3YsQe5Ud1 your_Zx9Kq2Lm8Pv4Rt7Wn3Ys",
+    "JBSWY3DPEHPK3PXPQR7TVWN2MZ4KF6GA==== otp, k3j9x0q7v2m8z4w1p6t5r3n9 id, qZvKxWmTrYbNcLpHgJdFsQeU letters",
+    "getElementByIdentifierNameOrValue Donaudampfschifffahrtsgesellschaftskapitaen ABCDEFGHIJKLMNOPQRSTUVWXYZ234567 internationalization2internationalization",
     " ".join(f"token=abcdefghijkl{i} AKIAABCDEFGHIJKL{i} 0123456789abcdef{i:x} é" for i in range(700)),
 ]
 
@@ -57,6 +59,15 @@ def test_scan(spark):
         assert ([g["n_assign"], g["n_access"], g["n_hex"]], g["base"], g["spans"]) == (n, base, spans), t
     assert "entropy_base64" in got[6]["spans"] and "entropy_hex" in got[7]["spans"] and got[2]["spans"] == ""
     assert got[8]["spans"].count("entropy") == 0 and len(got[11]["found"]) == 300
+    assert got[12]["spans"] == "entropy_base64:8:68,entropy_base64:108:128"
+    assert [x.split(":")[0] for x in got[13]["spans"].split(",")] == ["entropy_base32", "entropy_lower", "entropy_letters"]
+
+
+def test_a_very_long_text_is_scanned_whole(spark):
+    text = "token=abcdefghijkl " + "plain words é " * 150_000 + "Zx9Kq2Lm8Pv4Rt7Wn3YsQe5Ud1"
+    got = scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert ([got["n_assign"], got["n_access"], got["n_hex"]], got["base"], got["spans"]) == brute(text)
+    assert got["spans"].endswith(f":{len(text)}")
 
 
 def test_fixture(docs, rows, none):
