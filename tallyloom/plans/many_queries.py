@@ -206,6 +206,20 @@ def wb_many_flags(spark, d):
     return p.select("workbook", "tab", "rule_id", "text", F.array_join("cells", "; ").alias("cells"), "more_cells", F.array_join("sections", ",").alias("sections"))
 
 
+@query(f"""WITH {BASE_SQL}, b AS (SELECT k, sum(gross_spend) AS spend, k % 5 <> 3 AND k % 3 < 2 AS found FROM p WHERE k % 5 <> 1 GROUP BY k)
+SELECT 'part' || k || '.xlsx' AS workbook, 199 + k % 3 AS head, CASE WHEN found THEN spend END AS gross_spend,
+       CASE WHEN NOT found THEN 'No header row names “topic” and “audience”: the tab is not read.' END AS error
+FROM b""")
+def wb_many_anchor_depth(spark, d):
+    """P2P tabs that begin far down: a header in row 199 or 200 is found, one in row 201 is not, and its tab is refused."""
+    k = F.regexp_extract("workbook", r"[0-9]+", 0).cast("bigint")
+    low = _cells(spark, d).where(F.col("sheet").endswith("P2P Statistics")).withColumn("row", (F.col("row") + 195 + k % 3).cast("int"))
+    r = Reports(materialize(cells_of(to_files(low)), "cells"))
+    spend = r.rollup().where("tab = 'p2p' AND level = 'total' AND metric_key = 'gross_spend'").select("workbook", F.col("value").alias("gross_spend"))
+    wrong = r.problems.where("tab = 'p2p' AND level = 'error'").select("workbook", F.col("text").alias("error"))
+    return spend.join(wrong, "workbook", "full_outer").select("workbook", (199 + k % 3).alias("head"), "gross_spend", "error")
+
+
 @query(f"""WITH {BASE_SQL},
 fix AS (
   SELECT k, 'digital' AS tab, 'error' AS level, 'RC13' AS rule_id,

@@ -530,6 +530,16 @@ def running_lineage_prefix(spark, d):
     return series.series(rows, "goal", ["channel"], "month", "carry", "cell").select("channel", "month", F.col("n_cells").cast("int").alias("n_cells"))
 
 
+@query("""WITH t AS (SELECT o_orderkey AS k, '$' || CAST(o_totalprice AS DECIMAL(18,2)) || ' ' AS shown FROM orders UNION ALL SELECT o_orderkey, o_orderstatus || o_custkey FROM orders UNION ALL SELECT o_orderkey, o_orderpriority FROM orders)
+ SELECT k, TRY_CAST(regexp_replace(trim(shown), '[,$]', '', 'g') AS DOUBLE) AS strict, TRY_CAST(nullif(regexp_replace(shown, '[^0-9.-]', '', 'g'), '') AS DOUBLE) AS loose FROM t""")
+def strict_and_shown_numbers(spark, d):
+    """What an auditor takes for a number and what a displayed figure shows: prices as money, names with digits, and a digit with a word."""
+    o = table(spark, d, "orders")
+    money = o.select(F.col("o_orderkey").alias("k"), F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" ")).alias("shown"))
+    names = o.select("o_orderkey", F.concat("o_orderstatus", F.col("o_custkey").cast("string"))).union(o.select("o_orderkey", "o_orderpriority"))
+    return money.union(names).select("k", S.strict_number("shown").alias("strict"), S.shown_number("shown").alias("loose"))
+
+
 @query("""WITH t AS (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS raised, count(*) AS n FROM orders) SELECT raised, n AS n_donations, CASE WHEN n <> 0 THEN raised / n END AS average FROM t""")
 def hero_figures(spark, d):
     t = table(spark, d, "orders").agg(S.exact_sum("o_totalprice").alias("raised"), F.count(F.lit(1)).alias("n_donations"))
