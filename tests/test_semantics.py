@@ -96,3 +96,18 @@ def test_views_and_compare(spark):
     assert compare.payload_diff(rows, rows.where("place = 'x'"), ["channel", "place"], "v").count() == 1
     assert compare.set_difference(rows, rows.where("channel = 's'"), "channel").collect()[0]["side"] == "left"
     assert not compare.uniqueness(rows, ["channel"]).first()["is_unique"]
+
+
+def test_payload_diff_of_large_amounts(spark, tmp_path):
+    import os
+
+    from tallyloom.plans.queries import QUERIES
+
+    rows = spark.sql("SELECT 'x' AS k, CAST(5000000000.00 AS DECIMAL(38,2)) AS v")
+    assert compare.payload_diff(rows, rows, ["k"], "v").count() == 0
+    assert compare.payload_diff(rows, rows.withColumn("v", F.col("v") + 1), ["k"], "v").count() == 1
+    # months of billions: a fault of 1 lies below a billionth of them
+    day = "CAST(make_date(1996 + id DIV 12, 1 + id % 12, 3) AS TIMESTAMP) AS l_shipdate"
+    spark.range(36).selectExpr(day, "CASE WHEN id % 2 = 0 THEN 'A' ELSE 'N' END AS l_returnflag", "'O' AS l_linestatus", "1.0D AS l_quantity", "4000000000.25D AS l_extendedprice", "0.01D AS l_discount").write.parquet(os.fspath(tmp_path / "lineitem.parquet"))
+    found = QUERIES["payload_diff"](spark, os.fspath(tmp_path)).collect()
+    assert sorted((r["month"], r["a"], r["b"]) for r in found) == [(f"1997-{m:02}", 4000000000.25, 4000000001.25) for m in range(1, 13)]
