@@ -74,7 +74,8 @@ PAID_RATIOS = "CASE WHEN coalesce(ntl,0)<>0 THEN coalesce(spend,0)/ntl END AS cp
 def topic_detail(spark: SparkSession, d: str) -> DataFrame:
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     rows = o.select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderpriority").alias("topic"), F.col("o_totalprice").alias("raised"))
-    return rows.join(c.select("c_custkey", F.col("c_mktsegment").alias("audience")), F.col("o_custkey") == F.col("c_custkey"))
+    # customers grow with orders, so that neither side is sent whole to the driver and all executors
+    return rows.join(c.select("c_custkey", F.col("c_mktsegment").alias("audience")).hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
 
 
 TOPIC_SQL = """t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS topic, CAST(o_totalprice AS DECIMAL(18,2)) AS raised,

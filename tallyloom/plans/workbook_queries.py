@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from ..operators import discover, verify
 from ..operators.discover import Sheet, typed
 from ..operators.lineage import cells_of as spelled
+from ..sources.scratch import materialize
 from ..sources.snapshots import read_snapshot
-from ..sources.workbook import CELLS, cells_of, read_cells, split_ref, to_files
+from ..sources.workbook import CELLS, cells_of, split_ref, to_files
 from .queries import table
 from .report import Report, build
 from .tabs import lineage
@@ -93,7 +94,8 @@ def _when(n: Column, value: Column) -> Column:
 
 def _p2p(spark, d: str, wb: str, sheet: str) -> DataFrame:
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    j = o.join(c, o.o_custkey == c.c_custkey, "left")
+    # customers grow with orders, so that neither side is sent whole to the driver and all executors
+    j = o.join(c.hint("merge"), o.o_custkey == c.c_custkey, "left")
     done = F.col("o_orderstatus") == "F"
     rows = j.groupBy(_month("o_orderdate").alias("mi"), F.col("o_orderpriority").alias("topic"), F.coalesce("c_mktsegment", F.lit("none")).alias("audience")).agg(
         F.sum(_FLOOR("o_totalprice")).alias("spend"), F.count_if(F.col("o_orderstatus") == "O").alias("ntl"), F.coalesce(F.sum(F.when(done, _FLOOR("o_totalprice"))), F.lit(0)).alias("raised"), F.count_if(done).alias("donors")
@@ -264,11 +266,8 @@ def _report(spark: SparkSession, d: str, broken: bool = False) -> Report:
         wb = "broken.xlsx" if broken else "report.xlsx"
         name = "My P2P Statistics 2026" if broken else "P2P Statistics"
         parts = [_digital(spark, d, wb, broken), _paid(spark, d, wb, broken), _p2p(spark, d, wb, name), *([] if broken else [_email(spark, d, wb)]), _high(spark, d, wb)]
-        file = to_files(reduce(DataFrame.unionByName, parts)).first()  # one workbook
-        path = f"{_folder(spark)}/{wb}"
-        with open(path, "wb") as f:
-            f.write(file["content"])
-        _KEPT[key] = build(spark, read_cells(spark, f"file://{path}"), wb)
+        file = materialize(to_files(reduce(DataFrame.unionByName, parts)), "workbook")  # its bytes do not pass the driver
+        _KEPT[key] = build(spark, cells_of(file), wb)
     return _KEPT[key]
 
 

@@ -1,4 +1,5 @@
 import json
+import os
 import struct
 import zipfile
 
@@ -245,3 +246,14 @@ def test_reports_of_many(spark):
     assert ("d", "paid") not in {(r["workbook"], r["tab"]) for r in many.published.collect()}
     got = {(r["workbook"], r["metric_key"]): r["value"] for r in many.rollup().where("level = 'total' AND tab = 'p2p'").collect()}
     assert got["a", "gross_spend"] == got["b", "gross_spend"] == sum(r[3] for r in wb.p2p()[1])
+
+
+def test_customers_are_not_broadcast(spark):
+    from tallyloom.plans import queries, workbook_queries
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        return
+    for rows in (workbook_queries._p2p(spark, d, "x", "P2P Statistics"), queries.topic_detail(spark, d)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
