@@ -112,3 +112,10 @@ def test_all_quarters_are_named(spark):
     t = build(spark, cells_of(spark, {"High-Dollar Donations": cells}), "x").tabs["high_dollar"]
     text = next(p["text"] for p in t.problems if "several quarters" in p["text"])
     assert text.count("Q") == 8 and t.meta == {"year": None, "quarter": None}
+
+
+def test_checks_take_a_fixed_number_of_tasks(spark):
+    tab = build(spark, cells_of(spark, {"P2P Statistics": wb.p2p()[0]}), "x").tabs["p2p"]
+    found = verify.flat(tab, required=("month", "topic"), unresolvable=())
+    assert found.rdd.getNumPartitions() <= 8
+    assert {r["check"] for r in found.collect()} <= {"the ratios without components are the known ones"}
